@@ -1,6 +1,6 @@
 """All registered queries with their oracles."""
 
-from gearwatch.catalog import alerts, features, quality  # noqa: F401
+from gearwatch.catalog import alerts, features, quality, registry, text  # noqa: F401
 from gearwatch.catalog.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

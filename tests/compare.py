@@ -41,6 +41,19 @@ def canon(value):
     return str(value)
 
 
+def kind_of(type_name: str) -> str:
+    """Coarse type: sizes of integers and floats do not matter, but 128-bit sums and decimals do."""
+    if "[" in type_name or type_name.startswith("array"):
+        return "list"
+    if type_name in ("tinyint", "smallint", "int", "integer", "bigint"):
+        return "int"
+    if type_name in ("double", "float"):
+        return "float"
+    if type_name in ("string", "varchar"):
+        return "text"
+    return type_name.split("(")[0].replace("_ntz", "")
+
+
 def rows_of(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return sorted((tuple(canon(r[i]) for i in order) for r in rows), key=repr)
@@ -54,6 +67,10 @@ def compare(df, con, sql: str) -> str | None:
     want_rows = cur.fetchall()
     if sorted(df.columns) != sorted(cols):
         return f"columns differ: {sorted(set(df.columns) ^ set(cols))}"
+    kinds = {n: kind_of(t) for n, t in df.dtypes}
+    clash = [f"{c[0]}: {kinds[c[0]]} vs {c[1]}" for c in cur.description if kinds[c[0]] != kind_of(str(c[1]).lower())]
+    if clash:
+        return f"types differ: {clash}"
     got, want = rows_of(df.columns, got_rows), rows_of(cols, want_rows)
     if len(got) != len(want):
         return f"rows {len(got)} vs {len(want)}"
@@ -82,14 +99,14 @@ def main() -> int:
             df = fn(spark, sf_dir)
             if name in ORACLES:
                 problem = compare(df, con, ORACLES[name])
-                n = ""
+                n = "" if problem else df.count()
             else:
                 n = df.count()
                 problem = None
         except Exception as err:  # noqa: BLE001
             problem, n = f"{type(err).__name__}: {str(err)[:1200]}", ""
         failed += problem is not None
-        kind = "sql" if name in ORACLES else f"rows={n}"
+        kind = f"sql rows={n}" if name in ORACLES else f"rows={n}"
         print(f"{'ok  ' if problem is None else 'FAIL'} {name} [{kind}] {time.time() - begin:.1f}s {problem or ''}", flush=True)
     print("failed:", failed)
     return failed
