@@ -80,13 +80,20 @@ def immediate(spark, d):
     return jobs.drain(jobs.alert_digest(stream(spark, d), "Immediate"), sink, checkpoint).select("event_id", "risk_level")
 
 
-@query("j7_rate_limit")
+_LIMIT = """WITH RECURSIVE n AS (SELECT event_id, event_type AS key, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
+ r AS (SELECT key, event_id, rn, [t] AS acc, true AS allowed FROM n WHERE rn = 1
+  UNION ALL SELECT n.key, n.event_id, n.rn, CASE WHEN len([a FOR a IN r.acc IF n.t - a < 3600000000]) < 2 THEN list_append([a FOR a IN r.acc IF n.t - a < 3600000000], n.t)
+   ELSE [a FOR a IN r.acc IF n.t - a < 3600000000] END, len([a FOR a IN r.acc IF n.t - a < 3600000000]) < 2 FROM r JOIN n ON n.key = r.key AND n.rn = r.rn + 1)
+ SELECT event_id, key, allowed FROM r"""
+
+
+@query("j7_rate_limit", _LIMIT)
 def rate_limit(spark, d):
     calls = table(spark, d, "events").select("event_id", F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("datetime"))
     return jobs.rate_limit(calls, 2, 3600.0, tie=["event_id"]).select("event_id", "key", "allowed")
 
 
-@query("j7_rate_limit_stream")
+@query("j7_rate_limit_stream", _LIMIT)
 def rate_limit_stream(spark, d):
     sink, checkpoint = jobs.work_folder(spark, "j7")
     source = stream(spark, d).select("event_id", F.col("event_type").alias("key"), "datetime")

@@ -44,11 +44,12 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", ts: str | None =
                 mode: str = "errorifexists") -> None:
     """A5: write a cleaned or processed table, by month when it has a time column, rows in order inside each file.
 
-    Rows of a month are spread by hash before the write, so a busy month becomes several files.
+    Months are rebalanced before the write: small ones share a task, and adaptive execution cuts a busy one into
+    several files of ordinary size.
     """
     out = df
     if ts:
-        out = out.withColumn("month", F.date_format(ts, "yyyy-MM"))
+        out = out.withColumn("month", F.date_format(ts, "yyyy-MM")).hint("rebalance", F.col("month"))
     if order:
         out = out.sortWithinPartitions(*(["month"] if ts else []), *order)
     writer = out.write.mode(mode)
