@@ -81,15 +81,13 @@ def registry_scan(spark, d):
  SELECT reg.id, coalesce(f.location, reg.location) AS location, round(coalesce(f.price, reg.price), 6) AS price FROM reg LEFT JOIN d USING (id) LEFT JOIN f USING (id) WHERE d.del IS NULL
  UNION ALL SELECT f.id, f.location, round(f.price, 6) FROM f WHERE ins AND (f.id NOT IN (SELECT id FROM reg) OR (SELECT del FROM d WHERE d.id = f.id) IS NOT NULL)""")
 def apply_changes(spark, d):
-    from gearwatch.operators.series import row_positions
-
     target = machines(spark, d).select("id", "location", "price")
-    li = row_positions(table(spark, d, "lineitem"), [], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"], "seq")
+    seq = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice").alias("seq")
     new = F.col("l_linenumber") > 6
-    changes = li.select(
+    changes = table(spark, d, "lineitem").select(
         (F.col("l_orderkey") + F.when(new, 100000000).otherwise(0)).alias("id"),
         F.when(new, "insert").when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45), "delete").otherwise("update").alias("op"),
-        "seq",
+        seq,
         F.when(F.col("l_linestatus") == "F", "").otherwise(F.concat(F.lit("loc"), F.col("l_linenumber").cast("string"))).alias("location"),
         F.when(F.col("l_quantity") > 25, F.col("l_extendedprice")).alias("price"))
     return r6(registry.apply_changes(target, changes))

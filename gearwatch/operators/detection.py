@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gearwatch.functions import boxes as B
 from gearwatch.operators.prefix import prefix_sums
+from gearwatch.operators.series import has_hot_key
+from gearwatch.session import materialise
 
 # IoU levels, cut-offs and limits.
 LEVELS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
@@ -31,26 +33,61 @@ def unique_boxes(df: DataFrame, keys: Sequence[str], id_col: str, extra: Sequenc
     return df.groupBy(*keys, *BOX).agg(F.min_by(F.struct(*keep), order).alias("_k")).select(*keys, *BOX, "_k.*")
 
 
+def _named(df: DataFrame, prefix: str, keys: Sequence[str]) -> DataFrame:
+    return df.withColumnsRenamed({c: f"{prefix}_{c}" for c in df.columns if c not in keys})
+
+
 def iou_pairs(labels: DataFrame, dets: DataFrame, keys: Sequence[str], floor: float, strict: bool = False) -> DataFrame:
-    """Label-detection pairs of a group with IoU of at least (or above) ``floor``.
+    """C8 / C9 in crowded groups: label-detection pairs with IoU of at least (or above) ``floor``.
 
-    Groups with few detections join on their keys. Crowded groups join on a grid too: boxes that overlap by
-    ``floor`` have sides within a factor 1/floor and near centres, so a label probes only the cells of matching
-    size and place. Both ways test the same IoU; the grid only skips pairs that cannot reach it.
+    Boxes that overlap by ``floor`` have sides within a factor 1/floor and near centres, so a label meets only the
+    detections in grid cells of matching size and place. Copies of a box are paired once.
     """
     keys = list(keys)
-    crowded = dets.groupBy(*keys).count().filter(F.col("count") > CROWD).select(*keys)
-    left = labels.withColumnsRenamed({c: f"l_{c}" for c in labels.columns if c not in keys})
-    right = dets.withColumnsRenamed({c: f"d_{c}" for c in dets.columns if c not in keys})
-    few = left.join(right.join(crowded, keys, "left_anti"), keys)
+    kind = [c for c in ("cls",) if c not in keys]
+    left = _named(unique_boxes(labels, keys, "label_id", kind), "l", keys)
+    right = _named(unique_boxes(dets, keys, "det_id", [*kind, "conf"]), "d", keys)
     cells = ["_lw", "_lh", "_gx", "_gy"]
-    many = _probe(left.join(crowded, keys, "left_semi"), floor).join(
-        _place(right.join(crowded, keys, "left_semi"), floor), [*keys, *cells])
-    value = B.iou(B.corners("l_"), B.corners("d_"))
-    pairs = few.unionByName(many.drop(*cells)).withColumn("iou", value)
+    pairs = _probe(left, floor).join(_place(right, floor), [*keys, *cells]).drop(*cells)
+    pairs = pairs.withColumn("iou", B.iou(B.corners("l_"), B.corners("d_")))
     return pairs.filter(F.col("iou") > floor if strict else F.col("iou") >= floor)
 
 
+def best_labels(labels: DataFrame, dets: DataFrame, keys: Sequence[str], floor: float, strict: bool = False) -> DataFrame:
+    """All detections with the label of their group they overlap most: (det columns, ``label_id, l_cls, iou``).
+
+    Nulls when no label reaches ``floor``; the smaller label id wins on equal IoU. A group has at most ``CROWD``
+    detections as a rule and is joined on its keys, which keeps pairs linear in the labels and leaves everything
+    that follows on the same exchange. Larger groups go through the grid; copies of a box lose every tie against
+    the first of them, so there they may stay without a label.
+    """
+    keys = list(keys)
+    if not has_hot_key(dets, keys, CROWD):
+        return _best_by_key(labels, dets, keys, floor, strict)
+    crowded = dets.groupBy(*keys).count().filter(F.col("count") > CROWD).select(*keys)
+    few = _best_by_key(labels.join(crowded, keys, "left_anti"), dets.join(crowded, keys, "left_anti"), keys, floor, strict)
+    busy = dets.join(crowded, keys, "left_semi")
+    pairs = iou_pairs(labels.join(crowded, keys, "left_semi"), busy, keys, floor, strict)
+    cls = "cls" if "cls" in keys else "l_cls"
+    best = pairs.groupBy("image_id", "d_det_id").agg(
+        F.max_by(F.struct(F.col("l_label_id").alias("label_id"), F.col(cls).alias("l_cls"), "iou"),
+                 F.struct(F.col("iou"), -F.col("l_label_id"))).alias("b")
+    ).select("image_id", F.col("d_det_id").alias("det_id"), "b.*")
+    return few.unionByName(busy.join(best, ["image_id", "det_id"], "left"))
+
+
+def _best_by_key(labels: DataFrame, dets: DataFrame, keys: list[str], floor: float, strict: bool) -> DataFrame:
+    left = _named(labels.withColumn("_cls", F.col("cls")), "l", keys)
+    joined = dets.withColumnsRenamed({c: f"d_{c}" for c in BOX}).join(left, keys, "left").withColumn(
+        "iou", B.iou(B.corners("l_"), B.corners("d_")))
+    ok = F.col("iou") > floor if strict else F.col("iou") >= floor
+    rest = [c for c in dets.columns if c not in {*keys, "det_id", *BOX}]
+    kept = [F.first(c).alias(c) for c in rest] + [F.first(f"d_{c}").alias(c) for c in BOX]
+    best = F.max_by(F.struct(F.col("l_label_id").alias("label_id"), F.col("l__cls").alias("l_cls"), "iou"),
+                    F.when(ok, F.struct(F.col("iou"), -F.col("l_label_id")))).alias("b")
+    return joined.groupBy(*keys, "det_id").agg(*kept, best).select(*dets.columns, "b.label_id", "b.l_cls", "b.iou")
+
+
 def _base(floor: float) -> float:
     return 1.001 / floor
 
@@ -91,23 +128,22 @@ def match(labels: DataFrame, dets: DataFrame, levels: Sequence[float] = LEVELS)
     """V5: detections with one 0/1 column per IoU level (tp0, tp1, ...).
 
     Each detection takes its best label of the same class; at every level a label keeps its first detection by
-    confidence among those that reach the level. Equal IoUs go to the smaller label id.
+    confidence among those that reach the level.
     """
-    keys = ["image_id", "cls"]
-    pairs = iou_pairs(unique_boxes(labels, keys, "label_id"), unique_boxes(dets, keys, "det_id", ["conf"]), keys, min(levels))
-    best = pairs.groupBy(*keys, "d_det_id").agg(
-        F.max_by(F.struct("l_label_id", "iou", "d_conf"), F.struct(F.col("iou"), -F.col("l_label_id"))).alias("b")
-    ).select(*keys, F.col("d_det_id").alias("det_id"), "b.*")
-    reached = F.array_compact(F.array(*[F.when(F.col("iou") >= t, F.lit(i)) for i, t in enumerate(levels)]))
-    winners = (
-        best.withColumn("level", F.explode(reached))
-        .groupBy("image_id", "l_label_id", "level")
-        .agg(F.min_by("det_id", F.struct(-F.col("d_conf"), F.col("det_id"))).alias("det_id"))
-        .groupBy("image_id", "det_id")
-        .agg(*[F.max(F.when(F.col("level") == i, 1).otherwise(0)).alias(f"tp{i}") for i in range(len(levels))])
-    )
-    out = dets.join(winners, ["image_id", "det_id"], "left")
-    return out.withColumns({f"tp{i}": F.coalesce(F.col(f"tp{i}"), F.lit(0)) for i in range(len(levels))})
+    best = best_labels(labels, dets, ["image_id", "cls"], min(levels))
+    return _first_per_label(best, ["image_id", "cls"], levels).select(*dets.columns, *[f"tp{i}" for i in range(len(levels))])
+
+
+def _first_per_label(best: DataFrame, keys: Sequence[str], levels: Sequence[float]) -> DataFrame:
+    """tp columns from (label_id, iou, conf, det_id): a detection is first at a level when it reaches it and no
+    earlier detection of the same label does, which one running maximum tells for all levels."""
+    earlier = W.partitionBy(*keys, "label_id").orderBy(F.desc("conf"), "det_id").rowsBetween(W.unboundedPreceding, -1)
+    ranked = best.withColumn("_before", F.coalesce(F.max("iou").over(earlier), F.lit(-1.0)))
+    known = F.col("label_id").isNotNull()
+    return ranked.withColumns({
+        f"tp{i}": F.coalesce((known & (F.col("iou") >= t) & (F.col("_before") < t)).cast("int"), F.lit(0))
+        for i, t in enumerate(levels)
+    })
 
 
 def _cell(value: Column, steps: int) -> Column:
@@ -124,13 +160,16 @@ def _upper_cell(value: Column, steps: int) -> Column:
     return F.when((k - 1) * step >= value, k - 1).when(k * step < value, k + 1).otherwise(k).cast("int")
 
 
-def curve_points(matched: DataFrame, labels: DataFrame, n_levels: int) -> DataFrame:
+def curve_points(matched: DataFrame, labels: DataFrame, n_levels: int, store: bool = False) -> DataFrame:
     """Recall and precision at every distinct confidence per class and level (rc0, pr0, ...).
 
-    Detections of equal confidence share one point, so the curve does not depend on their order.
+    Detections of equal confidence share one point, so the curve does not depend on their order. ``store`` writes
+    the counts per confidence to the shared folder first, for callers that read the curve several times.
     """
     tps = [f"tp{i}" for i in range(n_levels)]
     at_conf = matched.groupBy("cls", "conf").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in tps])
+    if store:
+        at_conf = materialise(at_conf, "curve")
     ranked = prefix_sums(at_conf.withColumn("_desc", -F.col("conf")), "_desc", ["n", *tps], ["cls"])
     targets = labels.groupBy("cls").agg(F.count("*").alias("n_labels"))
     return ranked.join(targets, "cls").select(
@@ -215,7 +254,7 @@ def smooth(mean: DataFrame, value: str, steps: int = 999, share: float = 0.1) ->
 
 def evaluate(labels: DataFrame, dets: DataFrame, levels: Sequence[float] = LEVELS) -> DataFrame:
     """V6 + V8: per class labels, precision, recall and F1 at the best smoothed mean F1, AP50, AP, tp and fp."""
-    points = curve_points(match(labels, dets, levels), labels, len(levels))
+    points = curve_points(match(labels, dets, levels), labels, len(levels), store=True)
     ap = average_precision(points, labels, len(levels)).groupBy("cls").agg(
         F.max(F.when(F.col("level") == 0, F.col("ap"))).alias("ap50"), F.avg("ap").alias("ap"))
     curves = confidence_curves(points, labels)
@@ -257,25 +296,23 @@ def confusion(labels: DataFrame, dets: DataFrame, conf: float = CONFUSION_CONF,
     Detections above ``conf`` take their best label by IoU, then labels keep their best detection, whatever the
     class. Unmatched detections count only in images that have a match, as the source definition does.
     """
-    keys = ["image_id"]
     kept = dets.filter(F.col("conf") > conf)
-    pairs = iou_pairs(unique_boxes(labels, keys, "label_id", ["cls"]), unique_boxes(kept, keys, "det_id", ["cls", "conf"]),
-                      keys, floor, strict=True)
-    first = pairs.groupBy("image_id", F.col("d_det_id").alias("det_id")).agg(
-        F.max_by(F.struct("l_label_id", "l_cls", "iou", "d_cls"), F.struct(F.col("iou"), -F.col("l_label_id"))).alias("b")
-    ).select("image_id", "det_id", F.col("b.l_label_id").alias("label_id"), F.col("b.l_cls").alias("actual"),
-             F.col("b.d_cls").alias("predicted"), "b.iou")
-    pick = F.max_by(F.struct("det_id", "predicted", "actual"), F.struct(F.col("iou"), -F.col("det_id"))).alias("m")
-    hits = first.groupBy("image_id", "label_id").agg(pick).select("image_id", "label_id", "m.*")
-    missed = labels.join(hits, ["image_id", "label_id"], "left_anti").select(
-        F.lit(None).cast(dict(dets.dtypes)["cls"]).alias("predicted"), F.col("cls").alias("actual"))
-    lost = (
-        kept.join(hits.select("image_id").distinct(), "image_id", "left_semi")
-        .join(hits, ["image_id", "det_id"], "left_anti")
-        .select(F.col("cls").alias("predicted"), F.lit(None).cast(dict(labels.dtypes)["cls"]).alias("actual"))
+    best = best_labels(labels, kept, ["image_id"], floor, strict=True)
+    rival, image = W.partitionBy("image_id", "label_id"), W.partitionBy("image_id")
+    place = F.struct((-F.col("iou")).alias("i"), F.col("det_id").alias("d"))
+    won = F.coalesce(F.col("label_id").isNotNull() & (F.min(place).over(rival)["d"] == F.col("det_id")), F.lit(False))
+    judged = best.withColumn("_hit", won).withColumn("_any", F.max("_hit").over(image))
+    nobody = F.lit(None)
+    found = judged.filter("_hit").groupBy(F.col("cls").alias("predicted"), F.col("l_cls").alias("actual")).agg(F.count("*").alias("n"))
+    lost = judged.filter("_any AND NOT _hit").groupBy(F.col("cls").alias("predicted")).agg(F.count("*").alias("n"))
+    targets = labels.groupBy(F.col("cls").alias("actual")).agg(F.count("*").alias("n"))
+    # Missed labels are the targets of a class less its hits, so no label has to be looked up again.
+    missed = targets.unionByName(found.select("actual", (-F.col("n")).alias("n"))).groupBy("actual").agg(F.sum("n").alias("n"))
+    kind = dict(dets.dtypes)["cls"]
+    return (
+        found.unionByName(lost.select("predicted", nobody.cast(kind).alias("actual"), "n"))
+        .unionByName(missed.filter("n > 0").select(nobody.cast(kind).alias("predicted"), "actual", "n"))
     )
-    cells = hits.select("predicted", "actual").unionByName(missed).unionByName(lost)
-    return cells.groupBy("predicted", "actual").agg(F.count("*").alias("n"))
 
 
 def normalise_columns(matrix: DataFrame) -> DataFrame:
@@ -390,18 +427,11 @@ def match_masks(labels: DataFrame, dets: DataFrame, levels: Sequence[float] = LE
 
     pairs = mask_pairs(once(labels, "label_id", []), once(dets, "det_id", ["conf"]), keys, min(levels))
     best = pairs.groupBy(*keys, "d_det_id").agg(
-        F.max_by(F.struct("l_label_id", "iou", "d_conf"), F.struct(F.col("iou"), -F.col("l_label_id"))).alias("b")
+        F.max_by(F.struct(F.col("l_label_id").alias("label_id"), "iou"), F.struct(F.col("iou"), -F.col("l_label_id"))).alias("b")
     ).select("image_id", F.col("d_det_id").alias("det_id"), "b.*")
-    reached = F.array_compact(F.array(*[F.when(F.col("iou") >= t, F.lit(i)) for i, t in enumerate(levels)]))
-    hits = (
-        best.withColumn("level", F.explode(reached))
-        .groupBy("image_id", "l_label_id", "level")
-        .agg(F.min_by("det_id", F.struct(-F.col("d_conf"), F.col("det_id"))).alias("det_id"))
-        .groupBy("image_id", "det_id")
-        .agg(*[F.max(F.when(F.col("level") == i, 1).otherwise(0)).alias(f"tp{i}") for i in range(len(levels))])
-    )
-    out = dets.drop("mask").join(hits, ["image_id", "det_id"], "left")
-    return out.withColumns({f"tp{i}": F.coalesce(F.col(f"tp{i}"), F.lit(0)) for i in range(len(levels))})
+    rest = [c for c in dets.columns if c != "mask"]
+    full = dets.select(*rest).join(best, ["image_id", "det_id"], "left")
+    return _first_per_label(full, keys, levels).select(*rest, *[f"tp{i}" for i in range(len(levels))])
 
 
 def top_classes(df: DataFrame, scores: str = "scores", n: int = 5) -> DataFrame:

@@ -164,7 +164,7 @@ PARTIAL_LIMIT = 3
 
 
 def _substring_hits(registry: DataFrame, columns: Sequence[str], needles: DataFrame, limit: int) -> DataFrame:
-    """Registry ids whose column contains the needle (case-insensitive), smallest ids first, ``limit`` per needle.
+    """Registry ids whose column contains the needle (case-insensitive), ``limit`` smallest per needle with their rank.
 
     Works on distinct values: each keeps its ``limit`` smallest ids, which is all a needle can ever need from it.
     The pieces of a value with a length some needle has are matched by equality, so no pair is tested in vain.
@@ -176,8 +176,8 @@ def _substring_hits(registry: DataFrame, columns: Sequence[str], needles: DataFr
     values = few.groupBy("column_name", "value").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     lengths = needles.agg(F.collect_set(F.length("needle")).alias("l")).scalar()
     pieces = (
-        values.withColumn("_n", F.explode(lengths))
-        .filter((F.col("_n") > 0) & (F.col("_n") <= F.length("value")))
+        values.filter(F.length("value") > 0)
+        .withColumn("_n", F.explode(F.array_intersect(lengths, F.sequence(F.lit(1), F.length("value")))))
         .withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("value") - F.col("_n") + 1)))
         .select("column_name", "value", "ids", F.col("value").substr(F.col("_at"), F.col("_n")).alias("needle"))
         .join(needles.select("needle").distinct(), "needle", "left_semi")
@@ -185,7 +185,7 @@ def _substring_hits(registry: DataFrame, columns: Sequence[str], needles: DataFr
     )
     hits = pieces.withColumn("id", F.explode("ids")).drop("ids", "value")
     ranked = W.partitionBy("needle", "column_name").orderBy("id")
-    return hits.withColumn("_rn", F.row_number().over(ranked)).filter(F.col("_rn") <= limit).drop("_rn")
+    return hits.withColumn("nth", F.row_number().over(ranked)).filter(F.col("nth") <= limit)
 
 
 def lookup(registry: DataFrame, questions: DataFrame) -> DataFrame:
@@ -200,11 +200,12 @@ def lookup(registry: DataFrame, questions: DataFrame) -> DataFrame:
     mids = q.select("question_id", F.explode("mids").alias("needle"))
     exact = mids.join(registry.select("id", F.col("machine_id").cast("string").alias("needle")), "needle").select(
         "question_id", "id", F.lit(0).alias("branch"))
-    part = mids.join(_substring_hits(registry, ["machine_id", "serial_number"], mids, PARTIAL_LIMIT), "needle").select(
-        "question_id", "id", F.when(F.col("column_name") == "machine_id", 1).otherwise(2).alias("branch"))
     words = q.filter(F.length("safe") > 0).select("question_id", F.col("safe").alias("needle"))
-    order = F.array_position(F.array(*[F.lit(c) for c in KEYWORD_COLUMNS]), F.col("column_name")).cast("int")
-    keyword = words.join(_substring_hits(registry, KEYWORD_COLUMNS, words, KEYWORD_LIMIT), "needle").select(
-        "question_id", "id", (order + 2).alias("branch"))
-    found = exact.unionByName(part).unionByName(keyword)
+    asked = mids.withColumn("_id", F.lit(True)).unionByName(words.withColumn("_id", F.lit(False)))
+    hits = _substring_hits(registry, KEYWORD_COLUMNS, asked, max(KEYWORD_LIMIT, PARTIAL_LIMIT))
+    place = F.array_position(F.array(*[F.lit(c) for c in KEYWORD_COLUMNS]), F.col("column_name")).cast("int")
+    by_id = F.when(F.col("column_name") == "machine_id", 1).when(F.col("column_name") == "serial_number", 2)
+    branch = F.when(F.col("_id"), F.when(F.col("nth") <= PARTIAL_LIMIT, by_id)).when(F.col("nth") <= KEYWORD_LIMIT, place + 2)
+    near = asked.join(hits, "needle").select("question_id", "id", branch.alias("branch")).filter("branch IS NOT NULL")
+    found = exact.unionByName(near)
     return found.groupBy("question_id", "id").agg(F.min("branch").alias("branch"))

@@ -71,15 +71,14 @@ def over_rows(
     key: Sequence[str],
     order: Sequence[str],
     depth: int,
-    build: Callable[[W], list[Column]],
+    build: Callable[[DataFrame, W], DataFrame],
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """Add window columns that look back at most ``depth`` rows; ``build`` gets the window specification."""
+    """Add window columns that look back at most ``depth`` rows; ``build`` gets the rows and the window."""
     if not has_hot_key(df, key, hot_rows):
-        return df.select("*", *build(W.partitionBy(*key).orderBy(*order)))
+        return build(df, W.partitionBy(*key).orderBy(*order))
     padded = add_halo(split_blocks(df, key, order, hot_rows), key, order, depth)
-    window = W.partitionBy(*key, BLOCK).orderBy(*order)
-    return padded.select("*", *build(window)).filter(~F.col(HALO)).drop(HALO, BLOCK)
+    return build(padded, W.partitionBy(*key, BLOCK).orderBy(*order)).filter(~F.col(HALO)).drop(HALO, BLOCK)
 
 
 def running_fill(
@@ -129,30 +128,68 @@ def running_fill(
     )
 
 
-def feature_exprs(
+def add_features(
+    df: DataFrame,
     window: W,
     sensors: Sequence[str],
     lags: Sequence[int] = S.LAGS,
     means: Sequence[int] = S.ROLL_MEANS,
     stds: Sequence[int] = S.ROLL_STDS,
     slopes: Sequence[int] = S.SLOPES,
-) -> list[Column]:
-    """E1-E4 as window expressions: lag, rolling mean, rolling population std, slope (all in rows).
+) -> DataFrame:
+    """Lag, rolling mean, rolling population std and slope per sensor (all in rows).
 
-    A rolling value needs k non-null readings in its k-row frame, else it is null.
+    A rolling value needs k non-null readings in its k-row frame, else it is null. A sliding frame would be read
+    again for every row, so the windows grow by doubling: mean and squared deviation of k rows come from those of the
+    last k/2 rows and of the k/2 rows before them (a lag). Merging keeps deviations from the mean, so nothing
+    cancels, and a missing value or row makes the result null by itself. All steps share one sort.
     """
+    sizes = sorted({*means, *stds})
+    chain = _doubling(sizes)
+    short = [k for k in chain if k // 2 not in chain or k % 2]
+    reach = sorted({*lags, *slopes, *range(1, max(short, default=1))})
+    out = df.select("*", *[F.lag(s, k).over(window).alias(f"_{s}_l{k}") for s in sensors for k in reach])
     cols = []
     for s in sensors:
-        x = F.col(s)
-        cols += [F.lag(x, k).over(window).alias(f"{s}_lag_{k}h") for k in lags]
+        for k in short:
+            rows = [F.col(s).cast("double"), *[F.col(f"_{s}_l{i}") for i in range(1, k)]]
+            mean = sum(rows[1:], rows[0]) / k
+            dev = [(x - mean) * (x - mean) for x in rows]
+            cols += [mean.alias(f"_{s}_m{k}"), sum(dev[1:], dev[0]).alias(f"_{s}_d{k}")]
+    out = out.select("*", *cols)
+    for k in [k for k in chain if k not in short]:
+        h = k // 2
+        out = out.select("*", *[F.lag(f"_{s}_{v}{h}", h).over(window).alias(f"_{s}_p{v}") for s in sensors for v in "md"])
+        merged = []
+        for s in sensors:
+            m, pm, d, pd_ = (F.col(f"_{s}_{v}") for v in (f"m{h}", "pm", f"d{h}", "pd"))
+            merged += [((m + pm) / 2).alias(f"_{s}_m{k}"), (d + pd_ + (m - pm) * (m - pm) * (h / 2)).alias(f"_{s}_d{k}")]
+        out = out.select("*", *merged).drop(*[f"_{s}_p{v}" for s in sensors for v in "md"])
+    final = []
+    for s in sensors:
+        final += [F.col(f"_{s}_l{k}").alias(f"{s}_lag_{k}h") for k in lags]
         for k in means:
             frame = window.rowsBetween(-(k - 1), 0)
-            cols.append(F.when(F.count(x).over(frame) == k, F.avg(x).over(frame)).alias(f"{s}_mean_{k}h"))
+            slow = F.when(F.count(s).over(frame) == k, F.avg(s).over(frame))
+            final.append((F.col(f"_{s}_m{k}") if k in chain else slow).alias(f"{s}_mean_{k}h"))
         for k in stds:
             frame = window.rowsBetween(-(k - 1), 0)
-            cols.append(F.when(F.count(x).over(frame) == k, F.stddev_pop(x).over(frame)).alias(f"{s}_std_{k}h"))
-        cols += [((x - F.lag(x, k).over(window)) / F.lit(k)).alias(f"{s}_slope_{k}h") for k in slopes]
-    return cols
+            slow = F.when(F.count(s).over(frame) == k, F.stddev_pop(s).over(frame))
+            final.append((F.sqrt(F.col(f"_{s}_d{k}") / k) if k in chain else slow).alias(f"{s}_std_{k}h"))
+        final += [((F.col(s) - F.col(f"_{s}_l{k}")) / F.lit(k)).alias(f"{s}_slope_{k}h") for k in slopes]
+    return out.select(*df.columns, *final)
+
+
+def _doubling(sizes: Sequence[int]) -> list[int]:
+    """Sizes reachable from a short window by doubling, with the halves they need; others keep a sliding frame."""
+    chain: set[int] = set()
+    for k in sizes:
+        path = [k]
+        while path[-1] > 3 and path[-1] % 2 == 0:
+            path.append(path[-1] // 2)
+        if path[-1] <= 7:
+            chain.update(path)
+    return sorted(chain)
 
 
 def max_depth(lags=S.LAGS, means=S.ROLL_MEANS, stds=S.ROLL_STDS, slopes=S.SLOPES) -> int:
@@ -168,8 +205,8 @@ def sensor_features(
     hot_rows: int | None = HOT_ROWS,
     **sizes: Sequence[int],
 ) -> DataFrame:
-    """E1-E4 for all sensors in one window pass."""
-    return over_rows(df, key, order, max_depth(**sizes), lambda w: feature_exprs(w, sensors, **sizes), hot_rows)
+    """E1-E4 for all sensors over one exchange and one sort."""
+    return over_rows(df, key, order, max_depth(**sizes), lambda rows, w: add_features(rows, w, sensors, **sizes), hot_rows)
 
 
 def time_features(
@@ -219,14 +256,14 @@ def ols_slopes(
     With x = 0..k-1 the slope is a weighted sum of the lags, so no row number is needed.
     """
 
-    def build(w: W) -> list[Column]:
+    def build(rows: DataFrame, w: W) -> DataFrame:
         cols = []
         for s in sensors:
             for k in ks:
                 centre, total = (k - 1) / 2, k * (k * k - 1) / 12
                 terms = [F.lag(s, k - i).over(w) * F.lit((i - centre) / total) for i in range(k)]
                 cols.append(sum(terms[1:], terms[0]).alias(f"{s}_ols_{k}h"))
-        return cols
+        return rows.select("*", *cols)
 
     return over_rows(df, key, order, max(ks), build, hot_rows)
 
@@ -234,7 +271,8 @@ def ols_slopes(
 def step_delta(df, sensors, key=("machineID",), order=("datetime",), hot_rows=HOT_ROWS) -> DataFrame:
     """Change of each sensor since the previous reading of the machine."""
     return over_rows(
-        df, key, order, 1, lambda w: [(F.col(s) - F.lag(s, 1).over(w)).alias(f"{s}_delta") for s in sensors], hot_rows
+        df, key, order, 1,
+        lambda rows, w: rows.select("*", *[(F.col(s) - F.lag(s, 1).over(w)).alias(f"{s}_delta") for s in sensors]), hot_rows
     )
 
 

@@ -190,8 +190,12 @@ def rate_limit(calls: DataFrame, max_calls: int = 30, period: float = 60.0, key:
         old = prior.select(*calls.columns).withColumns({"_t": series.micros(ts), "_given": F.lit(True)})
         rows = rows.unionByName(old)
     order = ["_t", *tie]
-    gaps = series.over_rows(rows, [key], order, 1, lambda w: [
-        F.when(F.coalesce(F.col("_t") - F.lag("_t", 1).over(w) >= micros, F.lit(True)), F.col("_t")).alias("_edge")])
+
+    def edges(df: DataFrame, w: W) -> DataFrame:
+        quiet = F.coalesce(F.col("_t") - F.lag("_t", 1).over(w) >= micros, F.lit(True))
+        return df.withColumn("_edge", F.when(quiet, F.col("_t")))
+
+    gaps = series.over_rows(rows, [key], order, 1, edges)
     stretches = series.running_fill(gaps, [key], order, back={"_stretch": "_edge"})
     ready = stretches.drop("_edge").repartition(key, "_stretch").sortWithinPartitions(key, "_stretch", *order)
     schema = T.StructType([*ready.schema.fields, T.StructField("allowed", T.BooleanType())])

@@ -127,11 +127,10 @@ def test_class_table():
 
 
 @pytest.mark.parametrize("floor", [0.45, 0.5, 0.7])
-def test_grid_probe_reaches_every_partner(spark, floor, monkeypatch):
+def test_grid_probe_reaches_every_partner(spark, floor):
     rng = np.random.default_rng(9)
     lb = spark.createDataFrame(random_boxes(rng, 300, 1, False), LABEL)
     dt = spark.createDataFrame(random_boxes(rng, 300, 1, True), DET)
-    monkeypatch.setattr(detection, "CROWD", 0)
     grid = {(r["l_label_id"], r["d_det_id"]) for r in detection.iou_pairs(lb, dt, ["image_id"], floor).collect()}
     want = {(a["label_id"], b["det_id"]) for a in lb.collect() for b in dt.collect()
             if iou([a[c] for c in detection.BOX], [b[c] for c in detection.BOX]) >= floor}
