@@ -44,18 +44,9 @@ def labels_from_fields(lines: DataFrame) -> DataFrame:
 
 
 def shortest(value: Column) -> Column:
-    """Six significant digits without trailing zeros, the way printf %g prints a number."""
-    sci = F.split(F.format_string("%.5e", value), "e")
-    mantissa, exponent = sci[0], sci[1].cast("int")
-
-    def bare(text: Column) -> Column:
-        return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-
-    out = F.concat(bare(mantissa), F.lit("e"), F.when(exponent < 0, "-").otherwise("+"),
-                   F.lpad(F.abs(exponent).cast("string"), 2, "0"))
-    for e in range(-4, 6):
-        out = F.when(exponent == e, bare(F.format_string(f"%.{5 - e}f", value))).otherwise(out)
-    return F.when(value == 0, "0").otherwise(out)
+    """Six significant digits without trailing zeros, the way printf %g prints a number in C."""
+    padded = F.format_string("%.6g", value)
+    return F.regexp_replace(F.regexp_replace(padded, r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
 
 
 def label_lines(dets: DataFrame, width, height, with_conf: bool = False) -> DataFrame:
