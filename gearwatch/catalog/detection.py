@@ -20,7 +20,9 @@ def base_boxes(spark, d):
     x1, y1 = (F.col("l_partkey") % 100).cast("double"), (F.col("l_suppkey") % 100).cast("double")
     return li.select(
         F.col("l_orderkey").alias("image_id"),
-        (F.col("l_linenumber") * 1_000_000_000_000 + F.col("l_partkey") * 1_000_000 + F.col("l_suppkey")).alias("box_id"),
+        # Line, part and supplier can repeat inside an order, so the price in cents completes the id.
+        (F.col("l_linenumber").cast("long") * 1_000_000_000_000_000_000 + F.col("l_partkey") * 1_000_000_000_000
+         + F.col("l_suppkey") * 100_000_000 + F.round(F.col("l_extendedprice") * 100).cast("long")).alias("box_id"),
         cls.alias("cls"), x1.alias("x1"), y1.alias("y1"), (x1 + F.col("l_quantity")).alias("x2"),
         (y1 + F.col("l_linenumber") * 10.0).alias("y2"), (F.col("l_discount") * 100 - 5).alias("shift"),
         ((F.col("l_partkey") % 97) / 97.0).alias("conf"),
@@ -37,7 +39,8 @@ def detections(spark, d):
                     (F.col("x2") + F.col("shift")).alias("x2"), "y2", "conf")
 
 
-BOXES = """bx AS (SELECT l_orderkey AS image_id, CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 1000000 + l_suppkey AS box_id,
+BOXES = """bx AS (SELECT l_orderkey AS image_id, CAST(l_linenumber AS BIGINT) * 1000000000000000000 + l_partkey * 1000000000000 + l_suppkey * 100000000
+  + CAST(round(l_extendedprice * 100) AS BIGINT) AS box_id,
  CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS cls, CAST(l_partkey % 100 AS DOUBLE) AS x1, CAST(l_suppkey % 100 AS DOUBLE) AS y1,
  CAST(l_partkey % 100 AS DOUBLE) + l_quantity AS x2, CAST(l_suppkey % 100 AS DOUBLE) + l_linenumber * 10.0::DOUBLE AS y2,
  l_discount * 100 - 5 AS shift, (l_partkey % 97) / 97.0::DOUBLE AS conf FROM lineitem),
