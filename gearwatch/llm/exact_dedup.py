@@ -41,6 +41,7 @@ def mark_exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_colum
         F.col(size).cast("decimal(10,0)") * F.expr(f"{SHIFT}BD") + shifted).cast("decimal(38,0)").alias(rank))
 
     merged = ranked.groupBy(digest, norm, salt, check).agg(F.max(rank).alias(rank), F.count(F.lit(1)).alias(n))
+    merged = merged.repartition(digest)  # one exchange for both windows; a digest has at most one row per salt here
     same = W.partitionBy(digest, norm)
     clash = F.max(norm).over(W.partitionBy(digest, check)) != F.min(norm).over(W.partitionBy(digest, check))
     winners = merged.select(
