@@ -34,6 +34,14 @@ def without_clashes(docs: DataFrame, outputs: Sequence[str], needed: Sequence[st
     return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in clash])
 
 
+def set_aside(docs: DataFrame, outputs: Sequence[str], needed: Sequence[str]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with columns that have the name of a result renamed, and the expressions that give all columns back."""
+    clash = {c.lower() for c in outputs} - {c.lower() for c in needed}
+    names = [c for c in docs.columns if c.lower() in clash]
+    new = dict(zip(names, free_names(docs, *[f"_own_{c}" for c in names]), strict=True))
+    return docs.withColumnsRenamed(new), [F.col(f"`{new.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def crc_mod(id_column: str, n: int) -> Column:
     """Fold of a row: crc32 of its id as text, modulo ``n``."""
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % n

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from gearwatch.llm.common import SALTS, SPACE, free_names, without_clashes
+from gearwatch.llm.common import SALTS, SPACE, free_names, set_aside, without_clashes
 
 OUTPUTS = ("keep_id", "group_size", "kept", "text_sha256")
 #: More than any shifted 64-bit id; text length times this plus the shifted id orders rows in one number.
@@ -63,5 +63,5 @@ def mark_exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_colum
 
 def drop_exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns."""
-    marked = mark_exact_duplicates(docs, id_column, text_column)
-    return marked.filter("kept").select(*[c for c in docs.columns if c in marked.columns and c not in OUTPUTS])
+    rows, own = set_aside(docs, OUTPUTS, (id_column, text_column))
+    return mark_exact_duplicates(rows, id_column, text_column).filter("kept").select(*own)

@@ -20,16 +20,15 @@ BATCH = 4096
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_column: str = "doc_id",
                 text_column: str = "text") -> DataFrame:
-    """First pass: (id, block, begin, n, ids): the ids of each document with the end id, as little-endian uint16 bytes,
+    """First pass: (id as text, block, begin, n, ids): the ids of each document with the end id, as little-endian uint16 bytes,
     the input part that holds it and how many ids of that part come before it. Written once to the shared folder.
 
     A null text counts as empty, which leaves the end id alone.
     """
     spark = docs.sparkSession
-    kind = dict(docs.dtypes)[id_column]
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, begin, block = Encoder(tokenizer, "<u2"), 0, TaskContext.get().partitionId()
+        encoder, begin, block = Encoder.shared(tokenizer, "<u2"), 0, TaskContext.get().partitionId()
         tail = np.array([end_id], "<u2").tobytes()
         for frame in frames:
             for at in range(0, len(frame), 256):
@@ -40,8 +39,8 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_column
                 begin += int(n.sum())
 
     path = scratch_path(spark, "packed-tokens")
-    rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    schema = f"id {kind}, block int, begin long, n long, ids binary"
+    rows = docs.select(F.col(id_column).cast("string").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    schema = "id string, block int, begin long, n long, ids binary"
     rows.mapInPandas(encode, schema).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
@@ -83,8 +82,8 @@ def pack(docs: DataFrame, tokenizer: str, width: int = WIDTH, end_id: int = END_
             yield pd.DataFrame(rows, columns=names)
 
     return placed.select("id", "origin", "begin", "n", "ids").mapInPandas(
-        cut, f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    ).withColumnRenamed("id", id_column)
+        cut, "id string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    ).select(F.col("id").cast(kind).alias(id_column), *names[1:])
 
 
 def piece_digests(pieces: DataFrame, id_column: str = "doc_id") -> DataFrame:

@@ -6,14 +6,17 @@ import os
 import re
 from collections.abc import Iterable
 
-#: Distinct pieces that a task remembers before it starts anew.
-CACHE = 300_000
+#: Distinct pieces that a Python worker remembers; pieces not used for that long are forgotten.
+CACHE = 400_000
 #: Ids are kept in two bytes when the vocabulary allows it.
 SMALL_VOCABULARY = 65_536
 
 ODD_SPACE = re.compile(r" \s|\s ")
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 SAFE_LINE = re.compile(r"(?<=\S)\n(?=\S)")
+SPACE = re.compile(r"\s")
+#: Pieces that are encoded at once, a line feed between them.
+TOGETHER = 4096
 
 
 class Encoder:
@@ -32,36 +35,71 @@ class Encoder:
         self.np, self.dtype, self.exact = np, np.dtype(dtype), exact
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-        self.first: dict[str, bytes] = {}
-        self.after: dict[str, bytes] = {}
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.known: dict[bool, dict[str, bytes]] = {False: {}, True: {}}  # without and with a space before the piece
+        self.older: dict[bool, dict[str, bytes]] = {False: {}, True: {}}
+
+    @classmethod
+    def shared(cls, path: str, dtype: str) -> Encoder:
+        """The encoder of this process, which later tasks of the same worker find with what it remembers."""
+        key = (path, dtype)
+        if key not in SHARED:
+            SHARED[key] = cls(path, dtype)
+        return SHARED[key]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [self.np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def learn(self, words: Iterable[str], known: dict[str, bytes], lead: str) -> None:
-        new = [w for w in words if w not in known]
-        plain = []
-        for w in new:
-            parts = SAFE_LINE.split(w) if "\n" in w else ()
-            if len(parts) > 1:
-                self.learn([parts[0]], known, lead)
-                self.learn(["\n", *parts[1:]], self.first, "")
-                known[w] = known[parts[0]] + b"".join(self.first["\n"] + self.first[p] for p in parts[1:])
+    def together(self, words: list[str], lead: str) -> Iterable[bytes]:
+        """Ids of pieces without white space: one text with a line feed between them, cut at its id."""
+        for at in range(0, len(words), TOGETHER):
+            part = words[at : at + TOGETHER]
+            ids = self.np.array(self.tokenizer.encode("\n".join([lead + w for w in part]), add_special_tokens=False).ids, "<u4")
+            cuts = self.np.flatnonzero(ids == self.line[0])
+            raw, size = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+            edges = [-1, *cuts.tolist(), len(ids)]
+            yield from (raw[(a + 1) * size : b * size] for a, b in zip(edges[:-1], edges[1:], strict=True))
+
+    def learn(self, words: Iterable[str], space: bool) -> None:
+        """Make sure that the pieces are known."""
+        known, older, lead = self.known[space], self.older[space], " " if space else ""
+        plain, odd = [], []
+        for w in words:
+            if w in known:
+                continue
+            if w in older:
+                known[w] = older[w]
+            elif not w or SPACE.search(w):
+                parts = SAFE_LINE.split(w)
+                if len(parts) > 1:
+                    self.learn([parts[0]], space)
+                    self.learn(["\n", *parts[1:]], False)
+                    first = self.known[False]
+                    known[w] = known[parts[0]] + b"".join(first["\n"] + first[p] for p in parts[1:])
+                else:
+                    odd.append(w)
             else:
                 plain.append(w)
-        if plain:
+        if odd:
+            known.update(zip(odd, self.whole([lead + w for w in odd]), strict=True))
+        if plain and len(self.line) == 1:
+            known.update(zip(plain, self.together(plain, lead), strict=True))
+        elif plain:
             known.update(zip(plain, self.whole([lead + w for w in plain]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.exact:
             return self.whole(texts)
-        if len(self.first) + len(self.after) > CACHE:
-            self.first.clear()
-            self.after.clear()
+        for space in (False, True):
+            if len(self.known[space]) > CACHE // 2:
+                self.older[space], self.known[space] = self.known[space], {}
         cut = [SAFE_SPACE.split(t) if ODD_SPACE.search(t) else t.split(" ") for t in texts]
         # A space at either end is no safe place; such a text keeps it in its outer piece.
         cut = [SAFE_SPACE.split(t) if t[:1] == " " or t[-1:] == " " else c for t, c in zip(texts, cut, strict=True)]
-        self.learn({c[0] for c in cut}, self.first, "")
-        self.learn({w for c in cut for w in c[1:]}, self.after, " ")
-        find = self.after.__getitem__
-        return [self.first[c[0]] + b"".join(map(find, c[1:])) for c in cut]
+        self.learn({c[0] for c in cut}, False)
+        self.learn({w for c in cut for w in c[1:]}, True)
+        first, find = self.known[False], self.known[True].__getitem__
+        return [first[c[0]] + b"".join(map(find, c[1:])) for c in cut]
+
+
+SHARED: dict[tuple[str, str], Encoder] = {}
