@@ -23,14 +23,24 @@ LETTER = re.compile(r"[^\W\d_]")
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
+#: Which of the first 65,536 characters are letters; all later ones count as letters.
+IS_LETTER = np.array([chr(i).isalpha() for i in range(0x10000)] + [True])
+
+
 def gram_counts(texts: Sequence[str]) -> np.ndarray:
-    """Hashed counts (texts x ``DIMS``) of the character n-grams of lower-case texts, taken in slices of a million."""
+    """Hashed counts (texts x ``DIMS``) of the character n-grams of lower-case texts, taken in slices of a million.
+
+    Anything but a letter counts as a space; an n-gram has one space at most and is not a space alone.
+    """
     out = np.zeros((len(texts), DIMS), np.float32)
     group: list[tuple[int, str]] = []
     size = 0
 
     def count() -> None:
         chars = np.frombuffer("".join(t for _, t in group).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        letter = IS_LETTER[np.minimum(chars, 0x10000)]
+        chars[~letter] = 32
+        marks = np.concatenate([[0], np.cumsum(~letter)])
         owner = np.repeat(np.arange(len(group)), [len(t) for _, t in group])
         cells, total = len(group) * DIMS, None
         for n in ORDERS:
@@ -42,8 +52,7 @@ def gram_counts(texts: Sequence[str]) -> np.ndarray:
                 code = (code + chars[j : j + m]) * FACTORS[j]
             code ^= code >> np.uint64(29)
             cell = (code * FACTORS[0] >> np.uint64(64 - 13)).astype(np.int64) + owner[:m] * DIMS
-            if n > 1:
-                cell = cell[owner[:m] == owner[n - 1 :]]
+            cell = cell[(owner[:m] == owner[n - 1 :]) & (marks[n:] - marks[:-n] <= (n > 1))]
             got = np.bincount(cell, minlength=cells)
             total = got if total is None else total + got
         if total is not None:
