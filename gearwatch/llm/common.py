@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
@@ -70,16 +70,17 @@ def running_totals(df: DataFrame, order: Sequence[str], sums: Sequence[str], nam
     schema = T.StructType([*df.schema.fields, T.StructField(block, T.IntegerType()),
                            *[T.StructField(e, T.LongType()) for e in ends]])
 
-    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry, part = dict.fromkeys(sums, 0), TaskContext.get().partitionId()
         for frame in frames:
-            frame[block] = np.int32(part)
-            for c, e in zip(sums, ends, strict=True):
-                frame[e] = frame[c].to_numpy(np.int64).cumsum() + carry[c]
-                carry[c] = int(frame[e].iloc[-1]) if len(frame) else carry[c]
-            yield frame
-
-    local = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(add, schema), name)
+            new = [pa.array(np.full(frame.num_rows, part, np.int32))]
+            for c in sums:
+                total = frame.column(c).to_numpy(zero_copy_only=False).astype(np.int64).cumsum() + carry[c]
+                carry[c] = int(total[-1]) if len(total) else carry[c]
+                new.append(pa.array(total))
+            yield pa.RecordBatch.from_arrays([*frame.columns, *new], names=schema.names)
+
+    local = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(add, schema), name)
     totals = local.groupBy(block).agg(*[F.sum(c).alias(e) for c, e in zip(sums, ends, strict=True)])
     before = W.orderBy(block).rowsBetween(W.unboundedPreceding, -1)
     starts = totals.select(block, *[F.coalesce(F.sum(e).over(before), F.lit(0)).alias(f"_start_{e}") for e in ends])

@@ -143,7 +143,7 @@ def fit(train: DataFrame, text_column: str = "text", lang_column: str = "lang",
     if not sizes:
         return LanguageModel(np.zeros(DIMS, np.float32), np.zeros((0, DIMS)), np.zeros(0, int), np.zeros(0), [])
     seen, n = document_counts(rows.select("text"))
-    idf = np.log((1 + n) / (1 + seen)).astype(np.float32)
+    idf = (1 + np.log((1 + n) / (1 + seen))).astype(np.float32)
     grain = 1 << 30
     share = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(grain, grain * sample // v + 1)))])
     drawn = rows.withColumn("draw", F.xxhash64("text")).filter(F.pmod("draw", F.lit(grain)) < share[F.col("lang")])

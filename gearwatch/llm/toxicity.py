@@ -20,6 +20,8 @@ CHARS, CHAR_DIM, CHAR_HIDDEN, WORD_DIM, WORD_HIDDEN = 512, 8, 8, 8, 8
 BUCKETS = 1 << 14
 #: Character n-grams of these lengths carry how much likelier they are under label 1.
 GRAMS = (3, 5)
+#: Deviations that chance alone gives to some of many buckets.
+NOISE = 2.5
 #: The networks are fitted on at most about this many texts of each label, drawn by a hash of the text.
 SAMPLE = 1500
 ROUNDS, BATCH, RATE, CALIBRATE = 14, 64, 1e-2, 5
@@ -262,7 +264,7 @@ def window_starts(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def odds(cells: list[np.ndarray], y: np.ndarray, buckets: int) -> np.ndarray:
-    """How many deviations a bucket's share of texts with label 1 lies above what chance gives, scaled down; 0 if seldom seen."""
+    """How many deviations a bucket's share of texts with label 1 lies off what chance gives, beyond ``NOISE`` and scaled down."""
     seen, hits = np.zeros(buckets), np.zeros(buckets)
     for c, label in zip(cells, y, strict=True):
         u = np.unique(c)
@@ -270,7 +272,7 @@ def odds(cells: list[np.ndarray], y: np.ndarray, buckets: int) -> np.ndarray:
         hits[u] += label
     share = y.mean()
     z = (hits - share * seen) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
-    return np.where(seen >= 3, np.clip(z / 4, -1, 3), 0).astype(np.float32)
+    return np.where(seen >= 3, np.clip((z - np.clip(z, -NOISE, NOISE)) / 3, -1, 3), 0).astype(np.float32)
 
 
 def fit(texts: list[str], y: np.ndarray, seed: int = 5) -> ToxicityModel:
