@@ -200,7 +200,7 @@ def best_run(spark, d):
     return r6(detection.best_run(detection.fitness(runs), "run"))
 
 
-@query("v7_c9_confusion", f"""WITH {BOXES}, kd AS (SELECT * FROM dt WHERE conf > 0.25),
+_CONFUSION = f"""kd AS (SELECT * FROM dt WHERE conf > 0.25),
  pr AS (SELECT d.image_id, d.det_id, d.cls AS predicted, l.label_id, l.cls AS actual, {_iou('l', 'd')} AS iou FROM lb l JOIN kd d ON l.image_id = d.image_id),
  b1 AS (SELECT * FROM pr WHERE iou > 0.45 QUALIFY row_number() OVER (PARTITION BY image_id, det_id ORDER BY iou DESC, label_id) = 1),
  b2 AS (SELECT * FROM b1 QUALIFY row_number() OVER (PARTITION BY image_id, label_id ORDER BY iou DESC, det_id) = 1),
@@ -208,11 +208,40 @@ def best_run(spark, d):
    UNION ALL SELECT NULL, cls FROM lb WHERE (image_id, label_id) NOT IN (SELECT (image_id, label_id) FROM b2)
    UNION ALL SELECT cls, NULL FROM kd WHERE image_id IN (SELECT image_id FROM b2) AND (image_id, det_id) NOT IN (SELECT (image_id, det_id) FROM b2)),
  mx AS (SELECT predicted, actual, count(*) AS n FROM al GROUP BY 1, 2)
- SELECT predicted, actual, n, round(n / (sum(n) OVER (PARTITION BY actual) + 1e-9), 6) AS share FROM mx""")
+ SELECT predicted, actual, n, round(n / (sum(n) OVER (PARTITION BY actual) + 1e-9), 6) AS share FROM mx"""
+
+
+@query("v7_c9_confusion", f"WITH {BOXES}, {_CONFUSION}")
 def confusion(spark, d):
     return r6(detection.normalise_columns(detection.confusion(labels(spark, d), detections(spark, d))))
 
 
+_MINIMA = ", ".join(f"min({c}) AS {c}" for c in ("cls", "x1", "y1", "x2", "y2", "shift", "conf"))
+CROWDED = (BOXES.replace("l_orderkey AS image_id", "l_suppkey AS image_id").replace(
+    """CAST(l_linenumber AS BIGINT) * 1000000000000000000 + l_partkey * 1000000000000 + l_suppkey * 100000000
+  + CAST(round(l_extendedprice * 100) AS BIGINT) AS box_id""", "l_orderkey * 10 + l_linenumber AS box_id")
+    .replace("bx AS (SELECT", "raw AS (SELECT", 1).replace("lb AS (", f"bx AS (SELECT image_id, box_id, {_MINIMA} FROM raw GROUP BY ALL), lb AS (", 1))
+
+
+def crowded_boxes(spark, d):
+    """All boxes of a supplier as one image: hundreds at the smallest scale. Lines that share an order and number are one box."""
+    li = table(spark, d, "lineitem").select("*", F.col("l_suppkey").alias("image_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("_id"))
+    cls = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    x1, y1 = (F.col("l_partkey") % 100).cast("double"), (F.col("l_suppkey") % 100).cast("double")
+    box = {"cls": cls, "x1": x1, "y1": y1, "x2": x1 + F.col("l_quantity"), "y2": y1 + F.col("l_linenumber") * 10.0,
+           "shift": F.col("l_discount") * 100 - 5, "conf": (F.col("l_partkey") % 97) / 97.0}
+    return li.groupBy("image_id", F.col("_id").alias("box_id")).agg(*[F.min(c).alias(n) for n, c in box.items()])
+
+
+@query("v7_crowded_confusion", f"WITH {CROWDED}, {_CONFUSION}")
+def crowded_confusion(spark, d):
+    b = crowded_boxes(spark, d)
+    lb = b.select("image_id", F.col("box_id").alias("label_id"), "cls", *detection.BOX)
+    dt = b.select("image_id", F.col("box_id").alias("det_id"), "cls", (F.col("x1") + F.col("shift")).alias("x1"), "y1",
+                  (F.col("x2") + F.col("shift")).alias("x2"), "y2", "conf")
+    return r6(detection.normalise_columns(detection.confusion(lb, dt)))
+
+
 def predictions(spark, d):
     """Raw model output: one box per lineitem row with objectness and three class scores."""
     s = [((F.col("l_partkey") * k) % 89) / 89.0 for k in (1, 3, 7)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gearwatch.catalog.base import query, r6, table
-from gearwatch.functions import tiers
+from gearwatch.functions import text as X, tiers
 from gearwatch.operators import prefix, registry
 
 AS_OF = "1998-06-15 12:00:00"
@@ -217,8 +217,9 @@ def questions(spark, d):
     return conv.unionByName(nation)
 
 
-_IDS = r"""list_distinct(list_concat(list_concat(regexp_extract_all(lower(text), 'machine\s+(?:id\s+)?#?(\d+)', 1), regexp_extract_all(lower(text), 'ماكينة\s+(?:رقم\s+)?(\d+)', 1)),
- list_concat(regexp_extract_all(lower(text), '#(\d+)', 1), regexp_extract_all(lower(text), '\b(\d{3,})\b', 1))))"""
+_IDS = r"""list_distinct(list_concat(list_concat(regexp_extract_all(lower(text), 'machine[\s\p{Z}]+(?:id[\s\p{Z}]+)?#?(\p{Nd}+)', 1), regexp_extract_all(lower(text), 'ماكينة[\s\p{Z}]+(?:رقم[\s\p{Z}]+)?(\p{Nd}+)', 1)),
+ list_concat(regexp_extract_all(lower(text), '#(\p{Nd}+)', 1), regexp_extract_all(lower(text), '\b(\p{Nd}{3,})\b', 1))))"""
+_FOREIGN = f"'{X.FOREIGN_IDS}'"
 _SAFE = r"left(regexp_replace(text, '[^\p{L}\p{N}_\s\p{Z}\x{0600}-\x{06FF}-]', '', 'g'), 200)"
 _QUESTIONS = f"""q AS (SELECT 'c' || conv_id || '-' || turn AS question_id, 'machine id #' || conv_id || ' ' || text AS text FROM conversations WHERE role = 'user'
  UNION ALL SELECT 'n' || n_nationkey, n_name FROM nation)"""

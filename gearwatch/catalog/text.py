@@ -40,9 +40,9 @@ def compose(spark, d):
 
 
 @query("t7_language", """SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '[\\x{0600}-\\x{06FF}]')) / greatest(length(text), 1) > 0.3 THEN 'ar' ELSE 'en' END AS language FROM (
- SELECT doc_id, CASE WHEN lang = 'de' THEN 'سلام ' || left(text, 4) ELSE text END AS text FROM documents)""".replace("\\\\", "\\"))
+ SELECT doc_id, CASE WHEN lang = 'de' THEN repeat('سلام ', CAST(length(text) // 4 AS INT)) || text ELSE text END AS text FROM documents)""".replace("\\\\", "\\"))
 def language(spark, d):
-    t = F.when(F.col("lang") == "de", F.concat(F.lit("سلام "), F.left("text", F.lit(4)))).otherwise(F.col("text"))
+    t = F.when(F.col("lang") == "de", F.concat(F.expr("repeat('سلام ', cast(length(text) div 4 as int))"), "text")).otherwise(F.col("text"))
     return table(spark, d, "documents").select("doc_id", X.language(t).alias("language"))
 
 
@@ -56,9 +56,9 @@ def greetings(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.is_greeting(F.col("text")).alias("is_greeting"))
 
 
-@query("t9_machine_ids", f"WITH t AS (SELECT page_id, html AS text FROM pages) SELECT page_id, array_to_string(list_sort({cat._IDS}), ',') AS ids FROM t")
+@query("t9_machine_ids", f"WITH t AS (SELECT page_id, html || {cat._FOREIGN} AS text FROM pages) SELECT page_id, array_to_string(list_sort({cat._IDS}), ',') AS ids FROM t")
 def machine_ids(spark, d):
-    return table(spark, d, "pages").select("page_id", F.array_join(X.machine_ids(F.col("html")), ",").alias("ids"))
+    return table(spark, d, "pages").select("page_id", F.array_join(X.machine_ids(F.concat("html", F.lit(X.FOREIGN_IDS))), ",").alias("ids"))
 
 
 @query("t10_sanitise", f"SELECT conv_id, turn, {cat._SAFE} AS safe_text FROM conversations")
@@ -159,8 +159,10 @@ def query_log_metrics(spark, d):
     return r6(retrieval.query_log_metrics(log))
 
 
-@query("m_sql_chunk_function", f"WITH {_CHUNKS} SELECT doc_id, count(*) AS chunks FROM chunks GROUP BY doc_id")
+@query("m_sql_chunk_function", f"""WITH {_CHUNKS} SELECT doc_id, count(*) AS chunks, md5(string_agg(content, '|' ORDER BY chunk_index)) AS content_md5
+ FROM chunks GROUP BY doc_id""")
 def sql_chunk_function(spark, d):
     X.register_sql(spark)
     table(spark, d, "documents").createOrReplaceTempView("gearwatch_documents")
-    return spark.sql("SELECT doc_id, cast(size(chunk_text(text, 800, 200)) AS bigint) AS chunks FROM gearwatch_documents WHERE length(text) > 0")
+    return spark.sql("""SELECT doc_id, cast(size(c) AS bigint) AS chunks, md5(array_join(c, '|')) AS content_md5
+ FROM (SELECT doc_id, chunk_text(text, 800, 200) AS c FROM gearwatch_documents WHERE length(text) > 0)""")

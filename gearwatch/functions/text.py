@@ -14,6 +14,9 @@ GREETINGS = [
     r"^\s*(how are you|whats up|what's up)\s*",
 ]
 MACHINE_IDS = [r"machine\s+(?:id\s+)?#?(\d+)", r"ماكينة\s+(?:رقم\s+)?(\d+)", r"#(\d+)", r"\b(\d{3,})\b"]
+UNICODE = "(?U)"  # digits, white space and word edges of every script
+# A text with digits and spaces of other scripts, for trying the patterns.
+FOREIGN_IDS = " ماكينة رقم ٥٦ machine id\u00a077"
 QUERY_LIMIT = 200
 EDGE_SPACE = r"^[\s\x0B\x1C-\x1F\x85\p{Z}]+|[\s\x0B\x1C-\x1F\x85\p{Z}]+$"
 UNSAFE = r"[^\p{L}\p{N}_\s\p{Z}؀-ۿ-]"
@@ -87,7 +90,7 @@ def is_greeting(text: Column) -> Column:
 def machine_ids(text: Column) -> Column:
     """Distinct ids named in the text, digits only, sorted."""
     low = F.lower(text)
-    found = F.concat(*[F.regexp_extract_all(low, F.lit(p), 1) for p in MACHINE_IDS])
+    found = F.concat(*[F.regexp_extract_all(low, F.lit(UNICODE + p), 1) for p in MACHINE_IDS])
     return F.array_sort(F.array_distinct(found))
 
 
@@ -104,7 +107,7 @@ def cache_key(text: Column) -> Column:
 def register_sql(spark: SparkSession) -> None:
     """Make the text expressions callable from SQL as temporary functions."""
     n = "CASE WHEN length(t) = 0 THEN 0 WHEN length(t) <= s THEN 1 ELSE CAST(ceil((length(t) - s) / (s - o)) AS INT) + 1 END"
-    trim = r"'^\\s+|\\s+$'"
+    trim = "'" + EDGE_SPACE.replace("\\", "\\\\") + "'"
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION chunk_text(t STRING, s INT, o INT) RETURNS ARRAY<STRING> RETURN "
         f"CASE WHEN length(t) = 0 THEN CAST(array() AS ARRAY<STRING>) ELSE transform(sequence(0, {n} - 1), "

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gearwatch.functions import boxes as B
 from gearwatch.operators.prefix import prefix_sums
-from gearwatch.operators.series import has_hot_key
 from gearwatch.session import materialise
 
 # IoU levels, cut-offs and limits.
@@ -22,13 +21,15 @@ CONFUSION_CONF, CONFUSION_IOU = 0.25, 0.45
 NMS_CONF, NMS_IOU, MAX_NMS, MAX_DET = 0.25, 0.45, 30_000, 300
 FITNESS = {"map50": 0.1, "map": 0.9}
 BOX = ["x1", "y1", "x2", "y2"]
-CROWD = 256
 TINY = 1e-16
 
 
-def unique_boxes(df: DataFrame, keys: Sequence[str], id_col: str, extra: Sequence[str] = ()) -> DataFrame:
-    """One row per distinct box: copies can never win against the first of them, so only that one is paired."""
-    order = F.struct(-F.col("conf"), F.col(id_col)) if "conf" in df.columns else F.col(id_col)
+def unique_boxes(df: DataFrame, keys: Sequence[str], id_col: str, extra: Sequence[str] = (), by_conf: bool = False) -> DataFrame:
+    """One row per distinct box: copies can never win against the first of them, so only that one is paired.
+
+    The first is the one with the smallest id, or ``by_conf`` the most confident one.
+    """
+    order = F.struct(-F.col("conf"), F.col(id_col)) if by_conf else F.col(id_col)
     keep = [id_col, *extra]
     return df.groupBy(*keys, *BOX).agg(F.min_by(F.struct(*keep), order).alias("_k")).select(*keys, *BOX, "_k.*")
 
@@ -37,8 +38,9 @@ def _named(df: DataFrame, prefix: str, keys: Sequence[str]) -> DataFrame:
     return df.withColumnsRenamed({c: f"{prefix}_{c}" for c in df.columns if c not in keys})
 
 
-def iou_pairs(labels: DataFrame, dets: DataFrame, keys: Sequence[str], floor: float, strict: bool = False) -> DataFrame:
-    """C8 / C9 in crowded groups: label-detection pairs with IoU of at least (or above) ``floor``.
+def iou_pairs(labels: DataFrame, dets: DataFrame, keys: Sequence[str], floor: float, strict: bool = False,
+              by_conf: bool = False) -> DataFrame:
+    """Label-detection pairs with IoU of at least (or above) ``floor``.
 
     Boxes that overlap by ``floor`` have sides within a factor 1/floor and near centres, so a label meets only the
     detections in grid cells of matching size and place. Copies of a box are paired once.
@@ -46,46 +48,29 @@ def iou_pairs(labels: DataFrame, dets: DataFrame, keys: Sequence[str], floor: fl
     keys = list(keys)
     kind = [c for c in ("cls",) if c not in keys]
     left = _named(unique_boxes(labels, keys, "label_id", kind), "l", keys)
-    right = _named(unique_boxes(dets, keys, "det_id", [*kind, "conf"]), "d", keys)
+    right = _named(unique_boxes(dets, keys, "det_id", [*kind, "conf"], by_conf), "d", keys)
     cells = ["_lw", "_lh", "_gx", "_gy"]
     pairs = _probe(left, floor).join(_place(right, floor), [*keys, *cells]).drop(*cells)
     pairs = pairs.withColumn("iou", B.iou(B.corners("l_"), B.corners("d_")))
     return pairs.filter(F.col("iou") > floor if strict else F.col("iou") >= floor)
 
 
-def best_labels(labels: DataFrame, dets: DataFrame, keys: Sequence[str], floor: float, strict: bool = False) -> DataFrame:
+def best_labels(labels: DataFrame, dets: DataFrame, keys: Sequence[str], floor: float, strict: bool = False,
+                by_conf: bool = False) -> DataFrame:
     """All detections with the label of their group they overlap most: (det columns, ``label_id, l_cls, iou``).
 
-    Nulls when no label reaches ``floor``; the smaller label id wins on equal IoU. A group has at most ``CROWD``
-    detections as a rule and is joined on its keys, which keeps pairs linear in the labels and leaves everything
-    that follows on the same exchange. Larger groups go through the grid; copies of a box lose every tie against
-    the first of them, so there they may stay without a label.
+    Nulls when no label reaches ``floor``; the smaller label id wins on equal IoU. Groups of any size go through the
+    grid. Copies of a box lose every tie against the first of them (smallest id, or ``by_conf`` most confident), so
+    they stay without a label.
     """
     keys = list(keys)
-    if not has_hot_key(dets, keys, CROWD):
-        return _best_by_key(labels, dets, keys, floor, strict)
-    crowded = dets.groupBy(*keys).count().filter(F.col("count") > CROWD).select(*keys)
-    few = _best_by_key(labels.join(crowded, keys, "left_anti"), dets.join(crowded, keys, "left_anti"), keys, floor, strict)
-    busy = dets.join(crowded, keys, "left_semi")
-    pairs = iou_pairs(labels.join(crowded, keys, "left_semi"), busy, keys, floor, strict)
+    pairs = iou_pairs(labels, dets, keys, floor, strict, by_conf)
     cls = "cls" if "cls" in keys else "l_cls"
     best = pairs.groupBy("image_id", "d_det_id").agg(
         F.max_by(F.struct(F.col("l_label_id").alias("label_id"), F.col(cls).alias("l_cls"), "iou"),
                  F.struct(F.col("iou"), -F.col("l_label_id"))).alias("b")
     ).select("image_id", F.col("d_det_id").alias("det_id"), "b.*")
-    return few.unionByName(busy.join(best, ["image_id", "det_id"], "left"))
-
-
-def _best_by_key(labels: DataFrame, dets: DataFrame, keys: list[str], floor: float, strict: bool) -> DataFrame:
-    left = _named(labels.withColumn("_cls", F.col("cls")), "l", keys)
-    joined = dets.withColumnsRenamed({c: f"d_{c}" for c in BOX}).join(left, keys, "left").withColumn(
-        "iou", B.iou(B.corners("l_"), B.corners("d_")))
-    ok = F.col("iou") > floor if strict else F.col("iou") >= floor
-    rest = [c for c in dets.columns if c not in {*keys, "det_id", *BOX}]
-    kept = [F.first(c).alias(c) for c in rest] + [F.first(f"d_{c}").alias(c) for c in BOX]
-    best = F.max_by(F.struct(F.col("l_label_id").alias("label_id"), F.col("l__cls").alias("l_cls"), "iou"),
-                    F.when(ok, F.struct(F.col("iou"), -F.col("l_label_id")))).alias("b")
-    return joined.groupBy(*keys, "det_id").agg(*kept, best).select(*dets.columns, "b.label_id", "b.l_cls", "b.iou")
+    return dets.join(best, ["image_id", "det_id"], "left")
 
 
 def _base(floor: float) -> float:
@@ -130,7 +115,7 @@ def match(labels: DataFrame, dets: DataFrame, levels: Sequence[float] = LEVELS)
     Each detection takes its best label of the same class; at every level a label keeps its first detection by
     confidence among those that reach the level.
     """
-    best = best_labels(labels, dets, ["image_id", "cls"], min(levels))
+    best = best_labels(labels, dets, ["image_id", "cls"], min(levels), by_conf=True)
     return _first_per_label(best, ["image_id", "cls"], levels).select(*dets.columns, *[f"tp{i}" for i in range(len(levels))])
 
 

@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from gearwatch.operators.prefix import quantiles
 
 
-def require_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
-    """A3: fail when a required column is missing (schema only, no job)."""
+def require_columns(df: DataFrame, required: Sequence[str], rows: bool = False) -> DataFrame:
+    """A3: fail when a required column is missing (schema only, no job), or with ``rows`` when there is no row."""
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
+    if rows and df.isEmpty():
+        raise ValueError("the table has no rows")
     return df
 
 

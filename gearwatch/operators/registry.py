@@ -46,16 +46,15 @@ def apply_changes(target: DataFrame, changes: DataFrame, key: str = "id", op: st
     """Apply insert / update / delete rows in ``seq`` order.
 
     Null and empty fields never overwrite. An update of an unknown id does nothing, a delete forgets everything
-    before it. Changes fold per id as aggregates; the target is joined once.
+    before it. Changes fold per id in one aggregate; the target is joined once.
     """
     fields = [(c, t) for c, t in target.dtypes if c != key]
-    deleted = changes.groupBy(key).agg(F.max(F.when(F.col(op) == "delete", F.col(seq))).alias("_del"))
-    live = changes.join(deleted, key).filter(F.col("_del").isNull() | (F.col(seq) > F.col("_del")))
-    folded = live.groupBy(key).agg(
-        F.bool_or(F.col(op) == "insert").alias("_ins"),
-        *[F.max_by(_given(c, t), F.when(_given(c, t).isNotNull(), F.col(seq))).alias(f"_n_{c}") for c, t in fields],
-    )
-    plan = deleted.join(folded, key, "left").withColumn("_ins", F.coalesce("_ins", F.lit(False)))
+    last = lambda kind: F.max(F.when(F.col(op) == kind, F.col(seq)))
+    newest = lambda c, t: F.max_by(F.struct(F.col(seq).alias("s"), _given(c, t).alias("v")), F.when(_given(c, t).isNotNull(), F.col(seq)))
+    folded = changes.groupBy(key).agg(last("delete").alias("_del"), last("insert").alias("_at"), *[newest(c, t).alias(f"_n_{c}") for c, t in fields])
+    live = lambda s: F.coalesce(s > F.col("_del"), s.isNotNull())
+    plan = folded.select(key, "_del", live(F.col("_at")).alias("_ins"), *[
+        F.when(live(F.col(f"_n_{c}.s")), F.col(f"_n_{c}.v")).alias(f"_n_{c}") for c, _ in fields])
     rows = target.withColumn("_old", F.lit(True)).join(plan, key, "full")
     wiped = F.col("_del").isNotNull()
     kept = (F.col("_old") & ~F.coalesce(wiped, F.lit(False))) | F.coalesce(F.col("_ins"), F.lit(False))

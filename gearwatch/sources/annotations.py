@@ -58,7 +58,8 @@ def label_lines(dets: DataFrame, width, height, with_conf: bool = False) -> Data
 
 def write_labels(dets: DataFrame, path: str, width, height, with_conf: bool = False, mode: str = "append") -> None:
     """Label text files in one folder per image."""
-    label_lines(dets, width, height, with_conf).write.mode(mode).partitionBy("image_id").text(path)
+    lines = label_lines(dets, width, height, with_conf).hint("rebalance", "image_id")  # else every task writes a file per image
+    lines.write.mode(mode).partitionBy("image_id").text(path)
 
 
 def detection_rows(dets: DataFrame, names: dict[int, str]) -> DataFrame:

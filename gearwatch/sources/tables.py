@@ -100,8 +100,15 @@ def write_chunks(chunks: DataFrame, path: str) -> dict[str, float]:
 
 
 def read_registry(spark: SparkSession, path: str | None = None, url: str | None = None, dbtable: str = "machines",
-                  **options: str) -> DataFrame:
-    """A10: the machine registry from Parquet or over JDBC; equality filters, columns and limits go to the source."""
+                  partition: tuple[str, object, object, int] | None = None, **options: str) -> DataFrame:
+    """A10: the machine registry from Parquet or over JDBC; equality filters, columns and limits go to the source.
+
+    ``partition`` = (column, lower bound, upper bound, parts) reads a JDBC table in that many range queries; the
+    bounds only set the ranges, no row is left out.
+    """
+    if partition:
+        names = ("partitionColumn", "lowerBound", "upperBound", "numPartitions")
+        options |= {n: str(v) for n, v in zip(names, partition, strict=True)}
     if url:
         return spark.read.format("jdbc").options(url=url, dbtable=dbtable, **options).load()
     return spark.read.schema(S.REGISTRY).parquet(path)
