@@ -48,9 +48,24 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Scratch paths that this process has handed out.
+SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    SCRATCH.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return SCRATCH[-1]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables of this process; call it once no result that reads them is needed any more."""
+    files, jvm = 0, spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(SCRATCH.pop())
+        files += path.getFileSystem(conf).delete(path, True)
+    return files
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
