@@ -20,7 +20,7 @@ REGISTERS, BAND = 128, 4
 SPACING, RATE, LIMIT = 1.005, 20.0, 65_535
 #: Pairs whose estimate is this far below the threshold are not compared in full: over five deviations of the estimate.
 MARGIN = 0.2
-#: Rows of a bucket that are compared with each other in one go.
+#: Rows of a cluster that are compared with each other in one go.
 BLOCK = 256
 OUTPUTS = ("n_shingles", "component_id", "kept")
 
@@ -176,61 +176,79 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def across(members: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): pairs of one bucket (key, id, component) with different components that may be links.
-
-    A bucket is cut into blocks of about ``block`` rows and every two blocks meet once, so a bucket of any size is
-    compared in full by many tasks. Registers are compared inside the task; only likely pairs leave it, and a pair
-    only from the first band that it shares.
+def grouped(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of one key at a time, from rows sorted by the keys."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        if not len(frame):
+            continue
+        mark = frame[keys].to_numpy()
+        heads = [0, *(np.flatnonzero((mark[1:] != mark[:-1]).any(1)) + 1), len(frame)]
+        for a, b in zip(heads[:-1], heads[1:], strict=True):
+            if held and (held[-1][keys].to_numpy()[-1] != mark[a]).any():
+                yield pd.concat(held)
+                held = []
+            held.append(frame.iloc[a:b])
+    if held:
+        yield pd.concat(held)
+
+
+def across(members: DataFrame, sets: DataFrame, full: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b): verified links between different components of one cluster, from ``members`` (cluster, id, component).
+
+    A cluster holds all rows that buckets lead to from one of them. It is cut into blocks of about ``block`` rows and
+    every two blocks meet once, so a cluster of any size is compared in full by many tasks. Pairs that share a band
+    and have a likely estimate are compared on their full sets inside the task; a link leaves it only if it joins two
+    components that no other link of the task has joined.
     """
     kind = dict(sets.dtypes)["id"]
-    parts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    rows = members.join(parts, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    rows = rows.join(sets.select("id", "n", "registers"), "id")
+    parts = materialise(members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")), "near-clusters")
+    rows = members.join(parts, "cluster").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    rows = rows.join(sets.select("id", "n", "registers"), "id").join(full, "id")
     spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns(
         {"low": F.least("own", "other"), "high": F.greatest("own", "other")})
 
-    def pairs(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        key = frame["key"].iloc[0]
-        ids, comp, n, own = (frame[c].to_numpy() for c in ("id", "component", "n", "own"))
+    def links(frame: pd.DataFrame) -> list[tuple]:
+        ids, n, own = (frame[c].to_numpy() for c in ("id", "n", "own"))
+        root = {c: c for c in frame["component"].tolist()}
+        comp = frame["component"].tolist()
+        full_sets = [np.frombuffer(x, "<u8") for x in frame["shingles"]]
         r = np.frombuffer(b"".join(frame["registers"]), "<u2").reshape(len(frame), -1)
-        h = np.zeros((len(frame), r.shape[1] // BAND), np.uint64) + np.arange(1, r.shape[1] // BAND + 1, dtype=np.uint64)
+        h = np.zeros((len(frame), r.shape[1] // BAND), np.uint64)
         for j in range(BAND):
             h = mix(h * BASE + r.reshape(len(frame), -1, BAND)[:, :, j].astype(np.uint64))
-        band = int(np.flatnonzero(h[0].view(np.int64) == key)[0])
-        same = frame["low"].iloc[0] == frame["high"].iloc[0]
+        same, out = frame["low"].iloc[0] == frame["high"].iloc[0], []
+
+        def top(c):
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
         for i in range(len(frame)):
             j = np.arange(i + 1, len(frame))
-            j = j[(comp[j] != comp[i]) & (same | (own[j] != own[i]))]
+            j = j[(own[j] != own[i]) | same]
             j = j[PARTS * np.minimum(n[j], n[i]) >= SHARE * np.maximum(n[j], n[i])]
-            j = j[~(h[j, :band] == h[i, :band]).any(1)]
-            if len(j):
-                guess = estimate(np.broadcast_to(r[i], (len(j), r.shape[1])), r[j], np.full(len(j), float(n[i])), n[j].astype(float))
-                j = j[guess >= SHARE / PARTS - MARGIN]
-                yield pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
-
-    def each(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in groups:
-            yield from pairs(frame)
-
-    def groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows of one (key, low, high) at a time, from sorted rows."""
-        held: list[pd.DataFrame] = []
-        for frame in frames:
-            if not len(frame):
+            mine = top(comp[i])
+            j = j[[top(comp[x]) != mine for x in j]] if len(j) else j
+            j = j[(h[j] == h[i]).any(1)]
+            if not len(j):
                 continue
-            mark = frame[["key", "low", "high"]].to_numpy()
-            heads = [0, *(np.flatnonzero((mark[1:] != mark[:-1]).any(1)) + 1), len(frame)]
-            for a, b in zip(heads[:-1], heads[1:], strict=True):
-                if held and (held[-1][["key", "low", "high"]].to_numpy()[-1] != mark[a]).any():
-                    yield pd.concat(held)
-                    held = []
-                held.append(frame.iloc[a:b])
-        if held:
-            yield pd.concat(held)
+            guess = estimate(np.broadcast_to(r[i], (len(j), r.shape[1])), r[j], np.full(len(j), float(n[i])), n[j].astype(float))
+            for x in j[guess >= SHARE / PARTS - MARGIN].tolist():
+                if top(comp[x]) != top(comp[i]):
+                    both = len(np.intersect1d(full_sets[i], full_sets[x], assume_unique=True))
+                    if PARTS * both >= SHARE * (n[i] + n[x] - both):
+                        root[top(comp[x])] = top(comp[i])
+                        out.append((min(ids[i], ids[x]), max(ids[i], ids[x])))
+        return out
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in grouped(frames, ["cluster", "low", "high"]):
+            yield pd.DataFrame(links(frame), columns=["a", "b"])
 
-    dealt = spread.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "id")
-    return dealt.mapInPandas(lambda frames: each(groups(frames)), f"a {kind}, b {kind}")
+    dealt = spread.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "id")
+    return dealt.mapInPandas(each, f"a {kind}, b {kind}")
 
 
 def mark_near_duplicates(docs: DataFrame, k: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -238,7 +256,7 @@ def mark_near_duplicates(docs: DataFrame, k: int = SHINGLE, id_column: str = "do
 
     Rows with one set are one class, whose smallest id stands for it. Classes that share a band are candidates. First
     each class is compared with the smallest of its bucket, which settles groups of near copies without pairing them;
-    buckets that then still hold several components are compared in full, block by block. Links are verified on the
+    what buckets with several components lead to is then compared in full, block by block. Links are verified on the
     full sets; ``component_id`` is the smallest id that links lead to, and that row is kept.
 
     A row without words has an empty set and is linked with nothing; so is a row with a null id, which is kept.
@@ -260,11 +278,14 @@ def mark_near_duplicates(docs: DataFrame, k: int = SHINGLE, id_column: str = "do
 
     placed = members.select("key", "id").join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     placed = materialise(placed, "near-members")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
-    rest = materialise(placed.join(mixed, "key"), "near-rest")
-    more = across(rest, classes).distinct().join(star, ["a", "b"], "left_anti")
-    more = materialise(verified(more, full), "near-links")
-    final = components(links.union(more)) if more.limit(1).count() else first
+    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("id").alias("first")).filter("x != y")
+    rest = materialise(placed.join(materialise(mixed.select("key", "first"), "near-mixed"), "key"), "near-rest")
+    more = None
+    if rest.limit(1).count():
+        clusters = components(rest.select(F.col("first").alias("a"), F.col("id").alias("b"))).withColumnRenamed("component", "cluster")
+        open_rows = rest.select("id", "component").distinct().join(clusters, "id")
+        more = materialise(across(open_rows, classes, full), "near-links")
+    final = components(links.union(more)) if more is not None and more.limit(1).count() else first
 
     named = classes.join(final, "id", "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component"))
     named = materialise(named, "near-classes")

@@ -288,18 +288,28 @@ def test_near_dedup_chain_of_copies(spark):
     assert Counter(tuple(r) for r in got) == plain_components(rows, 4)
 
 
-def test_pairs_across_components_meet_in_blocks(spark, monkeypatch):
-    rows = [(i, prose(9, 150) + f" {prose(900 + i, 12)}") for i in range(40)] + [(100 + i, prose(9, 150) + f" {prose(900 + i, 14)}") for i in range(40)]
-    df = spark.createDataFrame(rows, "id long, text string")
-    sets = near_dedup.sketches(df, 4, "id", "text").cache()
-    members = near_dedup.bands(sets).join(sets.select("id", F.col("id").alias("component")), "id").select("key", "id", "component")
-    got = {(r["a"], r["b"]) for r in near_dedup.across(members, sets, block=7).collect()}
-    keys = defaultdict(set)
-    for r in members.collect():
-        keys[r["key"]].add(r["id"])
-    size = {r["id"]: r["n"] for r in sets.collect()}
-    met = {(a, b) for ids in keys.values() for a in ids for b in ids if a < b and 100 * min(size[a], size[b]) >= 80 * max(size[a], size[b])}
-    assert got <= met and len(got) > 0.9 * len(met) > 0
+@pytest.mark.parametrize("block", [7, 256])
+def test_clusters_are_compared_in_full(spark, monkeypatch, block):
+    """Near copies of a text that is not there itself: some pairs are links, most are just below."""
+    base, rows = prose(9, 120).split(), []
+    for i in range(60):
+        own = list(base)
+        for j in range(3):
+            own[(i * 5 + 41 * j + (i % 4)) % 120] = f"z{i}y{j}"
+        rows.append((i, " ".join(own)))
+    rows += [(100 + i, prose(60 + i, 90)) for i in range(10)]
+    monkeypatch.setattr(near_dedup.across, "__defaults__", (block,))
+    got = near_dedup.mark_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert Counter(tuple(r) for r in got) == plain_components(rows, 4)
+
+
+def test_links_across_components(spark):
+    rows = [(i, prose(9, 150) + f" {prose(900 + i, 12)}") for i in range(40)]
+    sets = near_dedup.sketches(spark.createDataFrame(rows, "id long, text string"), 4, "id", "text").cache()
+    full = near_dedup.full_sets(spark.createDataFrame(rows, "doc_id long, text string"), sets.select("id"), 4, "doc_id", "text")
+    members = sets.select(F.lit(0).cast("long").alias("cluster"), "id", F.col("id").alias("component"))
+    got = near_dedup.across(members, sets, full, block=7).select("a", "b").collect()
+    assert len({x for r in got for x in r}) == 40 and len(got) < 40 * 6
 
 
 def test_near_dedup_odd_rows(edges, nothing):
