@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable
 
 #: Distinct pieces that a Python worker remembers; pieces not used for that long are forgotten.
 CACHE = 400_000
-#: Ids are kept in two bytes when the vocabulary allows it.
-SMALL_VOCABULARY = 65_536
 
-ODD_SPACE = re.compile(r" \s|\s ")
+DOUBLE_SPACE = re.compile(r"\s\s")
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-SAFE_LINE = re.compile(r"(?<=\S)\n(?=\S)")
-SPACE = re.compile(r"\s")
-#: Pieces that are encoded at once, a line feed between them.
-TOGETHER = 4096
+#: Marks of ASCII, and the first character beyond the Latin letters whose class all versions of Unicode agree on.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+BEYOND = "ɐ"
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it prints, else one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class Encoder:
     """Ids of texts as little-endian bytes.
 
-    A byte-level vocabulary splits words from each other before it merges, so a text may be cut before a single space,
-    or around a single line feed, that stands between two other characters: the ids of the text are those of its
-    pieces, one after the other. Pieces that were seen before are looked up. ``exact`` encodes whole texts instead.
+    A byte-level vocabulary splits a text into words, numbers, marks and spaces before it merges bytes, so the ids of
+    a text are those of its pieces, one after the other. A text is cut at single spaces and line feeds that stand
+    between two other characters; a piece of letters, or of letters before marks, goes straight to the merges, any
+    other piece through the whole tokenizer; pieces seen before are looked up. Vocabularies of another kind, and
+    ``exact``, encode whole texts.
     """
 
     def __init__(self, path: str, dtype: str = "<u4", exact: bool = False):
@@ -32,10 +39,15 @@ class Encoder:
         import numpy as np
         from tokenizers import Tokenizer
 
-        self.np, self.dtype, self.exact = np, np.dtype(dtype), exact
+        self.np, self.dtype = np, np.dtype(dtype)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        parts = json.loads(self.tokenizer.to_str())
+        before = parts["pre_tokenizer"] or {}
+        by_bytes = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+        self.exact = exact or not by_bytes or parts["normalizer"] is not None or parts["model"]["type"] != "BPE"
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.line = self.whole(["\n"])[0]
         self.known: dict[bool, dict[str, bytes]] = {False: {}, True: {}}  # without and with a space before the piece
         self.older: dict[bool, dict[str, bytes]] = {False: {}, True: {}}
 
@@ -50,42 +62,36 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [self.np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def together(self, words: list[str], lead: str) -> Iterable[bytes]:
-        """Ids of pieces without white space: one text with a line feed between them, cut at its id."""
-        for at in range(0, len(words), TOGETHER):
-            part = words[at : at + TOGETHER]
-            ids = self.np.array(self.tokenizer.encode("\n".join([lead + w for w in part]), add_special_tokens=False).ids, "<u4")
-            cuts = self.np.flatnonzero(ids == self.line[0])
-            raw, size = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
-            edges = [-1, *cuts.tolist(), len(ids)]
-            yield from (raw[(a + 1) * size : b * size] for a, b in zip(edges[:-1], edges[1:], strict=True))
+    def merged(self, piece: str) -> bytes:
+        """Ids of a piece that the vocabulary does not split."""
+        text = piece.encode().decode("latin-1").translate(self.letters)
+        return self.np.array([t.id for t in self.model.tokenize(text)], self.dtype).tobytes()
 
     def learn(self, words: Iterable[str], space: bool) -> None:
         """Make sure that the pieces are known."""
-        known, older, lead = self.known[space], self.older[space], " " if space else ""
-        plain, odd = [], []
+        known, older, plain, lead = self.known[space], self.older[space], self.known[False], " " if space else ""
+        odd = []
         for w in words:
             if w in known:
                 continue
             if w in older:
                 known[w] = older[w]
-            elif not w or SPACE.search(w):
-                parts = SAFE_LINE.split(w)
-                if len(parts) > 1:
-                    self.learn([parts[0]], space)
-                    self.learn(["\n", *parts[1:]], False)
-                    first = self.known[False]
-                    known[w] = known[parts[0]] + b"".join(first["\n"] + first[p] for p in parts[1:])
-                else:
-                    odd.append(w)
+                continue
+            stem = w.rstrip(MARKS)
+            if not w or stem and not (stem.isalpha() and (stem.isascii() or max(stem) < BEYOND)):
+                odd.append(w)
+            elif not stem:
+                known[w] = self.merged(lead + w)
             else:
-                plain.append(w)
+                if stem not in known:
+                    known[stem] = self.merged(lead + stem)
+                if len(stem) < len(w):
+                    marks = w[len(stem) :]
+                    if marks not in plain:
+                        plain[marks] = self.merged(marks)
+                    known[w] = known[stem] + plain[marks]
         if odd:
             known.update(zip(odd, self.whole([lead + w for w in odd]), strict=True))
-        if plain and len(self.line) == 1:
-            known.update(zip(plain, self.together(plain, lead), strict=True))
-        elif plain:
-            known.update(zip(plain, self.whole([lead + w for w in plain]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.exact:
@@ -93,13 +99,16 @@ class Encoder:
         for space in (False, True):
             if len(self.known[space]) > CACHE // 2:
                 self.older[space], self.known[space] = self.known[space], {}
-        cut = [SAFE_SPACE.split(t) if ODD_SPACE.search(t) else t.split(" ") for t in texts]
-        # A space at either end is no safe place; such a text keeps it in its outer piece.
-        cut = [SAFE_SPACE.split(t) if t[:1] == " " or t[-1:] == " " else c for t, c in zip(texts, cut, strict=True)]
-        self.learn({c[0] for c in cut}, False)
-        self.learn({w for c in cut for w in c[1:]}, True)
+        cut = []
+        for t in texts:
+            if not t or t[0].isspace() or t[-1].isspace() or DOUBLE_SPACE.search(t):
+                cut.append([SAFE_SPACE.split(t)])
+            else:
+                cut.append([line.split(" ") for line in t.split("\n")])
+        self.learn({line[0] for c in cut for line in c}, False)
+        self.learn({w for c in cut for line in c for w in line[1:]}, True)
         first, find = self.known[False], self.known[True].__getitem__
-        return [first[c[0]] + b"".join(map(find, c[1:])) for c in cut]
+        return [self.line.join([first[line[0]] + b"".join(map(find, line[1:])) for line in c]) for c in cut]
 
 
 SHARED: dict[tuple[str, str], Encoder] = {}
