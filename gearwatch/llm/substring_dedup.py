@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from gearwatch.llm.words import batches, grams, words
+from gearwatch.llm.words import batches, grams, mix, words
 from gearwatch.session import materialise
 
 #: Consecutive words that make a passage, and words of the phrases that documents are first compared by.
@@ -65,7 +65,7 @@ def phrase_table(rows: DataFrame, window: int) -> DataFrame:
 
 
 def segments(rows: DataFrame, window: int) -> DataFrame:
-    """(id, anchor, start, text): for each run of windows with one recurring anchor, its words from word ``start`` on.
+    """(id, parts): for each run of windows with one recurring anchor, that anchor, its first word and its words.
 
     ``rows`` holds (id, text, anchors): documents with the recurring anchors among theirs.
     """
@@ -81,18 +81,32 @@ def segments(rows: DataFrame, window: int) -> DataFrame:
                         continue
                     heads = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
                     stops = np.r_[heads[1:], len(place)]
-                    own = g[heads].view(np.int64)
+                    own, own_parts = g[heads].view(np.int64), []
                     for k in np.flatnonzero(np.isin(own, np.asarray(wanted[i], np.int64))):
                         a, b = heads[k], stops[k] + window - 1
-                        out.append((ids[i], int(own[k]), int(a), b" ".join(raw[begin[a] : end[b - 1]].split())))
-                yield pd.DataFrame(out, columns=["id", "anchor", "start", "text"])
+                        own_parts.append({"anchor": int(own[k]), "start": int(a), "text": b" ".join(raw[begin[a] : end[b - 1]].split())})
+                    out.append((ids[i], own_parts))
+                yield pd.DataFrame(out, columns=["id", "parts"])
 
     kind = dict(rows.dtypes)["id"]
-    return rows.mapInPandas(cut, f"id {kind}, anchor long, start long, text binary")
+    return rows.mapInPandas(cut, f"id {kind}, parts array<struct<anchor: long, start: long, text: binary>>")
 
 
-def window_hashes(raw: bytes, window: int) -> np.ndarray:
-    return grams(words(np.frombuffer(raw, np.uint8))[2], window).view(np.int64)
+def window_hashes(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text and place in it of every window of the texts, all texts at once."""
+    buf = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    begin, _, h = words(buf)
+    owner = np.searchsorted(starts, begin, "right") - 1
+    first = np.searchsorted(owner, np.arange(len(texts)))
+    g = grams(h, window).view(np.int64)
+    inside = np.flatnonzero(owner[: len(g)] == owner[window - 1 :]) if len(g) else np.zeros(0, np.int64)
+    return g[inside], owner[inside], inside - first[owner[inside]]
+
+
+def documents_of(frame: pd.DataFrame, size: int) -> Iterator[pd.DataFrame]:
+    for at in range(0, len(frame), size):
+        yield frame.iloc[at : at + size]
 
 
 def recurring_windows(found: DataFrame, window: int) -> DataFrame:
@@ -100,13 +114,13 @@ def recurring_windows(found: DataFrame, window: int) -> DataFrame:
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for at in range(0, len(frame), 4096):
-                part = frame.iloc[at : at + 4096]
-                own = [window_hashes(t, window) for t in part["text"]]
-                yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), [len(h) for h in own]), "hash": np.concatenate(own)})
+            for part in documents_of(frame, 256):
+                texts = [(i, p["text"]) for i, parts in zip(part["id"], part["parts"], strict=True) for p in parts]
+                h, owner, _ = window_hashes([t for _, t in texts], window)
+                yield pd.DataFrame({"id": np.array([i for i, _ in texts], part["id"].dtype)[owner], "hash": h})
 
     kind = dict(found.dtypes)["id"]
-    rows = found.select("id", "text").mapInPandas(each, f"id {kind}, hash long")
+    rows = found.mapInPandas(each, f"id {kind}, hash long")
     ends = rows.groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     return ends.filter("first < last").select("hash", "first")
 
@@ -117,18 +131,24 @@ def patterns(found: DataFrame, recurring: DataFrame, window: int) -> DataFrame:
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for anchor, first, text, hashes in frame.itertuples(index=False):
-                good = np.isin(window_hashes(text, window), np.asarray(hashes, np.int64))
-                edges = np.flatnonzero(np.diff(np.r_[0, good.astype(np.int8), 0]))
-                own = text.split() if len(edges) else []
-                for a, b in zip(edges[::2], edges[1::2], strict=True):
-                    out.append((anchor, first, b" ".join(own[a : b + window - 1]), int(b - a)))
-            yield pd.DataFrame(out, columns=["anchor", "first", "text", "n"])
+            for part in documents_of(frame, 256):
+                flat = [(row, i, p) for row, (i, parts) in enumerate(zip(part["id"], part["parts"], strict=True)) for p in parts]
+                h, owner, place = window_hashes([p["text"] for _, _, p in flat], window)
+                # A window is known by its document's row in this batch and its hash.
+                row = np.array([r for r, _, _ in flat], np.uint64)[owner]
+                known = [np.asarray(x, np.int64).view(np.uint64) for x in part["hashes"]]
+                wanted = np.concatenate([mix(x + mix(np.full(len(x), r, np.uint64))) for r, x in enumerate(known)])
+                good = np.isin(mix(h.view(np.uint64) + mix(row)), wanted)
+                own, at = owner[good], place[good]
+                heads = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)]) if len(own) else np.zeros(0, np.int64)
+                out = []
+                for a, b in zip(heads, np.r_[heads[1:], len(own)], strict=True):
+                    _, first, p = flat[own[a]]
+                    out.append((p["anchor"], first, b" ".join(p["text"].split()[at[a] : at[b - 1] + window]), int(b - a)))
+                yield pd.DataFrame(out, columns=["anchor", "first", "text", "n"])
 
     kind = dict(found.dtypes)["id"]
-    rows = found.join(owned, "id").select("anchor", F.col("id").alias("first"), "text", "hashes")
-    return rows.mapInPandas(cut, f"anchor long, first {kind}, text binary, n long")
+    return found.join(owned, "id").select("id", "parts", "hashes").mapInPandas(cut, f"anchor long, first {kind}, text binary, n long")
 
 
 class Automaton:
@@ -182,8 +202,8 @@ def locate(found: DataFrame, recurring: DataFrame, window: int) -> DataFrame:
     shards = int(total // PATTERNS) + 1
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard")
     # A segment may as well stand for its copies: only anchors that have a pattern matter.
-    wanted = known.select("anchor").distinct()
-    texts = found.join(wanted, "anchor").select(shard, "id", "start", "text")
+    wanted = materialise(known.select("anchor").distinct(), "repeat-wanted")
+    texts = found.select("id", F.inline("parts")).join(wanted, "anchor").select(shard, "id", "start", "text")
     load = known.select(shard, "n", F.lit(0).alias("m")).union(texts.select("shard", F.lit(0), F.lit(1)))
     plan = load.groupBy("shard").agg((F.floor(F.sum("n") / PATTERNS) + 1).cast("int").alias("parts"),
                                      (F.floor(F.sum("m") / SEGMENTS) + 1).cast("int").alias("copies"))
