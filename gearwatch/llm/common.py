@@ -13,6 +13,8 @@ from gearwatch.session import materialise
 
 #: Rows of one key are spread over this many parts before they are combined.
 SALTS = 64
+#: Rows that a Python worker takes from Spark at once.
+BATCH_ROWS = 1024
 #: What the operators' contracts call white space: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[ \t\n\x0B\f\r]"
 
@@ -42,6 +44,14 @@ def set_aside(docs: DataFrame, outputs: Sequence[str], needed: Sequence[str]) ->
     return docs.withColumnsRenamed(new), [F.col(f"`{new.get(c, c)}`").alias(c) for c in docs.columns]
 
 
+def bounded_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, after asking the session for batches of at most ``BATCH_ROWS`` rows: rows here hold whole texts."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return docs
+
+
 def crc_mod(id_column: str, n: int) -> Column:
     """Fold of a row: crc32 of its id as text, modulo ``n``."""
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % n

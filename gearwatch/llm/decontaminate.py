@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from gearwatch.llm.common import set_aside, without_clashes
+from gearwatch.llm.common import bounded_batches, set_aside, without_clashes
 from gearwatch.llm.words import batches, grams, mix, words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -216,7 +216,7 @@ def find_passages(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
     than an item do not match it. Repeated rows get the same passages.
     """
     columns = [finder(Benchmark(part))(F.col(text_column)) for part in slices(items, item_column, item_text, bound)]
-    return docs.withColumn("passages", F.array_sort(F.concat(*columns)) if len(columns) > 1 else F.array_sort(columns[0]))
+    return bounded_batches(docs).withColumn("passages", F.array_sort(F.concat(*columns)) if len(columns) > 1 else F.array_sort(columns[0]))
 
 
 def mark_contaminated(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

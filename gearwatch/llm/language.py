@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from gearwatch.llm.common import free_names, without_clashes
+from gearwatch.llm.common import bounded_batches, free_names, without_clashes
 
 DIMS, ORDERS, CLUSTERS = 8192, (1, 2, 3), 4
 #: Centroids are fitted on at most about this many distinct texts of each language, drawn by a hash of the text.
@@ -125,7 +125,7 @@ def document_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
         cells = np.flatnonzero(total)
         yield pd.DataFrame({"cell": cells, "n": total[cells]})
 
-    rows = texts.mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    rows = bounded_batches(texts).mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(DIMS + 1, np.int64)
     out[rows["cell"].to_numpy(int)] = rows["n"].to_numpy(int)
     return out[:DIMS], int(out[DIMS])
@@ -196,7 +196,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_column: str = "text") -
                                          "score": np.where(known, score, 0.0), "rejected": far | ~known}))
             yield pd.concat(out) if out else pd.DataFrame({"nearest": [], "score": [], "rejected": []})
 
-    rows = docs.withColumn(found, nearest(F.col(text_column)))
+    rows = bounded_batches(docs).withColumn(found, nearest(F.col(text_column)))
     near = F.col(f"{found}.nearest")
     return rows.select(*docs.columns, F.when(F.col(f"{found}.rejected") | near.isNull(), UNKNOWN).otherwise(near).alias("lang_pred"),
                        near.alias("nearest"), F.col(f"{found}.rejected").alias("rejected"), F.col(f"{found}.score").alias("score"))

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from gearwatch.llm.common import bounded_batches
 from gearwatch.llm.words import BASE, batches, grams, mix, words
 from gearwatch.session import materialise
 
@@ -90,7 +91,7 @@ def sketches(docs: DataFrame, k: int, id_column: str, text_column: str) -> DataF
 
     kind = dict(docs.dtypes)[id_column]
     rows = docs.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).alias("text"))  # null ids stay null
-    found = rows.mapInPandas(sketch, "id string, n long, d1 long, d2 long, registers binary")
+    found = bounded_batches(rows).mapInPandas(sketch, "id string, n long, d1 long, d2 long, registers binary")
     return found.withColumn("id", F.col("id").cast(kind))
 
 
@@ -153,7 +154,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int, id_column: str, text_colu
                 yield pd.DataFrame({"id": part["id"].array, "shingles": [s.tobytes() for s in shingle_sets(part["text"].tolist(), k)]})
 
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(ids, "id")
-    return rows.dropDuplicates(["id"]).mapInPandas(build, f"id {kind}, shingles binary")
+    return bounded_batches(rows).dropDuplicates(["id"]).mapInPandas(build, f"id {kind}, shingles binary")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from gearwatch.llm.common import bounded_batches
 from gearwatch.llm.tokens import Encoder
 from gearwatch.session import scratch_path
 
@@ -39,7 +40,7 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_column
                 begin += int(n.sum())
 
     path = scratch_path(spark, "packed-tokens")
-    rows = docs.select(F.col(id_column).cast("string").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_column).cast("string").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     schema = "id string, block int, begin long, n long, ids binary"
     rows.mapInPandas(encode, schema).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gearwatch.llm.common import free_names, without_clashes
+from gearwatch.llm.common import bounded_batches, free_names, without_clashes
 from gearwatch.llm.neural import Adam, sigmoid, temperature
 from gearwatch.llm.words import MARKS, batches, words
 from gearwatch.session import materialise
@@ -75,7 +75,7 @@ def context_sums(texts: DataFrame) -> DataFrame:
         at = np.flatnonzero(seen)
         yield pd.DataFrame({"word": at.astype(np.int32), "n": seen[at]} | {n: total[at, i] for i, n in enumerate(names)})
 
-    parts = texts.mapInPandas(count, schema)
+    parts = bounded_batches(texts).mapInPandas(count, schema)
     return parts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ["n", *names]])
 
 
@@ -114,7 +114,7 @@ def pooled(docs: DataFrame, vectors: np.ndarray, text_column: str, keep: list[st
                 out[rows, :DIMS], out[rows, DIMS:] = mean, np.sqrt(np.maximum(square / n - mean * mean, 0))
             yield pd.Series([r.tobytes() for r in out.astype("<f4")], index=series.index)
 
-    return docs.select(*keep, pool(F.col(text_column)).alias(feature))
+    return bounded_batches(docs).select(*keep, pool(F.col(text_column)).alias(feature))
 
 
 @dataclass

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from gearwatch.llm.common import bounded_batches
 from gearwatch.llm.words import batches, grams, mix, words
 from gearwatch.session import materialise
 
@@ -251,7 +252,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_
     repeat each other, and share the spans found for the id where these fit. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    real = rows.filter("id IS NOT NULL")
+    real = bounded_batches(rows).filter("id IS NOT NULL")
     table = materialise(phrase_table(real, window), "repeat-phrases")
     ends = table.groupBy("anchor").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y").select("anchor")
     shared = materialise(ends, "repeat-anchors")

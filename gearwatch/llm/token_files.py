@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from gearwatch.llm.common import bounded_batches
 from gearwatch.llm.range_coder import BLOCK, LANES, decode_blocks, encode_blocks
 from gearwatch.llm.tokens import Encoder
 
@@ -68,7 +69,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         if ready:
             yield flush()
 
-    rows = docs.select(F.col(id_column).alias("order"), F.col(id_column).cast("string").alias("id"),
+    rows = bounded_batches(docs).select(F.col(id_column).alias("order"), F.col(id_column).cast("string").alias("id"),
                        F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     dealt = rows.repartitionByRange("order").sortWithinPartitions("order").select("id", "text")
     dealt.mapInPandas(blocks, SCHEMA).write.parquet(path)

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gearwatch.llm.common import free_names, without_clashes
+from gearwatch.llm.common import bounded_batches, free_names, without_clashes
 from gearwatch.llm.neural import Adam, sigmoid, temperature
 
 #: A window has this many words; the next one starts this many words later.
@@ -431,5 +431,5 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_column: str = "te
                 out.append(model.score(part))
             yield pd.Series(np.concatenate(out) if out else [], index=series.index, dtype=float)
 
-    rows = docs.withColumn(found, score(F.col(text_column))).withColumnRenamed(found, "score")
+    rows = bounded_batches(docs).withColumn(found, score(F.col(text_column))).withColumnRenamed(found, "score")
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
