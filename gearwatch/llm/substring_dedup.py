@@ -170,9 +170,7 @@ class Automaton:
     def add(self, text: bytes, first: int) -> None:
         own = self.text(text.split(), True)
         for i in range(len(own) - self.window + 1):
-            key = own[i : i + self.window]
-            if first < self.machine.get(key, first + 1):
-                self.machine.add_word(key, first)
+            self.machine.add_word(own[i : i + self.window], first)  # a window has one first document
 
     def finish(self) -> None:
         self.machine.make_automaton()
@@ -200,7 +198,7 @@ def locate(found: DataFrame, recurring: DataFrame, window: int) -> DataFrame:
     """
     known = materialise(patterns(found, recurring, window), "repeat-patterns")
     total = known.agg(F.sum("n").alias("n")).first()["n"] or 0
-    shards = int(total // PATTERNS) + 1
+    shards = int(2 * total // PATTERNS) + 1  # about half full, so few need a second automaton
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard")
     # A segment may as well stand for its copies: only anchors that have a pattern matter.
     wanted = materialise(known.select("anchor").distinct(), "repeat-wanted")
