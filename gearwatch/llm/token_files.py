@@ -78,32 +78,30 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
 def read_tokens(spark: SparkSession, path: str, id_type: str = "long", id_column: str = "doc_id") -> DataFrame:
     """(id, start, n_tokens, ids): every document of the files, its little-endian 32-bit ids and the ids before it.
 
-    Blocks are decoded each for itself and checked; a document that lies in one block is whole then, and the parts of
-    one that spans blocks are put together by its place.
+    Blocks are decoded each for itself and checked. The blocks of a part, which is as large as a part of the writer,
+    come in order, so a document that spans blocks is whole with its last one.
     """
     stored = spark.read.schema(SCHEMA).parquet(path)
-    schema = "part int, ordinal long, id string, total long, start long, first long, ids binary"
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[bytes] = []  # what earlier blocks of the part have of a document
         for frame in frames:
             for at in range(0, len(frame), READ_BLOCKS):
                 group, out = frame.iloc[at : at + READ_BLOCKS], []
                 for part, block, spans, ids in zip(group["part"], group["block"], group["spans"], decode_blocks(group["payload"].tolist()), strict=True):
                     raw, place = ids.astype("<u4").tobytes(), 0
                     for s in spans:
-                        out.append((part, s["ordinal"], s["id"], s["total"], s["start"], block * BLOCK + place - s["start"],
-                                    raw[4 * place : 4 * (place + s["n"])]))
+                        held.append(raw[4 * place : 4 * (place + s["n"])])
+                        if s["start"] + s["n"] == s["total"]:
+                            out.append((part, s["id"], s["total"], block * BLOCK + place - s["start"], b"".join(held)))
+                            held = []
                         place += s["n"]
-                yield pd.DataFrame(out, columns=["part", "ordinal", "id", "total", "start", "first", "ids"])
+                yield pd.DataFrame(out, columns=["part", "id", "total", "first", "ids"])
 
-    pieces = stored.select("part", "block", "spans", "payload").mapInPandas(decode, schema)
-    whole = F.expr("length(ids) = 4 * total")
-    joined = pieces.filter(~whole).groupBy("part", "ordinal", "id", "total", "first").agg(  # parts of one document
-        F.array_sort(F.collect_list(F.struct("start", "ids"))).alias("parts"))
-    joined = joined.select("part", "id", "total", "first", F.expr("aggregate(parts, X'', (a, p) -> a || p.ids)").alias("ids"))
+    ordered = stored.select("part", "block", "spans", "payload").repartition("part").sortWithinPartitions("part", "block")
+    rows = ordered.mapInPandas(decode, "part int, id string, total long, first long, ids binary")
     sizes = stored.groupBy("part").agg(F.sum("n").alias("n"))
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     origins = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("origin"))
-    rows = pieces.filter(whole).select("part", "id", "total", "first", "ids").union(joined)
     return rows.join(F.broadcast(origins), "part").select(  # one row for each part
         F.col("id").cast(id_type).alias(id_column), (F.col("origin") + F.col("first")).alias("start"), F.col("total").alias("n_tokens"), "ids")
