@@ -1,8 +1,8 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact weighted similarity."""
+"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact similarity of multisets."""
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,16 +10,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from gearwatch.llm.common import bounded_batches, set_aside, without_clashes
-from gearwatch.llm.words import batches, grams, mix, words
+from gearwatch.llm.words import BASE, batches, grams, mix, words
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Fingerprint bits, and the distance that is searched in full. At the similarity above, two sets of shingles differ in
-#: about 19 of 128 bits, give or take 4; the radius leaves four deviations.
+#: Fingerprint bits, and the distance that is searched in full. Fingerprints are of sets whose elements all weigh the
+#: same (see ``elements``), so at the similarity above two of them differ in about 19 of 128 bits, give or take 4,
+#: whatever the items are; the radius leaves four deviations.
 BITS, RADIUS = 128, 36
 #: Words of benchmark text that one pass over the documents is compared with; a larger benchmark takes more passes.
 SLICE_WORDS = 2_000_000
-#: Weights are whole numbers, so window sums are exact.
-UNIT = 1 << 12
 OUTPUTS = ("contaminated", "items", "n_passages", "similarity")
 PAIRS = 1 << 21
 FILTER = 1 << 20
@@ -36,6 +35,31 @@ def signs(shingles: np.ndarray) -> np.ndarray:
     return np.unpackbits(bits, axis=1).astype(np.int64) * 2 - 1
 
 
+def elements(shingles: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The element that each place adds to a sliding window of ``m`` shingles when it enters, and takes out when it leaves.
+
+    The j-th occurrence of a shingle in a window is an element of its own, so a window is a set without weights, and the
+    Jaccard similarity of two such sets is that of the multisets.
+    """
+    n, place = len(shingles), np.arange(len(shingles))
+    group = np.unique(shingles, return_inverse=True)[1] * n
+    ordered = np.sort(group + place)
+    at = np.searchsorted(ordered, group + place)
+    enters = at - np.searchsorted(ordered, group + np.maximum(place - m + 1, 0))
+    leaves = np.searchsorted(ordered, group + np.minimum(place + m - 1, n - 1), "right") - at - 1
+    return shingles + enters.astype(np.uint64) * BASE, shingles + leaves.astype(np.uint64) * BASE
+
+
+def window_prints(shingles: np.ndarray, m: int) -> np.ndarray:
+    """Fingerprint of each window of ``m`` shingles."""
+    enters, leaves = elements(shingles, m)
+    come = signs(enters)
+    go = come if np.array_equal(enters, leaves) else signs(leaves)
+    sums = np.cumsum(come, 0)[m - 1 :]
+    sums[1:] -= np.cumsum(go, 0)[: len(shingles) - m]
+    return packed(sums)
+
+
 def packed(sums: np.ndarray) -> np.ndarray:
     """Fingerprints as words of 64 bits."""
     return np.packbits(sums > 0, axis=1).view(np.uint64)
@@ -79,47 +103,35 @@ class Index:
 
 
 class Benchmark:
-    """The items of one slice, by their number of words: weights, fingerprints, and a filter of their shingles."""
+    """The items of one slice, by their number of words: counts, fingerprints, and a filter of their shingles."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
         sets: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
-        frequency: Counter[int] = Counter()
         for first, _, buf, starts in batches([t for _, t in items], lower=True):
             begin, _, h = words(buf)
             bounds = np.searchsorted(begin, starts)
             for i in range(len(starts) - 1):
                 own = h[bounds[i] : bounds[i + 1]]
                 if len(own):
-                    s = shingles_of(own)
-                    sets[len(own)].append((items[first + i][0], s))
-                    frequency.update(set(s.tolist()))
-        self.known = np.array(sorted(frequency), np.uint64)
-        # A shingle of many items says less about each of them.
-        self.weights = np.array([max(1, round(UNIT / frequency[int(s)] ** 0.5)) for s in self.known], np.int64)
+                    sets[len(own)].append((items[first + i][0], shingles_of(own)))
+        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *[s for own in sets.values() for _, s in own]]))
         self.filter = np.zeros(FILTER, bool)
         self.filter[(self.known & np.uint64(FILTER - 1)).astype(np.int64)] = True
         self.lengths = {}
         for n, own in sets.items():
             counts = [self.counted(s) for _, s in own]
-            prints = packed(np.stack([(signs(s) * self.weight(s)[:, None]).sum(0) for _, s in own]))
+            prints = np.concatenate([window_prints(s, len(s)) for _, s in own])
             shared = np.zeros(len(self.known), bool)
             for _, s in own:
                 shared[np.searchsorted(self.known, s)] = True
             self.lengths[n] = ([i for i, _ in own], counts, Index(prints), shared)
 
-    def weight(self, shingles: np.ndarray) -> np.ndarray:
-        """Weight of each shingle; one that no item has weighs as much as one of a single item."""
-        if not len(self.known):
-            return np.full(len(shingles), UNIT, np.int64)
-        at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
-        return np.where(self.known[at] == shingles, self.weights[at], UNIT)
-
     def counted(self, shingles: np.ndarray) -> dict[int, int]:
-        values, first, n = np.unique(shingles, return_index=True, return_counts=True)
-        return dict(zip(values.tolist(), (n * self.weight(values)).tolist(), strict=True))
+        values, n = np.unique(shingles, return_counts=True)
+        return dict(zip(values.tolist(), n.tolist(), strict=True))
 
     def similarity(self, window: dict[int, int], item: dict[int, int]) -> float:
-        """Weighted Jaccard: sum of the lesser weights over sum of the greater ones."""
+        """Jaccard of multisets: sum of the lesser counts over sum of the greater ones."""
         both = sum(min(v, item[k]) for k, v in window.items() if k in item)
         return both / (sum(window.values()) + sum(item.values()) - both)
 
@@ -156,8 +168,7 @@ class Benchmark:
             part = starts[a : a + 4096]
             for run in np.split(part, np.flatnonzero(np.diff(part) != 1) + 1):
                 own = s[run[0] : run[-1] + m]
-                sums = np.concatenate([np.zeros((1, BITS), np.int64), np.cumsum(signs(own) * self.weight(own)[:, None], 0)])
-                for window, item in index.near(packed(sums[m:] - sums[:-m])):
+                for window, item in index.near(window_prints(own, m)):
                     for w, i in zip(window.tolist(), item.tolist(), strict=True):
                         value = self.similarity(self.counted(own[w : w + m]), counts[i])
                         if value >= SIMILARITY:
@@ -209,8 +220,8 @@ def find_passages(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
 
     A passage is (item, first word, words, similarity). Each item of n words is compared with every n-word window that
     shares a shingle with an item of that length: windows inside the Hamming radius of its fingerprint are verified by
-    weighted similarity. Words are lower-cased runs without white space. The benchmark reaches the tasks in slices of
-    about ``bound`` words.
+    Jaccard similarity of the multisets of shingles, whatever other items hold. Words are lower-cased runs without white
+    space. The benchmark reaches the tasks in slices of about ``bound`` words.
 
     Null and empty texts have no passages; items without words match nothing; equal items match both. Texts shorter
     than an item do not match it. Repeated rows get the same passages.

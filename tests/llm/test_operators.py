@@ -385,6 +385,50 @@ def test_decontamination_in_slices_and_without_rows(spark, edges, nothing):
     assert decontaminate.mark_contaminated(edges, items.limit(0)).filter("contaminated").count() == 0
 
 
+def changed(text, *places):
+    return " ".join(f"odd{i}" if i in places else w for i, w in enumerate(text.split()))
+
+
+def plain_similarity(a, b):
+    x, y = [Counter(tuple(w[s : s + 5]) for s in range(len(w) - 4)) for w in (a.lower().split(), b.lower().split())]
+    return (x & y).total() / (x | y).total()
+
+
+def test_near_copies_of_repeated_and_templated_items(spark):
+    """One rule for all items: how often a shingle is in the benchmark does not move the threshold."""
+    short, long, frame = prose(50, 54), prose(51, 104), prose(52, 40)
+    items = [short] * 4 + [long] * 16 + [frame + " " + prose(60 + i, 20) for i in range(16)]
+    docs = [changed(short, 27), changed(long, 52), changed(items[20], 50), changed(items[20], 59, 20), changed(short, 25, 40)]
+    # Half of the words are one phrase again and again, and the changed words are one word again and again.
+    items.append(" ".join(["to be or not"] * 13) + " " + prose(53, 52))
+    docs.append(" ".join([*items[-1].split()[:-9], *["so"] * 9]))
+    want = {d: {i for i, t in enumerate(items) if plain_similarity(text, t) >= 0.8} for d, text in enumerate(docs)}
+    assert [bool(want[d]) for d in range(6)] == [True, True, True, True, False, True]
+    got = decontaminate.mark_contaminated(
+        spark.createDataFrame(list(enumerate(f"{prose(70, 30)} {t} {prose(71, 30)}" for t in docs)), "doc_id long, text string"),
+        spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {r["doc_id"]: set(r["items"]) for r in got} == want
+
+
+def test_window_fingerprints_are_those_of_numbered_sets():
+    s = np.random.default_rng(6).integers(0, 9, 60).astype(np.uint64)
+    for m in (1, 7, 60):
+        alone = np.concatenate([decontaminate.window_prints(s[a : a + m], m) for a in range(len(s) - m + 1)])
+        shuffled = np.concatenate([decontaminate.window_prints(np.sort(s[a : a + m]), m) for a in range(len(s) - m + 1)])
+        assert (decontaminate.window_prints(s, m) == alone).all() and (alone == shuffled).all()
+
+
+def test_fingerprints_at_the_threshold_stay_inside_the_radius():
+    """Pairs at 0.8 whose items share all shingles with others, or hold one shingle many times."""
+    rng, missed = np.random.default_rng(7), 0
+    for _ in range(300):
+        common, left, right = rng.integers(0, 2**63, 80, dtype=np.uint64), *rng.integers(0, 2**63, (2, 10), dtype=np.uint64)
+        right[:] = right[0]
+        prints = [decontaminate.window_prints(np.concatenate([common, x]), 90) for x in (left, right)]
+        missed += int(np.bitwise_count(prints[0] ^ prints[1]).sum() > decontaminate.RADIUS)
+    assert missed <= 1
+
+
 def test_hamming_index_finds_all_within_the_radius():
     rng = np.random.default_rng(5)
     prints = rng.integers(0, 2**63, (60, 2), dtype=np.uint64)
