@@ -151,15 +151,16 @@ class Benchmark:
             k = min(SHINGLE, n)
             place, number = hits[k]
             place = place[shared[number]]
-            m, last = n - k + 1, len(hashes) - n
-            if not len(place) or last < 0:
+            size = min(n, len(hashes))  # a text shorter than the item is a window as a whole
+            m, last = size - k + 1, len(hashes) - size
+            if not len(place) or m / (n - k + 1) < SIMILARITY:  # the similarity is at most the ratio of the sizes
                 continue
             # Windows without a shingle of an item of this length have similarity 0 to all of them.
             step = np.zeros(last + 2, np.int64)
             np.add.at(step, np.clip(place - m + 1, 0, last + 1), 1)
             np.add.at(step, np.minimum(place, last) + 1, -1)
             starts = np.flatnonzero(np.cumsum(step[:-1]) > 0)
-            out += self.matches(by_length[k], starts, m, n, items, counts, index)
+            out += self.matches(by_length[k], starts, m, size, items, counts, index)
         return out
 
     def matches(self, s, starts, m, n, items, counts, index) -> list[tuple[int, int, int, float]]:
@@ -223,8 +224,8 @@ def find_passages(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
     Jaccard similarity of the multisets of shingles, whatever other items hold. Words are lower-cased runs without white
     space. The benchmark reaches the tasks in slices of about ``bound`` words.
 
-    Null and empty texts have no passages; items without words match nothing; equal items match both. Texts shorter
-    than an item do not match it. Repeated rows get the same passages.
+    Null and empty texts have no passages; items without words match nothing; equal items match both. A text shorter
+    than an item is compared with it as a whole. Repeated rows get the same passages.
     """
     columns = [finder(Benchmark(part))(F.col(text_column)) for part in slices(items, item_column, item_text, bound)]
     return bounded_batches(docs).withColumn("passages", F.array_sort(F.concat(*columns)) if len(columns) > 1 else F.array_sort(columns[0]))

@@ -410,6 +410,18 @@ def test_near_copies_of_repeated_and_templated_items(spark):
     assert {r["doc_id"]: set(r["items"]) for r in got} == want
 
 
+def test_texts_shorter_than_an_item(spark):
+    item = prose(54, 59)
+    w = item.split()
+    texts = [" ".join(w[:-1]), " ".join(w[1:]), " ".join(w[5:-6]), " ".join(w[5:-7]), " ".join(w[:30] + w[31:]), " ".join(w[:3]), "two", "two words"]
+    got = decontaminate.find_passages(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"),
+        spark.createDataFrame([(1, item), (2, "two words")], "item_id long, text string")).collect()
+    found = {r["doc_id"]: [(p["item"], p["first"], p["words"], p["similarity"]) for p in r["passages"]] for r in got}
+    want = {d: [(1, 0, len(t.split()), plain_similarity(t, item))] if plain_similarity(t, item) >= 0.8 else [] for d, t in enumerate(texts)}
+    assert found == want | {7: [(2, 0, 2, 1.0)]} and [bool(want[d]) for d in range(6)] == [True, True, True, False, True, False]
+
+
 def test_window_fingerprints_are_those_of_numbered_sets():
     s = np.random.default_rng(6).integers(0, 9, 60).astype(np.uint64)
     for m in (1, 7, 60):
