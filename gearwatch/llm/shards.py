@@ -108,44 +108,62 @@ def stretches(giants: list[tuple[int, int]], total: int) -> list[tuple[int, int]
     return out
 
 
+def narrow(known: Ends, ends: DataFrame, low: list[int], high: list[int]) -> None:
+    """Look into the open gaps between two lists of cuts, or into any open ones if there are none."""
+    low = low + [low[-1] if low else 0] * (len(high) - len(low))
+    chosen = np.zeros(len(known.open), bool)
+    for a, b in zip(low, high, strict=False):
+        i, j = np.searchsorted(known.known, [min(a, b), max(a, b)], "right") - 1
+        chosen[max(0, i) : min(j, len(chosen) - 1) + 1] = True
+    gaps = np.flatnonzero(chosen & known.open)[:CELLS // 16]
+    if not len(gaps):
+        gaps = np.flatnonzero(known.open)[:CELLS // 16]
+    known.refine(gaps, look(ends, known.known, gaps))
+
+
+def best_cuts(known: Ends, ends: DataFrame, segments: list[tuple[int, int]], shards: int) -> tuple[int, list[int]]:
+    """The smallest capacity for ``segments`` and its cuts."""
+    while True:
+        best, sure = known.smallest(segments, shards, True), known.smallest(segments, shards, False)
+        if best == sure or not known.open.any():
+            return sure, known.walk(segments, shards, sure, False)[1]
+        narrow(known, ends, known.walk(segments, shards, best, False)[1], known.walk(segments, shards, sure, True)[1])
+
+
+def fits(known: Ends, ends: DataFrame, segments: list[tuple[int, int]], shards: int, capacity: int) -> bool:
+    """Whether ``shards`` shards of at most ``capacity`` hold ``segments``, none of them parts of two."""
+    while True:
+        (sure, low), (hopeful, high) = [known.walk(segments, shards, capacity, h) for h in (False, True)]
+        if sure or not hopeful:
+            return sure
+        narrow(known, ends, low, high)
+
+
 def minimax_cuts(ends: DataFrame, shards: int) -> list[int]:
     """Ascending shard ends over groups (``end``, ``size``) that lie one after the other.
 
-    A group larger than an even share of what is left takes a shard of its own. For the stretches between such groups
-    the smallest capacity is found by binary search, each try filling shards greedily. The driver holds least and
-    largest ends of at most ``CELLS`` cells at a time; only gaps that a cut may fall into are looked at again.
+    The smallest capacity over the whole sequence is found by binary search, each try filling shards greedily. A group
+    larger than an even share of what is left then takes a shard of its own if what lies between such groups still fits
+    that capacity; the stretches are filled up to the smallest capacity that holds them, so the largest shard does not
+    grow. The driver holds least and largest ends of at most ``CELLS`` cells at a time; only gaps that a cut may fall
+    into are looked at again.
     """
     facts = ends.agg(F.max("end").alias("total")).first()
     if not facts or not facts["total"]:
         return []
     total = facts["total"]
-    large = ends.orderBy(F.desc("size"), "end").limit(shards).collect()  # at most one for each shard
-    rest, left, giants, segments = total, shards, [], [(0, total)]
-    for row in large:
-        more = [*giants, (row["end"] - row["size"], row["end"])]
-        between = stretches(more, total)
-        if row["size"] * left > rest and len(between) < left:
-            giants, segments, rest, left = more, between, rest - row["size"], left - 1
-    if not segments:
-        return sorted(e for _, e in giants)
+    large = [(r["end"] - r["size"], r["end"]) for r in ends.orderBy(F.desc("size"), "end").limit(shards).collect()]  # at most one for each shard
     known = Ends(total)
-    known.known = np.unique(np.array([0, total, *[x for s in segments for x in s]], np.int64))
-    known.open = np.array([any(a <= x < b for a, b in segments) for x in known.known[:-1]])
-    while True:
-        best, sure = known.smallest(segments, left, True), known.smallest(segments, left, False)
-        cuts = known.walk(segments, left, sure, False)[1]
-        if best == sure or not known.open.any():
-            break
-        low, high = known.walk(segments, left, best, False)[1], known.walk(segments, left, sure, True)[1]
-        low += [low[-1] if low else 0] * (len(high) - len(low))
-        chosen = np.zeros(len(known.open), bool)
-        for a, b in zip(low, high, strict=False):
-            i, j = np.searchsorted(known.known, [min(a, b), max(a, b)], "right") - 1
-            chosen[max(0, i) : min(j, len(chosen) - 1) + 1] = True
-        gaps = np.flatnonzero(chosen & known.open)[:CELLS // 16]
-        if not len(gaps):
-            gaps = np.flatnonzero(known.open)[:CELLS // 16]
-        known.refine(gaps, look(ends, known.known, gaps))
+    known.known = np.unique(np.array([0, total, *[x for g in large for x in g]], np.int64))
+    known.open = ~np.isin(known.known[:-1], [begin for begin, _ in large])
+    segments, giants, left, rest = [(0, total)], [], shards, total
+    capacity, cuts = best_cuts(known, ends, segments, shards)
+    for begin, end in large:
+        between = stretches([*giants, (begin, end)], total)
+        if (end - begin) * left > rest and len(between) < left and fits(known, ends, between, left - 1, capacity):
+            giants, segments, left, rest = [*giants, (begin, end)], between, left - 1, rest - (end - begin)
+    if giants:
+        cuts = best_cuts(known, ends, segments, left)[1] if segments else []
     return sorted({*cuts, *[e for _, e in giants]})
 
 

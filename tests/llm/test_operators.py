@@ -128,6 +128,25 @@ def test_cuts_stay_best_with_few_cells(spark, monkeypatch):
     assert np.diff([0, *cuts]).max() == least_capacity(sizes.tolist(), 24) and set(cuts) <= set(sizes.cumsum().tolist())
 
 
+@pytest.mark.parametrize(("hot", "share", "gap"), [(10, 0.044, 3), (3, 0.044, 3), (6, 0.054, 3), (1, 0.3, 40), (23, 0.042, 2), (24, 0.04, 0)])
+def test_hot_groups_do_not_raise_the_capacity(spark, monkeypatch, hot, share, gap):
+    monkeypatch.setattr(shards, "CELLS", 256)
+    total, rng = 25_000, np.random.default_rng(hot)
+    sizes = []
+    for _ in range(hot):
+        sizes += [*rng.integers(8, 12, gap).tolist(), int(share * total)]
+    while sum(sizes) < total - 20:
+        sizes.append(int(rng.integers(8, 20)))
+    sizes = np.array(sizes)
+    ends = spark.createDataFrame([(int(e), int(s)) for e, s in zip(sizes.cumsum(), sizes, strict=True)], "end long, size long")
+    cuts = shards.minimax_cuts(ends, 24)
+    assert len(cuts) <= 24 and cuts[-1] == sizes.sum() and set(cuts) <= set(sizes.cumsum().tolist())
+    assert np.diff([0, *cuts]).max() == least_capacity(sizes.tolist(), 24)
+    if hot == 1:  # alone in its shard, so the others are even
+        others = np.sort(np.diff([0, *cuts]))[:-1]
+        assert np.diff([0, *cuts]).max() == int(share * total) and others.max() <= 0.7 * total / 22
+
+
 # ---- tokens, packing, files -------------------------------------------------------------------------------------
 
 def test_pieces_of_words_give_the_ids_of_the_text(tokenizer):
