@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from collections.abc import Callable
+from functools import reduce
 
-from gearwatch.catalog.base import SENSORS, TEL, failures, maint, errors, query, r6, scored, telemetry
+from pyspark.sql import DataFrame, functions as F
+
+from gearwatch import schemas as S
+from gearwatch.catalog.base import COMPS, ERRORS, SENSORS, TEL, TIE, failures, machines, maint, errors, query, r6, scored, telemetry
 from gearwatch.catalog.quality import gappy
 from gearwatch.functions import tiers
-from gearwatch.operators import asof, explain, prepare, series
+from gearwatch.operators import explain, prepare, series
 from gearwatch.plans import training
+from gearwatch.plans.features import feature_columns, feature_table
 from gearwatch.session import materialise
 
 CUTS = ("2024-01-20 23:59:59", "2024-01-25 23:59:59")
@@ -74,22 +79,38 @@ def class_weight(spark, d):
 
 
 def training_rows(spark, d):
-    """Lag and rolling features with the 24-hour failure label, cut by time and written once for the many fit passes."""
-    tel = telemetry(spark, d)
-    rows = asof.add_history(tel, errors(spark, d), maint(spark, d), failures(spark, d), ["error", "view"], ["purchase", "click"])
-    full = series.sensor_features(rows, SENSORS, ["machineID"], ["datetime", "event_id"], lags=[1, 3], means=[3, 6], stds=[6], slopes=[3])
-    rows = training.time_split(full.withColumnRenamed("will_fail_in_24h", "y").drop("will_fail_in_48h"), *CUTS)
-    return materialise(rows, "training")
+    """The full feature table with both failure labels, cut by time and written once for the many fit passes."""
+    full = feature_table(telemetry(spark, d), errors(spark, d), maint(spark, d), failures(spark, d), machines(spark, d),
+                         SENSORS, ERRORS, COMPS, tiebreak=TIE)
+    kinds = dict(full.dtypes)
+    full = full.withColumns({c: F.col(c).cast("double") for c in feature_columns(full) if kinds[c] != "string"})
+    return materialise(training.time_split(full, *CUTS), "training")
 
 
-NUMERIC = [*SENSORS, *[f"{s}_{f}" for s in SENSORS for f in ("lag_1h", "lag_3h", "mean_3h", "mean_6h", "std_6h", "slope_3h")],
-           "error_last_24h", "view_last_24h", "time_since_maint_purchase_h", "time_since_maint_click_h"]
+def inputs(rows) -> tuple[list[str], list[str]]:
+    """Numeric and categorical inputs; a numeric one without any value in the training rows has no mean and is left out."""
+    kinds, names = dict(rows.dtypes), feature_columns(rows)
+    numeric = [c for c in names if kinds[c] == "double"]
+    n = rows.filter("split = 'train'").agg(*[F.count(c).alias(c) for c in numeric]).first()
+    return [c for c in numeric if n[c]], [c for c in names if kinds[c] == "string"]
 
 
-def _scores(spark, d, name, **params):
+def each_horizon(spark, d, run: Callable[[DataFrame, list[str], list[str], int], DataFrame]) -> DataFrame:
+    """What ``run`` gives for the label ``y`` of each horizon, with the horizon."""
     rows = training_rows(spark, d)
-    model = training.fit(rows.filter("split = 'train'"), training.get_model(name, NUMERIC, **params))
-    return training.score(model, rows.filter("split <> 'train'")).select("event_id", "split", "y", F.round("p", 6).alias("p"))
+    numeric, categorical = inputs(rows)
+    labels = {h: f"will_fail_in_{h}h" for h in S.HORIZONS}
+    parts = [run(rows.withColumn("y", F.col(c)).drop(*labels.values()), numeric, categorical, h).withColumn("horizon", F.lit(h))
+             for h, c in labels.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _scores(spark, d, name):
+    def run(rows, numeric, categorical, horizon):
+        model = training.fit(rows.filter("split = 'train'"), training.get_model(name, numeric, categorical))
+        return training.score(model, rows.filter("split <> 'train'")).select("event_id", "split", "y", F.round("p", 6).alias("p"))
+
+    return each_horizon(spark, d, run)
 
 
 @query("i9_oversample")
@@ -104,63 +125,76 @@ def oversample_balance(spark, d):
 
 @query("i10_i14_i15_logistic_scores")
 def logistic_scores(spark, d):
-    return _scores(spark, d, "logistic_regression", max_iter=100)
+    return _scores(spark, d, "logistic_regression")
 
 
 @query("i11_forest_scores")
 def forest_scores(spark, d):
-    return _scores(spark, d, "random_forest", trees=30, depth=8)
+    return _scores(spark, d, "random_forest")
 
 
 @query("i12_boosting_scores")
 def boosting_scores(spark, d):
-    return _scores(spark, d, "gradient_boosting", trees=10, depth=4)
+    return _scores(spark, d, "gradient_boosting")
 
 
 @query("i13_stacked_scores")
 def stacked_scores(spark, d):
-    rows = training_rows(spark, d)
-    bases = {
-        "lr": training.get_model("logistic_regression", NUMERIC, max_iter=30),
-        "rf": training.get_model("random_forest", NUMERIC, trees=10, depth=5),
-    }
-    stack = training.Stack(bases, folds=2).fit(rows.filter("split = 'train'"))
-    return stack.score(rows.filter("split <> 'train'")).select("event_id", "split", "y", F.round("p", 6).alias("p"))
+    def run(rows, numeric, categorical, horizon):
+        bases = {n: training.get_model(n, numeric, categorical) for n in ("logistic_regression", "random_forest", "gradient_boosting")}
+        stack = training.Stack(bases).fit(rows.filter("split = 'train'"))
+        return stack.score(rows.filter("split <> 'train'")).select("event_id", "split", "y", F.round("p", 6).alias("p"))
+
+    return each_horizon(spark, d, run)
 
 
 @query("i16_i19_train_and_evaluate")
 def train_and_evaluate(spark, d):
-    _, metrics = training.train_and_evaluate(training_rows(spark, d), training.get_model("logistic_regression", NUMERIC, max_iter=50))
-    return metrics
+    def run(rows, numeric, categorical, horizon):
+        return training.train_and_evaluate(rows, training.get_model("logistic_regression", numeric, categorical))[1]
+
+    return each_horizon(spark, d, run)
 
 
 @query("i30_grid_search")
 def grid_search(spark, d):
     from pyspark.ml.tuning import ParamGridBuilder
 
-    rows = training_rows(spark, d)
-    pipeline = training.get_model("logistic_regression", NUMERIC, max_iter=20)
-    grid = ParamGridBuilder().addGrid(pipeline.getStages()[-1].regParam, [0.001, 0.1]).build()
-    best = training.grid_search(rows.filter("split = 'train'"), pipeline, grid, folds=2)
-    return training.score(best.bestModel, rows.filter("split = 'test'")).select("event_id", "y", F.round("p", 6).alias("p"))
+    def run(rows, numeric, categorical, horizon):
+        pipeline = training.get_model("logistic_regression", numeric, categorical)
+        grid = ParamGridBuilder().addGrid(pipeline.getStages()[-1].regParam, [0.001, 0.1]).build()
+        best = training.grid_search(rows.filter("split = 'train'"), pipeline, grid)
+        return training.score(best.bestModel, rows.filter("split = 'test'")).select("event_id", "y", F.round("p", 6).alias("p"))
+
+    return each_horizon(spark, d, run)
 
 
 @query("i21_importance")
 def importance(spark, d):
-    rows = training_rows(spark, d)
-    model = training.fit(rows.filter("split = 'train'"), training.get_model("random_forest", NUMERIC, trees=20, depth=6))
-    return explain.importance_table(spark, NUMERIC, model.stages[-1])
+    from pyspark.ml.feature import StringIndexerModel
+
+    def run(rows, numeric, categorical, horizon):
+        model = training.fit(rows.filter("split = 'train'"), training.get_model("random_forest", numeric, categorical))
+        labels = next(s for s in model.stages if isinstance(s, StringIndexerModel)).labelsArray
+        names = [*numeric, *[f"{c}_{v}" for c, values in zip(categorical, labels, strict=True) for v in values]]
+        return explain.importance_table(spark, names, model.stages[-1])
+
+    return each_horizon(spark, d, run)
 
 
 @query("i22_runs_best")
 def runs_best(spark, d):
     from gearwatch.session import scratch_path
 
-    rows = training_rows(spark, d)
     path = scratch_path(spark, "runs")
-    for iterations in (5, 30):
-        _, metrics = training.train_and_evaluate(rows, training.get_model("logistic_regression", NUMERIC, max_iter=iterations))
-        training.append_run(metrics, path, f"lr-{iterations}", {"max_iter": iterations}, {"stage": "trial"})
+
+    def run(rows, numeric, categorical, horizon):
+        for name in ("logistic_regression", "logistic_regression_tuned"):
+            _, metrics = training.train_and_evaluate(rows, training.get_model(name, numeric, categorical))
+            training.append_run(metrics, path, f"{name}-{horizon}h", {"model": name, "horizon": horizon}, {"stage": "trial"})
+        return metrics
+
+    each_horizon(spark, d, run)
     return training.best_runs(spark.read.parquet(path)).select("run", "split", "f1", "f2", "roc_auc")
 
 

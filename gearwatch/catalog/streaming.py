@@ -26,7 +26,7 @@ def _text(df, *cols):
 
 @query("j1_score_stream")
 def score_stream(spark, d):
-    model = training.fit(scored(spark, d), training.get_model("logistic_regression", SENSORS, max_iter=10))
+    model = training.fit(scored(spark, d), training.get_model("logistic_regression", SENSORS))
     sink, checkpoint = jobs.work_folder(spark, "j1")
     source = stream(spark, d).select("event_id", "machineID", "datetime", *SENSORS)
     jobs.with_state(source, jobs.score_batches(model, lambda b: series.cold_start(b, SENSORS)), sink, checkpoint)

@@ -7,10 +7,12 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from gearwatch.catalog.base import SENSORS, scored, telemetry
+from gearwatch.catalog.base import SENSORS, errors, failures, machines, maint, scored, telemetry
 from gearwatch.operators import explain, prepare
 from gearwatch.plans import features, training, transformers
 
+INPUTS = (telemetry, errors, maint, failures, machines)
+
 
 @pytest.fixture(scope="module")
 def separable(spark):
@@ -107,3 +109,44 @@ def test_median_and_mode(spark):
     assert prepare.fill_median(df, ["x"]).filter("x = 3.0").count() == 1
     assert prepare.fill_mode(df, ["k"]).filter("k = 'a'").count() == 3
     assert SENSORS and scored
+
+
+@pytest.mark.parametrize("name", ["i10_i14_i15_logistic_scores", "i11_forest_scores", "i12_boosting_scores", "i13_stacked_scores",
+                                  "i16_i19_train_and_evaluate", "i21_importance", "i22_runs_best", "i30_grid_search", "j1_score_stream"])
+def test_learning_queries_ask_for_whole_models(spark, sf, monkeypatch, name):
+    """No query shrinks a model or its number of folds, and all but the stream get the full feature table and both horizons."""
+    from gearwatch.catalog import QUERIES
+    from gearwatch.catalog.base import SENSORS as sensors
+
+    asked, folds, build, small = [], [], training.get_model, training.MODELS["logistic_regression"]
+
+    def get_model(kind, numeric, categorical=(), scaler="standard", **params):
+        asked.append((kind, set(numeric), list(categorical), params))
+        return build("small", numeric, categorical, scaler)
+
+    class Stack(training.Stack):
+        def __init__(self, bases, label="y", key="event_id", folds_=training.FOLDS, **other):
+            folds.append(other.get("folds", folds_))
+            super().__init__(bases, label, key, 2)
+
+    def grid_search(train, pipeline, grid, label="y", folds_=training.FOLDS, search=training.grid_search, **other):
+        folds.append(other.get("folds", folds_))
+        return search(train, pipeline, grid, label, 2)
+
+    monkeypatch.setitem(training.MODELS, "small", lambda: small(max_iter=2))
+    monkeypatch.setattr(training, "get_model", get_model)
+    monkeypatch.setattr(training, "Stack", Stack)
+    monkeypatch.setattr(training, "grid_search", grid_search)
+    monkeypatch.setattr(explain, "importance_table", lambda spark, names, model, **k: spark.createDataFrame([(len(names), len(model.coefficients))], "a int, b int"))
+    out = QUERIES[name](spark, sf)
+    assert asked and all(params == {} for *_, params in asked) and set(folds) <= {5}
+    if name == "j1_score_stream":
+        return
+    full = set(features.feature_columns(features.feature_table(*[t(spark, sf) for t in INPUTS], sensors, ["error", "view"], ["purchase", "click"])))
+    assert all(numeric | {*categorical} <= full and len(numeric) > 25 and categorical == ["model"] for _, numeric, categorical, _ in asked)
+    if "horizon" in out.columns:
+        assert {r[0] for r in out.select("horizon").distinct().collect()} == {24, 48}
+    if name == "i13_stacked_scores":
+        assert [kind for kind, *_ in asked] == ["logistic_regression", "random_forest", "gradient_boosting"] * 2
+    if name == "i21_importance":
+        assert all(r["a"] == r["b"] for r in out.collect())
