@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gearwatch.operators.prefix import quantiles
-from gearwatch.operators.retrieval import nearest
+from gearwatch.operators.retrieval import _best
 from gearwatch.operators.series import row_positions
+from gearwatch.session import materialise
 
+#: Without effect: neighbours are exact at every size.
 EXACT_NEIGHBOUR_ROWS = 200_000
+#: Rows of a block of the neighbour search, on average.
 BLOCK_ROWS = 2048
 
 
@@ -91,27 +94,45 @@ def class_weight(df: DataFrame, label: str = "y") -> DataFrame:
 def neighbours(df: DataFrame, features: Sequence[str], key: str, k: int = 5) -> DataFrame:
     """k nearest rows of each row by Euclidean distance, as (key, rank, neighbour).
 
-    Exact up to ``EXACT_NEIGHBOUR_ROWS``. Beyond it rows are lined up along the sum of their features and compared
-    inside blocks of ``BLOCK_ROWS`` rows, which keeps the work linear; every row still gets its neighbours.
+    Exact at every size: each block of about ``BLOCK_ROWS`` rows meets every block. A task keeps only the running best
+    rows of its blocks. Smaller keys come first at equal distance; a row with a null feature is no one's neighbour.
     """
-    vec = df.select(key, F.array(*[F.col(f).cast("double") for f in features]).alias("v"))
-    if df.count() <= EXACT_NEIGHBOUR_ROWS:
-        near = nearest(vec, vec.withColumnRenamed(key, "_q"), k, None, "euclidean", key, "v", "_q", "v", exclude_self=True)
-        return near.select(F.col("_q").alias(key), "rank", F.col(key).alias("neighbour"))
-    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
-    lined = row_positions(vec.withColumn("_line", total), [], ["_line", key], "_pos")
-    kind = dict(df.dtypes)[key]
-
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, m = pdf[key].to_numpy(), np.stack(pdf["v"].to_numpy())
-        gap = ((m[:, None, :] - m[None, :, :]) ** 2).sum(axis=2)
-        np.fill_diagonal(gap, np.inf)
-        best = np.argsort(gap, axis=1, kind="stable")[:, : min(k, len(ids) - 1)]
-        rows = [(ids[i], r + 1, ids[j]) for i in range(len(ids)) for r, j in enumerate(best[i])]
-        return pd.DataFrame(rows, columns=[key, "rank", "neighbour"])
-
-    return lined.withColumn("_b", F.floor((F.col("_pos") - 1) / BLOCK_ROWS)).groupBy("_b").applyInPandas(
-        inside, f"{key} {kind}, rank int, neighbour {kind}")
+    vec = df.select(F.col(key).alias("q"), F.array(*[F.col(f).cast("double") for f in features]).alias("v"))
+    n, kind = max(1, -(-df.count() // BLOCK_ROWS)), dict(df.dtypes)[key]
+    rows = F.collect_list(F.struct("q", "v"))
+    blocks = vec.groupBy(F.pmod(F.xxhash64("q"), F.lit(n)).alias("_b")).agg(rows.alias("r"))
+    blocks = materialise(blocks.select("_b", F.col("r.q").alias("ids"), F.flatten("r.v").alias("v")), "neighbour-blocks")
+    # Dealt by the block that asks, so what it found so far stays in its task.
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    met = blocks.select(every.alias("_b"), F.col("_b").alias("c_b"), F.col("ids").alias("c_ids"), F.col("v").alias("c_v"))
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, pd.DataFrame] = {}
+        limit: dict[int, np.ndarray] = {}
+        for frame in frames:
+            for b, ids, v, c_b, c_ids, c_v in zip(*[frame[c] for c in ("_b", "ids", "v", "c_b", "c_ids", "c_v")], strict=True):
+                ids, c_ids = np.asarray(ids), np.asarray(c_ids)
+                x, y = [np.asarray(m, np.float64).reshape(-1, len(features)) for m in (v, c_v)]
+                gap = np.zeros((len(x), len(y)))
+                for f in range(len(features)):
+                    gap += (x[:, f, None] - y[None, :, f]) ** 2
+                if b == c_b:
+                    gap[ids[:, None] == c_ids[None, :]] = np.inf
+                cut = limit.get(b, np.full(len(x), np.inf))
+                if b not in limit and len(y) > k:
+                    cut = np.sqrt(np.partition(gap, k - 1, axis=1)[:, k - 1])
+                # Distances tie when equal to nine places, so a little more than the limit is let through.
+                i, j = np.nonzero((gap <= ((cut + 2e-9) ** 2 * (1 + 1e-12))[:, None]) & np.isfinite(gap))
+                found = pd.DataFrame({"q": ids[i], "id": c_ids[j], "score": -np.round(np.sqrt(gap[i, j]), 9)})
+                best[b] = _best(pd.concat([best[b], found]) if b in best else found, k)
+                own = best[b].groupby("q")["score"].agg(["min", "size"])
+                limit[b] = (-own["min"]).where(own["size"] >= k, np.inf).reindex(ids).fillna(np.inf).to_numpy()
+        yield from best.values()
+
+    found = blocks.repartition(n, "_b").join(met, "_b").mapInPandas(compare, f"q {kind}, id {kind}, score double")
+    order = W.partitionBy("q").orderBy(F.desc("score"), "id")
+    near = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return near.select(F.col("q").alias(key), "rank", F.col("id").alias("neighbour"))
 
 
 def oversample(df: DataFrame, features: Sequence[str], key: str, label: str = "y", k: int = 5, seed: int = 42) -> DataFrame:

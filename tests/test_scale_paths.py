@@ -149,6 +149,19 @@ def test_neighbours_and_oversample(spark, sf, monkeypatch):
         assert near.select("event_id").distinct().count() == df.count()
 
 
+def test_neighbours_are_exact_at_every_size(spark, sf, monkeypatch):
+    df = scored(spark, sf).filter("event_id % 2 = 0")
+    rows = df.select("event_id", *SENSORS).collect()
+    ids, m = np.array([r[0] for r in rows]), np.array([r[1:] for r in rows])
+    gap = np.round(np.sqrt(((m[:, None, :] - m[None, :, :]) ** 2).sum(2)), 9)
+    np.fill_diagonal(gap, np.inf)
+    want = {(int(ids[i]), r + 1, int(ids[j])) for i in range(len(ids)) for r, j in enumerate(np.lexsort((ids, gap[i]))[:4])}
+    monkeypatch.setattr(prepare, "EXACT_NEIGHBOUR_ROWS", 10)
+    for block in (50, 10_000):
+        monkeypatch.setattr(prepare, "BLOCK_ROWS", block)
+        assert {tuple(r) for r in prepare.neighbours(df, SENSORS, "event_id", 4).collect()} == want
+
+
 def test_time_features_of_a_busy_machine(skewed):
     wide = series.time_features(skewed, ["volt"], [3, 24], KEY, bucket_hours=24 * 400)
     cut = series.time_features(skewed, ["volt"], [3, 24], KEY, bucket_hours=48)
