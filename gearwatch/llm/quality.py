@@ -170,7 +170,7 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 11) -> QualityModel:
 
 def features(docs: DataFrame, vectors: np.ndarray, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, feature, draw) of every row, stored once: what scores and the draw of a sample are made from."""
-    rows = docs.select(id_column, text_column, F.xxhash64(text_column).alias("draw"))
+    rows = docs.select(id_column, text_column, F.xxhash64(id_column, text_column).alias("draw"))
     return materialise(pooled(rows, vectors, text_column, [id_column, "draw"], "feature"), "quality-features")
 
 
@@ -178,7 +178,8 @@ def fit_on(rows: DataFrame, labels: DataFrame, learn: Column, id_column: str = "
            sample: int = SAMPLE) -> QualityModel:
     """The network for the labelled rows of ``features`` whose ids ``learn`` allows, at most about ``sample`` of them.
 
-    Null labels are not learned from; of repeated labels of one id the larger counts.
+    Rows are drawn by a hash of id and text, so equal or null texts of many ids are drawn one by one. Null labels are not
+    learned from; of repeated labels of one id the larger counts.
     """
     known = labels.groupBy(id_column).agg(F.max(label_column).cast("int").alias("y")).filter(F.col("y").isNotNull() & learn)
     labelled = rows.join(known, id_column)

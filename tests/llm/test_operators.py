@@ -588,3 +588,12 @@ def test_toxicity_of_odd_rows(spark, edges, nothing):
     scored = toxicity.score_toxicity(edges, model)
     assert scored.count() == len(ROWS) and scored.filter("score < 0 OR score > 1 OR score IS NULL").count() == 0
     assert toxicity.score_toxicity(nothing, toxicity.fit_on(nothing, labels.limit(0), F.lit(True))).count() == 0
+
+
+def test_quality_sample_is_bounded_with_equal_texts(spark, monkeypatch):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "CASE WHEN id % 4 = 0 THEN 'some copy of a text' WHEN id % 4 = 1 THEN concat('text ', id) END AS text")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality")
+    taken = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: taken.append((len(x), y.sum())))
+    quality.fit_on(quality.features(docs, quality.word_vectors(docs.select("text"))), labels, F.lit(True), sample=400)
+    assert 320 <= taken[0][0] <= 480 and 0.4 <= taken[0][1] / taken[0][0] <= 0.6
