@@ -43,14 +43,15 @@ def iou_pairs(labels: DataFrame, dets: DataFrame, keys: Sequence[str], floor: fl
     """Label-detection pairs with IoU of at least (or above) ``floor``.
 
     Boxes that overlap by ``floor`` have sides within a factor 1/floor and near centres, so a label meets only the
-    detections in grid cells of matching size and place. Copies of a box are paired once.
+    detections in grid cells of matching size and place: about ten of them. Copies of a box are paired once.
     """
     keys = list(keys)
     kind = [c for c in ("cls",) if c not in keys]
     left = _named(unique_boxes(labels, keys, "label_id", kind), "l", keys)
     right = _named(unique_boxes(dets, keys, "det_id", [*kind, "conf"], by_conf), "d", keys)
     cells = ["_lw", "_lh", "_gx", "_gy"]
-    pairs = _probe(left, floor).join(_place(right, floor), [*keys, *cells]).drop(*cells)
+    # The optimizer takes an exploded table for as small as the table before, and would broadcast it; a merge join it is.
+    pairs = _probe(left, floor).hint("merge").join(_place(right, floor), [*keys, *cells]).drop(*cells)
     pairs = pairs.withColumn("iou", B.iou(B.corners("l_"), B.corners("d_")))
     return pairs.filter(F.col("iou") > floor if strict else F.col("iou") >= floor)
 
@@ -74,7 +75,8 @@ def best_labels(labels: DataFrame, dets: DataFrame, keys: Sequence[str], floor:
 
 
 def _base(floor: float) -> float:
-    return 1.001 / floor
+    """Ratio of the size levels of the grid: partners of a box lie in two neighbouring levels at most."""
+    return 1.001 / floor**2
 
 
 def _level(side: Column, floor: float) -> Column:
@@ -82,28 +84,32 @@ def _level(side: Column, floor: float) -> Column:
 
 
 def _place(dets: DataFrame, floor: float) -> DataFrame:
-    """Cell of a detection: size level per side, and the centre on a grid of that size."""
+    """Cell of a detection: size level per side, and the centre on a grid as wide as the largest box of that level."""
     w, h = F.col("d_x2") - F.col("d_x1"), F.col("d_y2") - F.col("d_y1")
     out = dets.filter((w > 0) & (h > 0)).withColumns({"_lw": _level(w, floor), "_lh": _level(h, floor)})
     grid = {}
     for g, lv, a, b in (("_gx", "_lw", "d_x1", "d_x2"), ("_gy", "_lh", "d_y1", "d_y2")):
-        grid[g] = F.floor((F.col(a) + F.col(b)) / 2 / F.pow(F.lit(_base(floor)), F.col(lv)))
+        grid[g] = F.floor((F.col(a) + F.col(b)) / 2 / F.pow(F.lit(_base(floor)), F.col(lv) + 1))
     return out.withColumns(grid)
 
 
 def _probe(labels: DataFrame, floor: float) -> DataFrame:
-    """Every cell in which a partner of a label can lie."""
-    base = F.lit(_base(floor))
+    """Every cell in which a partner of a label can lie: one or two levels for each side, and few cells of each.
+
+    A partner of side t has its centre within (s + t) / 2 - floor * max(s, t) of a label of side s, with t between
+    floor * s and s / floor.
+    """
+    base, slack = F.lit(_base(floor)), 1.001
     w, h = F.col("l_x2") - F.col("l_x1"), F.col("l_y2") - F.col("l_y1")
     out = labels.filter((w > 0) & (h > 0)).withColumns({"_w": w, "_h": h})
     for side, lv in (("_w", "_lw"), ("_h", "_lh")):
-        own = _level(F.col(side), floor)
-        out = out.withColumn(lv, F.explode(F.array(own - 1, own, own + 1)))
+        s = F.col(side)
+        out = out.withColumn(lv, F.explode(F.sequence(_level(s * floor / slack, floor), _level(s / floor * slack, floor))))
     for g, lv, side, a, b in (("_gx", "_lw", "_w", "l_x1", "l_x2"), ("_gy", "_lh", "_h", "l_y1", "l_y2")):
-        s, cell = F.col(side), F.pow(base, F.col(lv))
-        top = cell * base
-        smaller = (s + top) / 2 - s * floor
-        reach = F.when(top <= s, smaller).otherwise(F.greatest(s * (1 - floor), (s + top) / 2 - top * floor)) * 1.001
+        s, cell = F.col(side), F.pow(base, F.col(lv) + 1)
+        low, high = F.greatest(s * floor / slack, cell / base), F.least(s / floor * slack, cell)
+        ends = [(s + t) / 2 - F.greatest(s, t) * floor for t in (high, F.least(F.greatest(s, low), high))]
+        reach = (F.greatest(*ends) + s * 1e-3) * slack
         mid = (F.col(a) + F.col(b)) / 2
         out = out.withColumn(g, F.explode(F.sequence(F.floor((mid - reach) / cell), F.floor((mid + reach) / cell))))
     return out.drop("_w", "_h")

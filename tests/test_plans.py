@@ -43,3 +43,16 @@ def test_no_nested_loops_and_no_row_python(static, sf, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     if not name.startswith(PYTHON_OPERATORS):
         assert "BatchEvalPython" not in text and "MapInPandas" not in text
+
+
+@pytest.mark.parametrize("name", ["v5_c8_match", "v6_v8_e14_evaluate", "v7_c9_confusion"])
+def test_exploded_boxes_are_never_broadcast(static, sf, name):
+    """Below a broadcast no box is copied to its cells: how many rows that makes is not known while the plan is made."""
+    lines = plan(QUERIES[name](static, sf)).splitlines()
+    depth = lambda line: len(re.match(r"[ :|+*()\-0-9]*", line).group())
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            for below in lines[i + 1 :]:
+                if depth(below) <= depth(line):
+                    break
+                assert not ("Generate explode" in below and ("_g" in below or "_l" in below)), name
