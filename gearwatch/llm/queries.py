@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gearwatch.llm import (
+    bpe_automaton,
     decontaminate,
     exact_dedup,
     language,
+    merkle,
     near_dedup,
     packing,
     quality,
@@ -16,11 +18,13 @@ from gearwatch.llm import (
     substring_dedup,
     token_files,
     toxicity,
+    whitening,
 )
 from gearwatch.llm.common import crc_mod
 from gearwatch.session import scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
+WORD_VOCABULARY = "word_bpe_49k.json"
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -93,9 +97,30 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_exact_duplicates(documents(spark, sf_dir)).select("doc_id", *exact_dedup.OUTPUTS)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents in a manifest of their table, checked for rows of which a fifth had their text lower-cased."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    text = F.when(crc_mod("doc_id", 5) == 0, F.translate("text", upper, lower)).otherwise(F.col("text"))
+    found = merkle.prove(documents(spark, sf_dir), presented={"text": text})
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of all embeddings along the leading components of their distinct vectors."""
+    return whitening.whiten(documents(spark, sf_dir, "embeddings"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of all documents and of what the ids decode to."""
+    path = public_tokenizers.path(WORD_VOCABULARY)
+    found = bpe_automaton.decode(bpe_automaton.encode(documents(spark, sf_dir).select("doc_id", "text"), path).drop("text"), path)
+    return found.select("doc_id", "n_tokens", F.sha2(bpe_automaton.decimal("ids"), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language, op2_quality, op3_shards, op4_decontamination, op5_packing, op6_toxicity, op7_token_files,
-    op8_substring_dedup, op9_near_dedup, op10_exact_dedup,
+    op8_substring_dedup, op9_near_dedup, op10_exact_dedup, op11_merkle, op12_whitening, op13_bpe,
 )}
 
 ORACLES = {
