@@ -12,6 +12,7 @@ are the rows of a transition table that fills as words need them.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -26,8 +27,8 @@ from gearwatch.llm.common import bounded_batches, without_clashes
 from gearwatch.llm.tokens import byte_letters
 
 OUTPUTS = ("ids", "n_tokens", "decoded")
-#: Rows of the transition table, and words, that a Python worker remembers before it starts anew.
-PLACES, WORDS = 400_000, 400_000
+#: Rows of the transition table, and pieces, that a Python worker remembers before it starts anew.
+PLACES, MEMORY = 100_000, 300_000
 NEVER = 1 << 60
 # The normaliser and the splitter that a vocabulary file must have.
 RULES = [
@@ -38,10 +39,11 @@ RULES = [
          "behavior": "Removed", "invert": True},
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
 ]
-#: Text of printable ASCII and Latin letters that holds no white space splits in Python as it does in the library.
-PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Text of printable ASCII, Latin letters, spaces and line feeds splits in Python as it does in the library.
+PLAIN = re.compile(r"[ -~\nÀ-ÖØ-öø-ÿ]*")
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \na-z0-9ß-öø-ÿ]+")
 LETTERS = byte_letters()
+BYTES = {ord(letter): byte for byte, letter in LETTERS.items()}
 
 
 class Automaton:
@@ -137,42 +139,45 @@ class Reader:
         self.forget()
 
     def forget(self) -> None:
-        self.rows: list[tuple] = [((0, 0),)]
-        self.number: dict[tuple, int] = {self.rows[0]: 0}
+        #: Each row holds node << 32 | state, the longest beginning first.
+        self.rows: list[tuple[int, ...]] = [(0,)]
+        self.number: dict[tuple[int, ...], int] = {(0,): 0}
         self.table: dict[int, int] = {}
-        self.may: dict[tuple[int, int], bool] = {}
+        self.may: dict[int, bool] = {}
 
     def symbols(self, word: str, ends: bool = True) -> list[int] | None:
         """Symbols of a word; its last one carries the mark of the end."""
         try:
             out = [self.symbol[c] for c in word]
-            return out[:-1] + [self.symbol[word[-1] + self.suffix]] if ends and self.suffix else out
+            if ends and self.suffix:
+                out[-1] = self.symbol[word[-1] + self.suffix]
+            return out
         except (KeyError, IndexError):
             return None
 
-    def follows(self, state: int, token: int) -> bool:
-        found = self.may.get((state, token))
-        if found is None:
-            found = self.may[state, token] = self.automaton.follows(state, token)
-        return found
-
     def step(self, place: int, symbol: int) -> int:
         """A new entry of the table: the next place and the token that ends there."""
-        ahead, last = [], -1
-        for node, state in self.rows[place]:
-            child = self.tree.get(node << self.shift | symbol)
+        ahead, last, tree, shift, may = [], -1, self.tree, self.shift, self.may
+        for pending in self.rows[place]:
+            child = tree.get(pending >> 32 << shift | symbol)
             if child is None:
                 continue
-            token = self.token[child]
-            if token >= 0 and self.follows(state, token):
-                last = token
+            if last < 0:  # only one of them completes an arc
+                token, state = self.token[child], pending & 0xFFFFFFFF
+                if token >= 0:
+                    key = state << shift | token
+                    if key not in may:
+                        may[key] = self.automaton.follows(state, token)
+                    if may[key]:
+                        last = token
             if self.inner[child]:
-                ahead.append((child, state))
-        row = tuple(sorted([*ahead, (0, self.automaton.behind[last])]))
+                ahead.append(child << 32 | pending & 0xFFFFFFFF)
+        ahead.append(self.automaton.behind[last])
+        row = tuple(ahead)
         number = self.number.setdefault(row, len(self.rows))
         if number == len(self.rows):
             self.rows.append(row)
-        entry = self.table[place << self.shift | symbol] = number << self.shift | last
+        entry = self.table[place << shift | symbol] = number << shift | last
         return entry
 
     def read(self, word: str) -> list[int]:
@@ -218,14 +223,9 @@ class Codec:
         self.reader = Reader(Automaton(model["vocab"], [tuple(m) for m in model["merges"]]), self.suffix)
         self.special = {t["content"]: t["id"] for t in special}
         self.names = re.compile("(" + ("|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) or "(?!)") + ")")
-        size = max([len(self.reader.automaton.labels), *[i + 1 for i in self.special.values()]])
-        self.labels = self.reader.automaton.labels + [""] * (size - len(self.reader.automaton.labels))
-        for text, number in self.special.items():
-            self.labels[number] = text
-        self.words: dict[str, bytes] = {}
+        self.labels = label_list(path)
         self.pieces: dict[str, bytes] = {}
-        self.older_words: dict[str, bytes] = {}  # what was remembered before the last new start
-        self.older_pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was remembered before the last new start
 
     @classmethod
     def shared(cls, path: str) -> Codec:
@@ -234,47 +234,59 @@ class Codec:
             SHARED[path] = cls(path)
         return SHARED[path]
 
-    def split(self, word: str) -> list[str]:
-        """Pieces of text without spaces, in the letters that stand for their bytes."""
-        if PLAIN.fullmatch(word):
-            pieces = PIECES.findall(word.lower())
-            return pieces if word.isascii() else [p.encode().decode("latin-1").translate(LETTERS) for p in pieces]
-        return [p for p, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(word))]
-
-    def learn(self, word: str) -> None:
-        """Make sure that the ids of a word are known."""
-        if word in self.older_words:
-            self.words[word] = self.older_words[word]
-            return
-        out, pieces, older = [], self.pieces, self.older_pieces
-        for piece in self.split(word):
-            ids = pieces.get(piece)
-            if ids is None:
-                ids = pieces[piece] = older.get(piece) or array("I", self.reader.read(piece)).tobytes()
-            out.append(ids)
-        self.words[word] = out[0] if len(out) == 1 else b"".join(out)
+    def split(self, text: str) -> list[str]:
+        """Pieces of a text without special tokens."""
+        if PLAIN.fullmatch(text):
+            return PIECES.findall(text.lower())
+        out = []
+        for word in text.replace("\n", " ").split(" "):
+            if PLAIN.fullmatch(word):
+                out += PIECES.findall(word.lower())
+            else:
+                found = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(word))
+                out += [p.translate(BYTES).encode("latin-1").decode() for p, _ in found]
+        return out
+
+    def learn(self, piece: str) -> None:
+        """Make sure that the ids of a piece are known."""
+        ids = self.older.get(piece)
+        if ids is None:
+            letters = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(LETTERS)
+            ids = array("I", self.reader.read(letters)).tobytes()
+        self.pieces[piece] = ids
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian 32-bit numbers; null counts as empty."""
-        if len(self.words) > WORDS:
-            self.older_words, self.words = self.words, {}
-        if len(self.pieces) > WORDS:
-            self.older_pieces, self.pieces = self.pieces, {}
-        out, words = [], self.words
+        if len(self.pieces) > MEMORY:
+            self.older, self.pieces = self.pieces, {}
+        out, pieces = [], self.pieces
         for part in self.names.split(text) if text else ():
             if part in self.special:
                 out.append(array("I", [self.special[part]]).tobytes())
-            elif part:
-                run = part.replace("\n", " ").split(" ")
-                for word in run:
-                    if word not in words:
-                        self.learn(word)
-                out += map(words.__getitem__, run)
+                continue
+            run = self.split(part)
+            for piece in run:
+                if piece not in pieces:
+                    self.learn(piece)
+            out += map(pieces.__getitem__, run)
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
-        """The labels of the ids, one space between two."""
-        return " ".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return decode_ids(ids, self.labels)
+
+
+def decode_ids(ids: bytes, labels: list[str]) -> str:
+    """The labels of the ids, one space between two."""
+    return " ".join(map(labels.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+@functools.cache
+def label_list(path: str) -> list[str]:
+    """The label of every id of a vocabulary file, special tokens included."""
+    with open(path, encoding="utf-8") as file:
+        parts = json.load(file)
+    known = {number: text for text, number in parts["model"]["vocab"].items()} | {t["id"]: t["content"] for t in parts["added_tokens"]}
+    return [known.get(i, "") for i in range(max(known, default=-1) + 1)]
 
 
 SHARED: dict[str, Codec] = {}
@@ -298,24 +310,29 @@ def encode(docs: DataFrame, vocabulary: str, text_column: str = "text") -> DataF
     return rows.withColumn("n_tokens", F.floor(F.octet_length("ids") / 4).cast("long"))
 
 
-def decode(rows: DataFrame, vocabulary: str, ids_column: str = "ids") -> DataFrame:
-    """Every row with ``decoded``: the labels of its ids, special tokens too, one space between two; null ids give null."""
-    rows = without_clashes(rows, OUTPUTS[2:], (ids_column,))
+def labels_of(ids: Column, vocabulary: str) -> Column:
+    """The text of ids: their labels, special tokens too, one space between two; null ids give null."""
 
     @F.pandas_udf("string")
     def labels(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec.shared(vocabulary)
+        known = label_list(vocabulary)
         for part in series:
-            yield pd.Series([None if v is None else codec.decode(v) for v in part], index=part.index, dtype=object)
+            yield pd.Series([None if v is None else decode_ids(v, known) for v in part], index=part.index, dtype=object)
 
-    return bounded_batches(rows).withColumn("decoded", labels(F.col(ids_column)))
+    return labels(ids)
 
 
-def decimal(ids_column: str) -> Column:
+def numbers_of(ids: Column) -> Column:
     """Ids as decimal numbers, one space between two; null ids give null."""
 
     @F.pandas_udf("string")
-    def numbers(ids: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else " ".join(map(str, np.frombuffer(v, "<u4").tolist())) for v in ids], index=ids.index, dtype=object)
+    def numbers(series: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else " ".join(map(str, np.frombuffer(v, "<u4").tolist())) for v in series], index=series.index, dtype=object)
+
+    return numbers(ids)
 
-    return numbers(F.col(ids_column))
+
+def decode(rows: DataFrame, vocabulary: str, ids_column: str = "ids") -> DataFrame:
+    """Every row with ``decoded``, the text of its ids; a column of that name is replaced."""
+    rows = without_clashes(rows, OUTPUTS[2:], (ids_column,))
+    return bounded_batches(rows).withColumn("decoded", labels_of(F.col(ids_column), vocabulary))
