@@ -21,12 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from gearwatch.llm.common import bounded_batches, without_clashes
+from gearwatch.llm.common import bounded_batches, free_names, without_clashes
 from gearwatch.llm.tokens import byte_letters
 
-OUTPUTS = ("ids", "n_tokens", "decoded")
+OUTPUTS = ("ids", "n_tokens", "decoded", "numbers")
 #: Rows of the transition table, and pieces, that a Python worker remembers before it starts anew.
 PLACES, MEMORY = 100_000, 300_000
 NEVER = 1 << 60
@@ -280,6 +280,10 @@ def decode_ids(ids: bytes, labels: list[str]) -> str:
     return " ".join(map(labels.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def numbers_of(ids: bytes) -> str:
+    return " ".join(map(str, np.frombuffer(ids, "<u4").tolist()))
+
+
 @functools.cache
 def label_list(path: str) -> list[str]:
     """The label of every id of a vocabulary file, special tokens included."""
@@ -310,8 +314,9 @@ def encode(docs: DataFrame, vocabulary: str, text_column: str = "text") -> DataF
     return rows.withColumn("n_tokens", F.floor(F.octet_length("ids") / 4).cast("long"))
 
 
-def labels_of(ids: Column, vocabulary: str) -> Column:
-    """The text of ids: their labels, special tokens too, one space between two; null ids give null."""
+def decode(rows: DataFrame, vocabulary: str, ids_column: str = "ids") -> DataFrame:
+    """Every row with ``decoded``: the labels of its ids, special tokens too, one space between two; null ids give null."""
+    rows = without_clashes(rows, OUTPUTS[2:3], (ids_column,))
 
     @F.pandas_udf("string")
     def labels(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -319,20 +324,22 @@ def labels_of(ids: Column, vocabulary: str) -> Column:
         for part in series:
             yield pd.Series([None if v is None else decode_ids(v, known) for v in part], index=part.index, dtype=object)
 
-    return labels(ids)
+    return bounded_batches(rows).withColumn("decoded", labels(F.col(ids_column)))
 
 
-def numbers_of(ids: Column) -> Column:
-    """Ids as decimal numbers, one space between two; null ids give null."""
-
-    @F.pandas_udf("string")
-    def numbers(series: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else " ".join(map(str, np.frombuffer(v, "<u4").tolist())) for v in series], index=series.index, dtype=object)
-
-    return numbers(ids)
+def round_trip(docs: DataFrame, vocabulary: str, text_column: str = "text") -> DataFrame:
+    """Every row of ``docs`` without its text, with ``n_tokens``, ``numbers`` (the ids as decimal numbers, one space between two)
+    and ``decoded``: ``encode`` and then ``decode``, without handing the ids back and forth between them."""
+    docs = without_clashes(docs, OUTPUTS[1:], (text_column,))
+    found = free_names(docs, "_found")[0]
 
+    @F.pandas_udf("n_tokens long, numbers string, decoded string")
+    def coded(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec = Codec.shared(vocabulary)
+        for series in texts:
+            ids = [codec.encode(t) for t in series]
+            yield pd.DataFrame({"n_tokens": [len(v) // 4 for v in ids], "numbers": [numbers_of(v) for v in ids],
+                                "decoded": [codec.decode(v) for v in ids]})
 
-def decode(rows: DataFrame, vocabulary: str, ids_column: str = "ids") -> DataFrame:
-    """Every row with ``decoded``, the text of its ids; a column of that name is replaced."""
-    rows = without_clashes(rows, OUTPUTS[2:], (ids_column,))
-    return bounded_batches(rows).withColumn("decoded", labels_of(F.col(ids_column), vocabulary))
+    rows = bounded_batches(docs).withColumn(found, coded(F.col(text_column)))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c != text_column], f"{found}.*")

@@ -15,6 +15,8 @@ from gearwatch.session import materialise
 SALTS = 64
 #: Rows that a Python worker takes from Spark at once.
 BATCH_ROWS = 1024
+#: Bytes that a Python worker takes or gives at once, but for a row that is larger alone.
+BATCH_BYTES = 4 << 20
 #: What the operators' contracts call white space: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[ \t\n\x0B\f\r]"
 
@@ -45,10 +47,15 @@ def set_aside(docs: DataFrame, outputs: Sequence[str], needed: Sequence[str]) ->
 
 
 def bounded_batches(docs: DataFrame) -> DataFrame:
-    """``docs``, after asking the session for batches of at most ``BATCH_ROWS`` rows: rows here hold whole texts."""
-    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    """``docs``, after asking the session for batches of at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes: rows here hold whole texts.
+
+    A batch holds one row at least, so a text that is larger alone is a batch of its own.
+    """
+    conf, arrow = docs.sparkSession.conf, "spark.sql.execution.arrow"
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES), ("maxBytesPerOutputBatch", BATCH_BYTES)):
+        now = conf.get(f"{arrow}.{key}", "-1").lower().removesuffix("b")
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            conf.set(f"{arrow}.{key}", str(most))
     return docs
 
 

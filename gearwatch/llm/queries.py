@@ -112,10 +112,8 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of all documents and of what the ids decode to."""
-    path, ids = public_tokenizers.path(WORD_VOCABULARY), F.col("ids")
-    found = bpe_automaton.encode(documents(spark, sf_dir).select("doc_id", "text"), path)
-    return found.select("doc_id", "n_tokens", F.sha2(bpe_automaton.numbers_of(ids), 256).alias("ids_sha256"),
-                        F.sha2(bpe_automaton.labels_of(ids, path), 256).alias("decoded_sha256"))
+    found = bpe_automaton.round_trip(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path(WORD_VOCABULARY))
+    return found.select("doc_id", "n_tokens", F.sha2("numbers", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (

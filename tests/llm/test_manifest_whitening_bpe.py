@@ -280,6 +280,10 @@ def test_bpe_of_edge_rows(spark, edges, nothing, library):
         assert r["decoded"] == library.decode(ids, skip_special_tokens=False)
     assert set(edges.columns) - {"ids"} <= set(rows.columns)
     assert bpe_automaton.encode(nothing, PATH).count() == 0
+    both = bpe_automaton.round_trip(edges, PATH)
+    assert set(both.columns) == set(edges.columns) - {"text"} | {"n_tokens", "numbers", "decoded"}
+    want = [(r["n_tokens"], " ".join(map(str, np.frombuffer(r["ids"], "<u4"))), r["decoded"]) for r in rows.collect()]
+    assert sorted(tuple(r) for r in both.select("n_tokens", "numbers", "decoded").collect()) == sorted(want)
     with pytest.raises(ValueError, match="vocabulary"):
         bpe_automaton.Codec(public_tokenizers.path("byte_bpe_50k.json"))
     with pytest.raises(ValueError, match="merge 0"):
