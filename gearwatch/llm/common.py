@@ -53,7 +53,7 @@ def bounded_batches(docs: DataFrame) -> DataFrame:
     """
     conf, arrow = docs.sparkSession.conf, "spark.sql.execution.arrow"
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES), ("maxBytesPerOutputBatch", BATCH_BYTES)):
-        now = conf.get(f"{arrow}.{key}", "-1").lower().removesuffix("b")
+        now = conf.get(f"{arrow}.{key}").lower().removesuffix("b")
         if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
             conf.set(f"{arrow}.{key}", str(most))
     return docs
