@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from gearwatch.llm.common import bounded_batches, free_names, without_clashes
+from gearwatch.llm.common import BATCH_BYTES, bounded_batches, free_names, without_clashes
 from gearwatch.llm.tokens import byte_letters
 
 OUTPUTS = ("ids", "n_tokens", "decoded", "numbers")
@@ -310,7 +310,7 @@ def encode(docs: DataFrame, vocabulary: str, text_column: str = "text") -> DataF
         for series in texts:
             yield pd.Series([codec.encode(t) for t in series], index=series.index, dtype=object)
 
-    rows = bounded_batches(docs).withColumn("ids", ids(F.col(text_column)))
+    rows = bounded_batches(docs, BATCH_BYTES).withColumn("ids", ids(F.col(text_column)))
     return rows.withColumn("n_tokens", F.floor(F.octet_length("ids") / 4).cast("long"))
 
 
@@ -324,7 +324,7 @@ def decode(rows: DataFrame, vocabulary: str, ids_column: str = "ids") -> DataFra
         for part in series:
             yield pd.Series([None if v is None else decode_ids(v, known) for v in part], index=part.index, dtype=object)
 
-    return bounded_batches(rows).withColumn("decoded", labels(F.col(ids_column)))
+    return bounded_batches(rows, BATCH_BYTES).withColumn("decoded", labels(F.col(ids_column)))
 
 
 def round_trip(docs: DataFrame, vocabulary: str, text_column: str = "text") -> DataFrame:
@@ -341,5 +341,5 @@ def round_trip(docs: DataFrame, vocabulary: str, text_column: str = "text") -> D
             yield pd.DataFrame({"n_tokens": [len(v) // 4 for v in ids], "numbers": [numbers_of(v) for v in ids],
                                 "decoded": [codec.decode(v) for v in ids]})
 
-    rows = bounded_batches(docs).withColumn(found, coded(F.col(text_column)))
+    rows = bounded_batches(docs, BATCH_BYTES).withColumn(found, coded(F.col(text_column)))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c != text_column], f"{found}.*")

@@ -46,13 +46,14 @@ def set_aside(docs: DataFrame, outputs: Sequence[str], needed: Sequence[str]) ->
     return docs.withColumnsRenamed(new), [F.col(f"`{new.get(c, c)}`").alias(c) for c in docs.columns]
 
 
-def bounded_batches(docs: DataFrame) -> DataFrame:
-    """``docs``, after asking the session for batches of at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes: rows here hold whole texts.
+def bounded_batches(docs: DataFrame, most_bytes: int | None = None) -> DataFrame:
+    """``docs``, after asking the session for batches of at most ``BATCH_ROWS`` rows, and ``most_bytes`` bytes: rows here hold whole texts.
 
     A batch holds one row at least, so a text that is larger alone is a batch of its own.
     """
     conf, arrow = docs.sparkSession.conf, "spark.sql.execution.arrow"
-    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES), ("maxBytesPerOutputBatch", BATCH_BYTES)):
+    sizes = [(key, most_bytes) for key in ("maxBytesPerBatch", "maxBytesPerOutputBatch") if most_bytes]
+    for key, most in [("maxRecordsPerBatch", BATCH_ROWS), *sizes]:
         now = conf.get(f"{arrow}.{key}").lower().removesuffix("b")
         if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
             conf.set(f"{arrow}.{key}", str(most))
@@ -64,6 +65,23 @@ def crc_mod(id_column: str, n: int) -> Column:
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % n
 
 
+def smallest_draws(drawn: DataFrame, key: str, draw: str, sample: int) -> DataFrame:
+    """(key, draw): the ``sample`` smallest distinct draws of each key, a bounded table.
+
+    Copies count once, so a key whose rows are copies of few texts is as sure to be drawn as any other. A share of the draws,
+    twice as many as needed, is cut off first by their size, so no key is ranked in full.
+    """
+    distinct = materialise(drawn.select(key, draw).distinct(), "draws")
+    sizes = {r[key]: r["n"] for r in distinct.groupBy(key).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        return distinct
+    grain = 1 << 30
+    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(grain if n <= 4 * sample else grain * 2 * sample // n))])
+    few = distinct.filter(F.pmod(draw, F.lit(grain)) < share[F.col(key)])
+    rank = F.row_number().over(W.partitionBy(key).orderBy(F.pmod(draw, F.lit(grain)), draw))
+    return few.withColumn("_rank", rank).filter(F.col("_rank") <= sample).select(key, draw)
+
+
 def salted_totals(rows: DataFrame, keys: Sequence[str], salt: str, partial: dict[str, Column],
                   combine: Callable[[Column], Column] | dict[str, Callable[[Column], Column]]) -> DataFrame:
     """Totals of each key, repeated for each salt that the key has: (keys, salt, names of ``partial``).

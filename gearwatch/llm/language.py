@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -10,21 +9,22 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from gearwatch.llm.common import bounded_batches, free_names, without_clashes
+from gearwatch.llm.common import bounded_batches, free_names, smallest_draws, without_clashes
 
 DIMS, ORDERS, CLUSTERS = 8192, (1, 2, 3), 4
-#: Centroids are fitted on at most about this many distinct texts of each language, drawn by a hash of the text.
+#: Centroids are fitted on at most this many distinct texts of each language, drawn by a hash of the text.
 SAMPLE = 512
 #: A text is rejected when its cosine is below this share of its language's training texts, less the slack.
 REJECT_SHARE, REJECT_SLACK = 0.01, 0.05
 UNKNOWN = "und"
 OUTPUTS = ("lang_pred", "nearest", "rejected", "score")
-LETTER = re.compile(r"[^\W\d_]")
+#: What a text must hold to have a language.
+LETTER = r"\p{L}"
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
-#: Which of the first 65,536 characters are letters; all later ones count as letters.
-IS_LETTER = np.array([chr(i).isalpha() for i in range(0x10000)] + [True])
+#: Which characters are letters.
+IS_LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
 def gram_counts(texts: Sequence[str]) -> np.ndarray:
@@ -38,7 +38,7 @@ def gram_counts(texts: Sequence[str]) -> np.ndarray:
 
     def count() -> None:
         chars = np.frombuffer("".join(t for _, t in group).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        letter = IS_LETTER[np.minimum(chars, 0x10000)]
+        letter = IS_LETTER[chars]
         chars[~letter] = 32
         marks = np.concatenate([[0], np.cumsum(~letter)])
         owner = np.repeat(np.arange(len(group)), [len(t) for _, t in group])
@@ -133,21 +133,18 @@ def document_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 def fit(train: DataFrame, text_column: str = "text", lang_column: str = "lang", clusters: int = CLUSTERS,
         sample: int = SAMPLE) -> LanguageModel:
-    """Inverse document frequencies of all training rows, and centroids of about ``sample`` texts per language.
+    """Inverse document frequencies of all training rows, and centroids of ``sample`` distinct texts per language (or all it has).
 
     Rows with a null language or without a letter are not learned from. No row left gives a model without languages.
     """
     rows = train.select(F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang")).filter(
-        F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return LanguageModel(np.zeros(DIMS, np.float32), np.zeros((0, DIMS)), np.zeros(0, int), np.zeros(0), [])
+        F.col("lang").isNotNull() & F.col("text").rlike(LETTER)).withColumn("draw", F.xxhash64("text"))
     seen, n = document_counts(rows.select("text"))
+    if not n:
+        return LanguageModel(np.zeros(DIMS, np.float32), np.zeros((0, DIMS)), np.zeros(0, int), np.zeros(0), [])
     idf = (1 + np.log((1 + n) / (1 + seen))).astype(np.float32)
-    grain = 1 << 30
-    share = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(grain, grain * sample // v + 1)))])
-    drawn = rows.withColumn("draw", F.xxhash64("text")).filter(F.pmod("draw", F.lit(grain)) < share[F.col("lang")])
-    drawn = drawn.dropDuplicates(["lang", "draw"])
+    chosen = smallest_draws(rows, "lang", "draw", sample)
+    drawn = rows.join(F.broadcast(chosen), ["lang", "draw"]).dropDuplicates(["lang", "draw"])  # ``sample`` rows per language
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -159,7 +156,7 @@ def fit(train: DataFrame, text_column: str = "text", lang_column: str = "lang",
                                     "n": [counts[i, c].astype("<f4").tobytes() for i, c in enumerate(cells)]})
 
     vectors = drawn.select("lang", "draw", "text").mapInPandas(pack, "lang string, draw long, cells binary, n binary")
-    learned = vectors.toPandas().sort_values(["lang", "draw"])  # at most about ``sample`` rows for each language
+    learned = vectors.toPandas().sort_values(["lang", "draw"])  # at most ``sample`` rows for each language
     centroids, owner, radius, names = [], [], [], sorted(learned["lang"].unique())
     for i, name in enumerate(names):
         part = learned[learned["lang"] == name]
@@ -191,12 +188,11 @@ def identify(docs: DataFrame, model: LanguageModel, text_column: str = "text") -
             for at in range(0, len(series), 256):
                 part = series.iloc[at : at + 256].tolist()
                 names, score, far = model.predict(part)
-                known = np.array([t is not None and bool(LETTER.search(t)) for t in part], bool)
-                out.append(pd.DataFrame({"nearest": np.where(known, np.array(names, object), None),
-                                         "score": np.where(known, score, 0.0), "rejected": far | ~known}))
+                out.append(pd.DataFrame({"nearest": np.array(names, object), "score": score, "rejected": far}))
             yield pd.concat(out) if out else pd.DataFrame({"nearest": [], "score": [], "rejected": []})
 
     rows = bounded_batches(docs).withColumn(found, nearest(F.col(text_column)))
-    near = F.col(f"{found}.nearest")
-    return rows.select(*docs.columns, F.when(F.col(f"{found}.rejected") | near.isNull(), UNKNOWN).otherwise(near).alias("lang_pred"),
-                       near.alias("nearest"), F.col(f"{found}.rejected").alias("rejected"), F.col(f"{found}.score").alias("score"))
+    has = F.coalesce(F.col(text_column).rlike(LETTER), F.lit(False))
+    near, far = F.when(has, F.col(f"{found}.nearest")), F.col(f"{found}.rejected") | ~has
+    return rows.select(*docs.columns, F.when(far | near.isNull(), UNKNOWN).otherwise(near).alias("lang_pred"), near.alias("nearest"),
+                       far.alias("rejected"), F.when(has, F.col(f"{found}.score")).otherwise(0.0).alias("score"))

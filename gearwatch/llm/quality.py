@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gearwatch.llm.common import bounded_batches, free_names, without_clashes
+from gearwatch.llm.common import BATCH_BYTES, bounded_batches, free_names, without_clashes
 from gearwatch.llm.neural import Adam, sigmoid, temperature
 from gearwatch.llm.words import MARKS, batches, words
 from gearwatch.session import materialise
@@ -90,29 +90,34 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
     return out
 
 
+def pool_texts(texts: list[str], vectors: np.ndarray) -> np.ndarray:
+    """Mean and deviation of the word vectors of each whole text."""
+    out = np.zeros((len(texts), 2 * DIMS), np.float32)
+    for first, word, owner in token_runs(texts):
+        if not len(word):
+            continue
+        heads = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        n = np.diff(np.r_[heads, len(owner)])[:, None]
+        total, square = np.zeros((2, len(heads), DIMS))
+        group = np.cumsum(np.r_[0, owner[1:] != owner[:-1]])
+        for at in range(0, len(word), TOKENS):
+            part, own = vectors[word[at : at + TOKENS]], group[at : at + TOKENS]
+            local = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            total[own[local]] += np.add.reduceat(part, local, axis=0, dtype=np.float64)
+            square[own[local]] += np.add.reduceat(part * part, local, axis=0, dtype=np.float64)
+        mean = total / n
+        rows = first + owner[heads]
+        out[rows, :DIMS], out[rows, DIMS:] = mean, np.sqrt(np.maximum(square / n - mean * mean, 0))
+    return out
+
+
 def pooled(docs: DataFrame, vectors: np.ndarray, text_column: str, keep: list[str], feature: str) -> DataFrame:
-    """``keep`` columns and the mean and deviation of the word vectors of each whole text as little-endian floats."""
+    """``keep`` columns and the pooled word vectors of each whole text as little-endian floats."""
 
     @F.pandas_udf("binary")
     def pool(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in texts:
-            out = np.zeros((len(series), 2 * DIMS), np.float32)
-            for first, word, owner in token_runs(series.tolist()):
-                if not len(word):
-                    continue
-                heads = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-                n = np.diff(np.r_[heads, len(owner)])[:, None]
-                total, square = np.zeros((2, len(heads), DIMS))
-                group = np.cumsum(np.r_[0, owner[1:] != owner[:-1]])
-                for at in range(0, len(word), TOKENS):
-                    part, own = vectors[word[at : at + TOKENS]], group[at : at + TOKENS]
-                    local = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                    total[own[local]] += np.add.reduceat(part, local, axis=0, dtype=np.float64)
-                    square[own[local]] += np.add.reduceat(part * part, local, axis=0, dtype=np.float64)
-                mean = total / n
-                rows = first + owner[heads]
-                out[rows, :DIMS], out[rows, DIMS:] = mean, np.sqrt(np.maximum(square / n - mean * mean, 0))
-            yield pd.Series([r.tobytes() for r in out.astype("<f4")], index=series.index)
+            yield pd.Series([r.tobytes() for r in pool_texts(series.tolist(), vectors).astype("<f4")], index=series.index)
 
     return bounded_batches(docs).select(*keep, pool(F.col(text_column)).alias(feature))
 
@@ -191,6 +196,24 @@ def fit_on(rows: DataFrame, labels: DataFrame, learn: Column, id_column: str = "
     return fit(x, learned["y"].to_numpy())
 
 
+def fit_sampled(docs: DataFrame, vectors: np.ndarray, labels: DataFrame, learn: Column, id_column: str = "doc_id",
+                text_column: str = "text", label_column: str = "quality", sample: int = SAMPLE) -> QualityModel:
+    """As ``fit_on`` over ``features``, for a caller that needs no features of the other rows: the same rows are drawn, by ids
+    and hashes alone, and only their texts are pooled."""
+    keyed = docs.select(id_column, F.xxhash64(id_column, text_column).alias("draw"))
+    known = labels.groupBy(id_column).agg(F.max(label_column).cast("int").alias("y")).filter(F.col("y").isNotNull() & learn)
+    labelled = materialise(keyed.join(known, id_column).select("draw", "y"), "quality-draws")
+    grain = 1 << 30
+    share = min(grain, grain * sample // max(labelled.count(), 1) + 1)
+    chosen = labelled.filter(F.pmod("draw", F.lit(grain)) < share).groupBy("draw", "y").agg(F.count(F.lit(1)).alias("n"))
+    texts = docs.select(text_column, F.xxhash64(id_column, text_column).alias("draw")).join(F.broadcast(chosen), "draw")  # about ``sample`` rows
+    learned = pooled(texts.dropDuplicates(["draw", "y"]), vectors, text_column, ["draw", "y", "n"], "feature").toPandas()
+    learned = learned.sort_values(["draw", "y"])
+    learned = learned.loc[learned.index.repeat(learned["n"])]
+    x = np.stack([np.frombuffer(f, "<f4") for f in learned["feature"]]) if len(learned) else np.zeros((0, 2 * DIMS))
+    return fit(x, learned["y"].to_numpy())
+
+
 def with_scores(rows: DataFrame, model: QualityModel, feature: str = "feature", score: str = "score",
                 predicted: str = "predicted") -> DataFrame:
     """``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (score >= 0.5) in place of the features."""
@@ -217,6 +240,12 @@ def score_quality(docs: DataFrame, vectors: np.ndarray, model: QualityModel, tex
 
 def drop_rejected(docs: DataFrame, vectors: np.ndarray, model: QualityModel, text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score is at least one half, with all their own columns."""
-    feature, score, predicted = free_names(docs, "_feature", "_score", "_predicted")
-    scored = with_scores(pooled(docs, vectors, text_column, docs.columns, feature), model, feature, score, predicted)
-    return scored.filter(F.col(predicted) == 1).select(*docs.columns)
+    score = free_names(docs, "_score")[0]
+
+    @F.pandas_udf("double")
+    def rate(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in texts:
+            yield pd.Series(model.score(pool_texts(series.tolist(), vectors)), index=series.index, dtype=float)
+
+    scored = bounded_batches(docs, BATCH_BYTES).withColumn(score, rate(F.col(text_column)))
+    return scored.filter(F.col(score) >= 0.5).select(*docs.columns)

@@ -28,7 +28,8 @@ class Encoder:
     """Ids of texts as little-endian bytes.
 
     A byte-level vocabulary splits a text into words, numbers, marks and spaces before it merges bytes, so the ids of
-    a text are those of its pieces, one after the other. A text is cut at single spaces and line feeds that stand
+    a text are those of its pieces, one after the other; a text with the name of a special token goes through the tokenizer
+    as a whole. Any other text is cut at single spaces and line feeds that stand
     between two other characters; a piece of letters, or of letters before marks, goes straight to the merges, any
     other piece through the whole tokenizer; pieces seen before are looked up. Vocabularies of another kind, and
     ``exact``, encode whole texts.
@@ -41,11 +42,11 @@ class Encoder:
 
         self.np, self.dtype = np, np.dtype(dtype)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         parts = json.loads(self.tokenizer.to_str())
         before = parts["pre_tokenizer"] or {}
         by_bytes = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
         self.exact = exact or not by_bytes or parts["normalizer"] is not None or parts["model"]["type"] != "BPE"
+        self.special = [t["content"] for t in parts["added_tokens"]]  # their names in a text are their ids
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.line = self.whole(["\n"])[0]
         self.known: dict[bool, dict[str, bytes]] = {False: {}, True: {}}  # without and with a space before the piece
@@ -101,14 +102,17 @@ class Encoder:
                 self.older[space], self.known[space] = self.known[space], {}
         cut = []
         for t in texts:
-            if not t or t[0].isspace() or t[-1].isspace() or DOUBLE_SPACE.search(t):
+            if any(name in t for name in self.special):
+                cut.append(None)
+            elif not t or t[0].isspace() or t[-1].isspace() or DOUBLE_SPACE.search(t):
                 cut.append([SAFE_SPACE.split(t)])
             else:
                 cut.append([line.split(" ") for line in t.split("\n")])
-        self.learn({line[0] for c in cut for line in c}, False)
-        self.learn({w for c in cut for line in c for w in line[1:]}, True)
+        self.learn({line[0] for c in cut if c for line in c}, False)
+        self.learn({w for c in cut if c for line in c for w in line[1:]}, True)
         first, find = self.known[False], self.known[True].__getitem__
-        return [self.line.join([first[line[0]] + b"".join(map(find, line[1:])) for line in c]) for c in cut]
+        join = lambda c: self.line.join([first[line[0]] + b"".join(map(find, line[1:])) for line in c])
+        return [join(c) if c else self.whole([t])[0] for c, t in zip(cut, texts, strict=True)]
 
 
 SHARED: dict[tuple[str, str], Encoder] = {}

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gearwatch.llm.common import bounded_batches, free_names, without_clashes
+from gearwatch.llm.common import bounded_batches, free_names, smallest_draws, without_clashes
 from gearwatch.llm.neural import Adam, sigmoid, temperature
 
 #: A window has this many words; the next one starts this many words later.
@@ -241,11 +241,14 @@ class ToxicityModel:
             np.maximum.at(best, owner[at : at + 2048], logits)
         return sigmoid(best / self.temperature)
 
+    def forget(self) -> None:
+        self.memory.clear()
+        self.rows.clear()
+
     def lookup(self, words: list[bytes]) -> np.ndarray:
         """Vectors of distinct words; those of earlier calls are remembered, up to ``CACHE`` words."""
         if len(self.memory) > CACHE:
-            self.memory.clear()
-            self.rows.clear()
+            self.forget()
         new = [w for w in words if w not in self.memory]
         if new:
             at = sum(map(len, self.rows))
@@ -296,14 +299,23 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 5) -> ToxicityModel:
     ids = [np.array([number[w] for w in c]) for c in cut]
     bucket = fnv(vocabulary)
     grid, piece_word = pieces(vocabulary)
-    model.word_odds = odds([bucket[i] for i in ids], y, BUCKETS)
     piece_first = np.searchsorted(piece_word, np.arange(len(vocabulary) + 1))
+    by_gram = {}
     for n in GRAMS:
         cells = gram_cells(grid, n)
         by_word = [cells[a:b][cells[a:b] >= 0] for a, b in zip(piece_first[:-1], piece_first[1:], strict=True)]
-        model.gram_odds[n] = odds([np.concatenate([by_word[w] for w in np.unique(i)]) for i in ids], y, BUCKETS)
+        by_gram[n] = [np.concatenate([by_word[w] for w in np.unique(i)]) for i in ids]
+
+    def count_odds(chosen: np.ndarray) -> None:
+        model.word_odds = odds([bucket[ids[i]] for i in chosen], y[chosen], BUCKETS)
+        for n in GRAMS:
+            model.gram_odds[n] = odds([by_gram[n][i] for i in chosen], y[chosen], BUCKETS)
+
     order = rng.permutation(len(y))
     aside, rest = order[: len(y) // CALIBRATE], order[len(y) // CALIBRATE :]
+    if len(np.unique(y[rest])) < 2:
+        aside, rest = order[:0], order  # a label of so few texts is needed for the weights
+    count_odds(order)
     share = y[rest].mean()
     adam = Adam(p, RATE)
     for turn in range(ROUNDS):
@@ -315,19 +327,20 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 5) -> ToxicityModel:
             labels = y[[d for d, _ in part]]
             weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) ** 0.5
             adam.step(gradients(model, [ids[d][s : s + WINDOW] for d, s in part], labels, weight, vocabulary, bucket, grid, piece_first))
-    held = model.score([texts[i] for i in aside])
-    held = np.clip(held, 1e-7, 1 - 1e-7)
-    model.temperature = temperature(np.log(held / (1 - held)), y[aside])
-    model.memory.clear()
-    model.rows.clear()
+    if len(aside):
+        count_odds(rest)  # those that the texts set aside had no part in
+        model.forget()
+        held = np.clip(model.score([texts[i] for i in aside]), 1e-7, 1 - 1e-7)
+        model.temperature = temperature(np.log(held / (1 - held)), y[aside])
+        count_odds(order)
+    model.forget()
     return model
 
 
 def choose_windows(model, ids, docs, y, vocabulary, rng, turn) -> list[tuple[int, int]]:
     """(text, start) of one window of each text: the most suspicious one by odds at first, by the network later."""
     out = []
-    model.memory.clear()
-    model.rows.clear()
+    model.forget()
     table = model.lookup(vocabulary) if turn >= 2 else None
     p = model.params
     projections = tuple(table @ p[f"word.{s}.w"] + p[f"word.{s}.b"] for s in "fg") if table is not None else None
@@ -391,19 +404,17 @@ def gradients(model, windows, labels, weight, vocabulary, bucket, grid, piece_fi
 
 def fit_on(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc_id", text_column: str = "text",
            label_column: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
-    """The networks for labelled rows whose ids ``learn`` allows, at most about ``sample`` distinct texts of each label.
+    """The networks for labelled rows whose ids ``learn`` allows, at most ``sample`` distinct texts of each label.
 
     Null labels are not learned from; of repeated labels of one id the larger counts.
     """
     known = labels.groupBy(id_column).agg(F.max(label_column).cast("int").alias("y")).filter(F.col("y").isNotNull() & learn)
-    light = docs.select(id_column, F.coalesce(F.col(text_column), F.lit("")).alias("text")).join(known, id_column)
-    sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    grain = 1 << 30
-    if not sizes:
-        return fit([], np.zeros(0))
-    share = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(grain, grain * sample // v + 1)))])
-    drawn = light.withColumn("draw", F.xxhash64("text")).filter(F.pmod("draw", F.lit(grain)) < share[F.col("y")])
-    learned = drawn.select("draw", "y", "text").dropDuplicates(["draw", "y"]).toPandas().sort_values(["draw", "y"])
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    # Only ids and hashes meet the labels; texts are fetched for the chosen hashes, a table of bounded size.
+    hashed = docs.select(id_column, F.xxhash64(text).alias("draw")).join(known, id_column).select("y", "draw")
+    chosen = smallest_draws(hashed, "y", "draw", sample)
+    texts = docs.select(text.alias("text"), F.xxhash64(text).alias("draw")).join(F.broadcast(chosen), "draw")
+    learned = texts.dropDuplicates(["draw", "y"]).toPandas().sort_values(["draw", "y"])
     return fit(learned["text"].tolist(), learned["y"].to_numpy())
 
 

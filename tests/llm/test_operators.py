@@ -36,7 +36,6 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 @pytest.fixture(scope="module")
 def tokenizer():
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     return t
 
 
