@@ -26,7 +26,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     vectors = quality.word_vectors(docs.select("text"))
-    model = quality.fit_on(quality.features(docs, vectors), labels, crc_mod("doc_id", 3) != 1)
+    model = quality.fit_sampled(docs, vectors, labels, crc_mod("doc_id", 3) != 1)
     return quality.drop_rejected(docs, vectors, model)
 
 
