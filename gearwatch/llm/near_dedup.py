@@ -23,6 +23,8 @@ SPACING, RATE, LIMIT = 1.005, 20.0, 65_535
 MARGIN = 0.2
 #: Rows of a cluster that are compared with each other in one go.
 BLOCK = 256
+#: Rows that a task remembers while it thins out links.
+FOREST = 500_000
 OUTPUTS = ("n_shingles", "component_id", "kept")
 
 _RNG = np.random.Generator(np.random.PCG64(99))
@@ -157,12 +159,43 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int, id_column: str, text_colu
     return bounded_batches(rows).dropDuplicates(["id"]).mapInPandas(build, f"id {kind}, shingles binary")
 
 
+def thinned(links: DataFrame) -> DataFrame:
+    """Links that lead to the same components: in each task those that close a circle are left out.
+
+    The links of one row meet in one task. Rows of a large group have many leaders in common, so of the links of a task hardly
+    more than its rows are left. A task that has seen ``FOREST`` rows starts anew, which only leaves more links.
+    """
+    kind = dict(links.dtypes)["a"]
+
+    def forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        root: dict = {}
+
+        def top(x):
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for frame in frames:
+            if len(root) > FOREST:
+                root.clear()
+            kept = []
+            for a, b in zip(frame["a"].tolist(), frame["b"].tolist(), strict=True):
+                x, y = top(a), top(b)
+                kept.append(x != y)
+                root[x] = y
+            yield frame[np.array(kept, bool)]
+
+    return links.select("a", "b").repartition("b").mapInPandas(forest, f"a {kind}, b {kind}")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id of the links (a, b): the smallest id that links lead to.
 
     Each round takes the least label among neighbours, then the label of the label, until none changes.
     """
-    both = materialise(links.select("a", "b").union(links.select("b", "a")).toDF("id", "other").distinct(), "near-edges")
+    links = materialise(thinned(links), "near-forest")
+    both = materialise(links.union(links.select("b", "a")).toDF("id", "other").distinct(), "near-edges")
     labels = materialise(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("component")), "near-labels")
     while True:
         other = labels.select(F.col("id").alias("other"), F.col("component").alias("near"))

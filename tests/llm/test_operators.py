@@ -596,3 +596,17 @@ def test_quality_sample_is_bounded_with_equal_texts(spark, monkeypatch):
     monkeypatch.setattr(quality, "fit", lambda x, y: taken.append((len(x), y.sum())))
     quality.fit_on(quality.features(docs, quality.word_vectors(docs.select("text"))), labels, F.lit(True), sample=400)
     assert 320 <= taken[0][0] <= 480 and 0.4 <= taken[0][1] / taken[0][0] <= 0.6
+
+
+def test_thinned_links_lead_to_the_same_components(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    pairs = [(int(x) + 50 * g, int(y) + 50 * g) for g in range(4) for x, y in rng.integers(0, 40, (400, 2)) if x < y]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    want = {i: i for p in pairs for i in p}
+    for _ in want:
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    for most in (500_000, 3):
+        monkeypatch.setattr(near_dedup, "FOREST", most)
+        assert near_dedup.thinned(links).count() < len(pairs)
+        assert {r["id"]: r["component"] for r in near_dedup.components(links).collect()} == want
