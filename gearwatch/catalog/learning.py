@@ -105,9 +105,9 @@ def each_horizon(spark, d, run: Callable[[DataFrame, list[str], list[str], int],
     return reduce(DataFrame.unionByName, parts)
 
 
-def _scores(spark, d, name):
+def _scores(spark, d, name, **more):
     def run(rows, numeric, categorical, horizon):
-        model = training.fit(rows.filter("split = 'train'"), training.get_model(name, numeric, categorical))
+        model = training.fit(rows.filter("split = 'train'"), training.get_model(name, numeric, categorical, **more))
         return training.score(model, rows.filter("split <> 'train'")).select("event_id", "split", "y", F.round("p", 6).alias("p"))
 
     return each_horizon(spark, d, run)
@@ -128,6 +128,12 @@ def logistic_scores(spark, d):
     return _scores(spark, d, "logistic_regression")
 
 
+@query("i9_oversampled_scores")
+def oversampled_scores(spark, d):
+    """The default of training: classes made equal in size before the fit."""
+    return _scores(spark, d, "logistic_regression", oversample=True)
+
+
 @query("i11_forest_scores")
 def forest_scores(spark, d):
     return _scores(spark, d, "random_forest")
@@ -140,12 +146,7 @@ def boosting_scores(spark, d):
 
 @query("i13_stacked_scores")
 def stacked_scores(spark, d):
-    def run(rows, numeric, categorical, horizon):
-        bases = {n: training.get_model(n, numeric, categorical) for n in ("logistic_regression", "random_forest", "gradient_boosting")}
-        stack = training.Stack(bases).fit(rows.filter("split = 'train'"))
-        return stack.score(rows.filter("split <> 'train'")).select("event_id", "split", "y", F.round("p", 6).alias("p"))
-
-    return each_horizon(spark, d, run)
+    return _scores(spark, d, "stacking")
 
 
 @query("i16_i19_train_and_evaluate")

@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from gearwatch.operators import vectors
 from gearwatch.operators.prefix import quantiles
-from gearwatch.operators.retrieval import _best
-from gearwatch.operators.series import row_positions
-from gearwatch.session import materialise
-
-#: Without effect: neighbours are exact at every size.
-EXACT_NEIGHBOUR_ROWS = 200_000
-#: Rows of a block of the neighbour search, on average.
-BLOCK_ROWS = 2048
+from gearwatch.operators.series import numbered
 
 
 def _row_of(stats: DataFrame, columns: Sequence[str], value: str) -> Column:
@@ -80,7 +73,7 @@ def one_hot(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
 def label_codes(df: DataFrame, column: str) -> DataFrame:
     """Code of each value in sorted order, null as the text ``nan``."""
     named = df.withColumn(column, F.coalesce(F.col(column).cast("string"), F.lit("nan")))
-    codes = row_positions(named.select(column).distinct(), [], [column], "_code", hot_rows=None)
+    codes = numbered(named.select(column).distinct(), [column], "_code")
     return named.join(codes, column).withColumn(f"{column}_code", (F.col("_code") - 1).cast("int")).drop("_code")
 
 
@@ -94,45 +87,17 @@ def class_weight(df: DataFrame, label: str = "y") -> DataFrame:
 def neighbours(df: DataFrame, features: Sequence[str], key: str, k: int = 5) -> DataFrame:
     """k nearest rows of each row by Euclidean distance, as (key, rank, neighbour).
 
-    Exact at every size: each block of about ``BLOCK_ROWS`` rows meets every block. A task keeps only the running best
-    rows of its blocks. Smaller keys come first at equal distance; a row with a null feature is no one's neighbour.
+    Exact at every size: blocks of rows meet every slice of the rows (``vectors.search``). Smaller keys come first at equal
+    distance; a row with a null feature is no one's neighbour.
     """
-    vec = df.select(F.col(key).alias("q"), F.array(*[F.col(f).cast("double") for f in features]).alias("v"))
-    n, kind = max(1, -(-df.count() // BLOCK_ROWS)), dict(df.dtypes)[key]
-    rows = F.collect_list(F.struct("q", "v"))
-    blocks = vec.groupBy(F.pmod(F.xxhash64("q"), F.lit(n)).alias("_b")).agg(rows.alias("r"))
-    blocks = materialise(blocks.select("_b", F.col("r.q").alias("ids"), F.flatten("r.v").alias("v")), "neighbour-blocks")
-    # Dealt by the block that asks, so what it found so far stays in its task.
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    met = blocks.select(every.alias("_b"), F.col("_b").alias("c_b"), F.col("ids").alias("c_ids"), F.col("v").alias("c_v"))
-
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, pd.DataFrame] = {}
-        limit: dict[int, np.ndarray] = {}
-        for frame in frames:
-            for b, ids, v, c_b, c_ids, c_v in zip(*[frame[c] for c in ("_b", "ids", "v", "c_b", "c_ids", "c_v")], strict=True):
-                ids, c_ids = np.asarray(ids), np.asarray(c_ids)
-                x, y = [np.asarray(m, np.float64).reshape(-1, len(features)) for m in (v, c_v)]
-                gap = np.zeros((len(x), len(y)))
-                for f in range(len(features)):
-                    gap += (x[:, f, None] - y[None, :, f]) ** 2
-                if b == c_b:
-                    gap[ids[:, None] == c_ids[None, :]] = np.inf
-                cut = limit.get(b, np.full(len(x), np.inf))
-                if b not in limit and len(y) > k:
-                    cut = np.sqrt(np.partition(gap, k - 1, axis=1)[:, k - 1])
-                # Distances tie when equal to nine places, so a little more than the limit is let through.
-                i, j = np.nonzero((gap <= ((cut + 2e-9) ** 2 * (1 + 1e-12))[:, None]) & np.isfinite(gap))
-                found = pd.DataFrame({"q": ids[i], "id": c_ids[j], "score": -np.round(np.sqrt(gap[i, j]), 9)})
-                best[b] = _best(pd.concat([best[b], found]) if b in best else found, k)
-                own = best[b].groupby("q")["score"].agg(["min", "size"])
-                limit[b] = (-own["min"]).where(own["size"] >= k, np.inf).reindex(ids).fillna(np.inf).to_numpy()
-        yield from best.values()
-
-    found = blocks.repartition(n, "_b").join(met, "_b").mapInPandas(compare, f"q {kind}, id {kind}, score double")
-    order = W.partitionBy("q").orderBy(F.desc("score"), "id")
-    near = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return near.select(F.col("q").alias(key), "rank", F.col("id").alias("neighbour"))
+    vec = F.array(*[F.col(f).cast("double") for f in features])
+    rows = df.dropna(subset=list(features)).select(F.col(key).alias("id"), vec.alias("v"))
+    return near_rows(rows, k).select(F.col("q").alias(key), "rank", F.col("id").alias("neighbour"))
+
+
+def near_rows(rows: DataFrame, k: int) -> DataFrame:
+    """(q, id, score, rank): the ``k`` nearest other rows of each of ``rows`` (id, v)."""
+    return vectors.search(rows, rows.withColumnRenamed("id", "q"), k, metric="euclid", exclude_self=True)
 
 
 def oversample(df: DataFrame, features: Sequence[str], key: str, label: str = "y", k: int = 5, seed: int = 42) -> DataFrame:
@@ -142,27 +107,51 @@ def oversample(df: DataFrame, features: Sequence[str], key: str, label: str = "y
     (key, features, label, synthetic) with the given rows first class citizens and synthetic rows keyed by their origin.
     """
     given = df.select(key, *[F.col(f).cast("double").alias(f) for f in features], label)
-    counts = {r[label]: r["count"] for r in given.groupBy(label).count().collect()}
+    rows = given.select(F.col(key).alias("id"), F.array(*features).alias("v"), F.col(label).alias("y"))
+    made = between_neighbours(rows, k, seed).select(
+        F.col("id").alias(key), *[F.col("v")[i].alias(f) for i, f in enumerate(features)], F.col("y").alias(label), F.lit(True).alias("synthetic"))
+    return given.withColumn("synthetic", F.lit(False)).unionByName(made)
+
+
+def smallest_hashes(rows: DataFrame, n: int, seed: int, cells: int = 4096) -> Column:
+    """Whether a row is one of the ``n`` with the smallest hashes of its ``id``, without sorting all rows: counts of ``cells``
+    cells tell in which of them the border lies, and only its rows are ranked."""
+    draw = F.xxhash64("id", F.lit(seed))
+    cell = F.pmod(draw, F.lit(cells))
+    sizes = {r["c"]: r["count"] for r in rows.groupBy(cell.alias("c")).count().collect()} if n else {}
+    border, left = -1, n
+    for border in sorted(sizes):
+        if sizes[border] > left:
+            break
+        left -= sizes[border]
+    place = F.struct(draw.alias("d"), F.col("id").alias("id"))
+    edge = rows.filter(cell == border).select(place.alias("e")).orderBy("e").offset(left).limit(1).select("e").scalar()
+    return F.coalesce((cell < border) | ((cell == border) & (place < edge)), F.lit(False))
+
+
+def between_neighbours(rows: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
+    """The synthetic rows (id, v, y) that make both classes of ``rows`` (id, v, y) equal in size; ``id`` is the origin."""
+    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if len(counts) != 2:
         raise ValueError("oversampling needs two classes")
     minority = min(counts, key=lambda c: (counts[c], c))
     few, many = counts[minority], max(counts.values())
-    small = given.filter(F.col(label) == minority)
-    near = neighbours(small, features, key, k)
+    small = rows.filter(F.col("y") == minority)
     each, extra = divmod(many - few, few)
-    numbered = row_positions(small, [], [key], "_pos")
-    copies = numbered.withColumn("_n", F.lit(each) + (F.col("_pos") <= extra).cast("int")).filter(F.col("_n") > 0)
+    copies = small.withColumn("_n", F.lit(each) + smallest_hashes(small, extra, seed + 2).cast("int")).filter(F.col("_n") > 0)
     made = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    if few == 1:
+        return made.select("id", "v", "y")  # without a neighbour a copy is all there can be
     widest = F.lit(min(k, few - 1))
     made = made.withColumns({
-        "rank": (F.pmod(F.xxhash64(key, "_copy", F.lit(seed)), widest) + 1).cast("int"),
-        "_u": F.pmod(F.xxhash64(key, "_copy", F.lit(seed + 1)), F.lit(1 << 30)) / F.lit(float(1 << 30)),
+        "rank": (F.pmod(F.xxhash64("id", "_copy", F.lit(seed)), widest) + 1).cast("int"),
+        "_u": F.pmod(F.xxhash64("id", "_copy", F.lit(seed + 1)), F.lit(1 << 30)) / F.lit(float(1 << 30)),
     })
-    other = small.select(F.col(key).alias("neighbour"), *[F.col(f).alias(f"_o_{f}") for f in features])
-    mixed = made.join(near, [key, "rank"]).join(other, "neighbour")
-    synthetic = mixed.select(key, *[(F.col(f) + F.col("_u") * (F.col(f"_o_{f}") - F.col(f))).alias(f) for f in features],
-                             label, F.lit(True).alias("synthetic"))
-    return given.withColumn("synthetic", F.lit(False)).unionByName(synthetic)
+    near = near_rows(small, k).select(F.col("q").alias("id"), "rank", F.col("id").alias("_other"))
+    other = small.select(F.col("id").alias("_other"), F.col("v").alias("_to"))
+    mixed = made.join(near, ["id", "rank"]).join(other, "_other")
+    line = F.zip_with("v", "_to", lambda a, b: a + F.col("_u") * (b - a))
+    return mixed.select("id", line.alias("v"), "y")
 
 
 def principal_components(df: DataFrame, features: Sequence[str], k: int = 3) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gearwatch.functions import text as X, tiers
-from gearwatch.operators.series import row_positions
+from gearwatch.operators.series import numbered
 
 
 def newest_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -25,7 +25,7 @@ def upsert(target: DataFrame, changes: DataFrame, key: str = "id", order: str |
 
 def problem_defaults(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Default id ``problem_<position>``, empty text and empty lists for missing fields."""
-    numbered = row_positions(df, [], list(order), "_pos")
+    placed = numbered(df, list(order))
     cols = {}
     for name, kind in df.dtypes:
         if name == "id":
@@ -34,7 +34,7 @@ def problem_defaults(df: DataFrame, order: Sequence[str]) -> DataFrame:
             cols[name] = F.coalesce(F.col(name), F.lit(""))
         elif kind.startswith("array"):
             cols[name] = F.coalesce(F.col(name), F.array().cast(kind))
-    return numbered.withColumns(cols).drop("_pos")
+    return placed.withColumns(cols).drop("_pos")
 
 
 def _given(name: str, kind: str) -> Column:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gearwatch.functions import text as X
+from gearwatch.operators import vectors
 
 # Similarity floor and context limits.
 MIN_SIMILARITY = 0.15
@@ -19,7 +20,6 @@ CONTEXT_CHUNKS = 7
 CONTEXT_CHARS = 500
 REGISTRY_FIELDS = ["machine_id", "model", "manufacturer", "price", "purchase_date", "location", "status",
                    "last_maintenance", "next_maintenance", "warranty_expiry", "serial_number"]
-QUERY_BLOCK = 4096
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -37,12 +37,6 @@ def parse_vector(text: Column) -> Column:
     return F.from_json(text, "array<float>")
 
 
-def _best(frame: pd.DataFrame, keep: int) -> pd.DataFrame:
-    """The ``keep`` highest scores per query, smaller id first on equal scores."""
-    frame = frame.sort_values(["q", "score", "id"], ascending=[True, False, True], kind="stable")
-    return frame[frame.groupby("q").cumcount() < keep]
-
-
 def nearest(
     corpus: DataFrame,
     queries: DataFrame,
@@ -55,72 +49,15 @@ def nearest(
     query_vec: str = "embedding",
     exclude_self: bool = False,
 ) -> DataFrame:
-    """Exact best ``keep`` corpus rows per query, as (query_id, corpus_id, score).
+    """Exact best ``keep`` corpus rows per query, as (query_id, corpus_id, score, rank).
 
-    The corpus stays where it is. Queries travel in blocks of at most ``QUERY_BLOCK`` vectors, one pass over the
-    corpus per block, so what a task receives has a fixed bound whatever the number of queries. A task multiplies
-    Arrow batches with the block and keeps only the running best rows per query. Scores are cosine similarity or
-    minus the Euclidean distance, rounded to nine places so equal vectors tie.
+    Query blocks and corpus slices meet as rows (``vectors.search``); scores are cosine similarity or minus the Euclidean
+    distance, rounded to nine places so equal vectors tie.
     """
-    ids = queries.filter(F.col(query_vec).isNotNull()).select(F.col(query_id).alias("q"), F.col(query_vec).alias("v"))
-    blocks = max(1, -(-ids.count() // QUERY_BLOCK))
-    numbered = ids.withColumn("_b", F.pmod(F.xxhash64("q"), F.lit(2 * blocks)))
-    kind = dict(queries.dtypes)[query_id]
-    cid = dict(corpus.dtypes)[corpus_id]
-    source = corpus.filter(F.col(corpus_vec).isNotNull()).select(F.col(corpus_id).alias("id"), F.col(corpus_vec).alias("v"))
-    parts = []
-    for b in range(2 * blocks) if blocks > 1 else [None]:
-        block = numbered.filter(F.col("_b") == b) if b is not None else numbered
-        parts.append(_score_block(source, block.select("q", "v"), keep, floor, metric, kind, cid, exclude_self))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    best = W.partitionBy("q").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= keep).select(
-        F.col("q").alias(query_id), F.col("id").alias(corpus_id), "score", "rank")
-
-
-def _score_block(source, block, keep, floor, metric, q_type, id_type, exclude_self) -> DataFrame:
-    rows = block.toPandas()
-    keys = rows["q"].to_numpy()
-    vectors = np.array([np.asarray(v, dtype=np.float64) for v in rows["v"]]) if len(rows) else np.zeros((0, 0))
-    shared = source.sparkSession.sparkContext.broadcast((keys, vectors))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, m = shared.value
-        best = None
-        if len(names) == 0:
-            return
-        norm = np.linalg.norm(m, axis=1)
-        for pdf in batches:
-            for lo in range(0, len(pdf), 1024):
-                part = pdf.iloc[lo : lo + 1024]
-                c = np.array([np.asarray(v, dtype=np.float64) for v in part["v"]])
-                dots = m @ c.T
-                if metric == "cosine":
-                    size = norm[:, None] * np.linalg.norm(c, axis=1)[None, :]
-                    s = np.divide(dots, size, out=np.full_like(dots, np.nan), where=size > 0)
-                else:
-                    sq = (norm**2)[:, None] + (c**2).sum(axis=1)[None, :] - 2 * dots
-                    s = -np.sqrt(np.maximum(sq, 0))
-                s = np.round(s, 9)
-                ok = ~np.isnan(s)
-                if floor is not None:
-                    ok &= s >= floor
-                chunk_ids = part["id"].to_numpy()
-                if exclude_self:
-                    ok &= names[:, None] != chunk_ids[None, :]
-                s = np.where(ok, s, -np.inf)
-                if s.shape[1] > keep:
-                    cut = np.partition(s, -keep, axis=1)[:, -keep]
-                    ok &= s >= cut[:, None]
-                qi, ci = np.nonzero(ok)
-                found = pd.DataFrame({"q": names[qi], "id": chunk_ids[ci], "score": s[qi, ci]})
-                best = _best(found if best is None else pd.concat([best, found]), keep)
-        if best is not None and len(best):
-            yield best
-
-    return source.mapInPandas(score, f"q {q_type}, id {id_type}, score double")
+    found = vectors.search(
+        corpus.select(F.col(corpus_id).alias("id"), F.col(corpus_vec).alias("v")),
+        queries.select(F.col(query_id).alias("q"), F.col(query_vec).alias("v")), keep, floor, metric, exclude_self)
+    return found.select(F.col("q").alias(query_id), F.col("id").alias(corpus_id), "score", "rank")
 
 
 def dynamic_top_k(corpus: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K, **names: str) -> DataFrame:

@@ -18,6 +18,8 @@ from gearwatch.session import materialise
 BLOCK = "_block"
 HALO = "_halo"
 HOT_ROWS = 4_000_000
+#: Rows that one task numbers.
+NUMBERED_ROWS = 500_000
 HOUR = 3_600_000_000
 
 
@@ -312,6 +314,18 @@ def fill_gaps(
     return near.withColumns(cols).drop("_pos", *[f"_{p}_{s}" for s in sensors for p in "kba"])
 
 
+def numbered(df: DataFrame, order: Sequence[str], name: str = "_pos", rows: int = NUMBERED_ROWS) -> DataFrame:
+    """1-based position of each row of a whole table: ranges of ``order`` are numbered by a task each and get the rows before them.
+
+    ``order`` tells all rows apart. Only the counts of the ranges, one row each, meet in one task.
+    """
+    blocked = split_blocks(df, [], order, rows)
+    earlier = W.orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
+    offsets = blocked.groupBy(BLOCK).count().select(BLOCK, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_offset"))
+    local = blocked.withColumn("_local", F.row_number().over(W.partitionBy(BLOCK).orderBy(*order)))
+    return local.join(offsets, BLOCK).withColumn(name, F.col("_offset") + F.col("_local")).drop("_local", "_offset", BLOCK)
+
+
 def row_positions(df, key, order, name="_pos", hot_rows=HOT_ROWS) -> DataFrame:
     """1-based position of each row inside its key, also when a key spans several blocks."""
     key, order = list(key), list(order)

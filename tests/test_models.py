@@ -34,6 +34,46 @@ def test_models_separate(separable, name, params, share):
     assert wrong <= 2000 * share and out.count() == 2000
 
 
+def test_stacking_is_saved_and_separates(spark, separable, tmp_path):
+    training.register_model("small_stacking", lambda: training.Stacking(
+        [training.logistic(max_iter=20), training.forest(trees=5, depth=4), training.boosting(trees=3)], folds=3))
+    model = training.fit(separable, training.get_model("small_stacking", ["a", "b"], ["kind"]))
+    out = training.score(model, separable)
+    assert out.columns == [*separable.columns, "p"]
+    assert out.filter((F.col("p") >= 0.5).cast("int") != F.col("y")).count() <= 20
+    model.write().save(str(tmp_path / "stack"))
+    again = training.score(PipelineModel.load(str(tmp_path / "stack")), separable)
+    assert out.select("event_id", "p").exceptAll(again.select("event_id", "p")).count() == 0
+    del training.MODELS["small_stacking"]
+
+
+def test_oversampling_acts_in_fit_only(spark, separable):
+    rare = separable.filter("y = 0 OR event_id % 5 = 0")
+    pipeline = training.get_model("logistic_regression", ["a", "b"], ["kind"], oversample=True, max_iter=50)
+    prepared = training.Pipeline(stages=pipeline.getStages()[:-1]).fit(rare).transform(rare)
+    stage = pipeline.getStages()[-1]
+    assert isinstance(stage, training.Oversampled)
+    both = stage.balanced(prepared)
+    sizes = {r["y"]: r["count"] for r in both.groupBy("y").count().collect()}
+    assert sizes[0.0] == sizes[1.0] == rare.filter("y = 0").count()
+    model = training.fit(rare, pipeline)
+    assert not any(isinstance(s, training.Oversampled) for s in model.stages)
+    out = training.score(model, rare)
+    assert out.count() == rare.count()
+    assert out.filter((F.col("p") >= 0.5).cast("int") != F.col("y")).count() <= 0.02 * rare.count()
+
+
+def test_grid_search_spreads_the_penalty(spark, separable):
+    from pyspark.ml.tuning import ParamGridBuilder
+
+    few = separable.filter("event_id % 4 = 0")
+    pipeline = training.get_model("logistic_regression", ["a", "b"], max_iter=30)
+    grid = ParamGridBuilder().addGrid(pipeline.getStages()[-1].regParam, [1.0]).build()
+    best = training.grid_search(few, pipeline, grid, folds=2).bestModel.stages[-1]
+    plain = training.fit(few, training.get_model("logistic_regression", ["a", "b"], max_iter=30)).stages[-1]
+    np.testing.assert_allclose(best.coefficients.toArray(), plain.coefficients.toArray(), rtol=1e-6)
+
+
 def test_unknown_names():
     with pytest.raises(ValueError, match="random_forest"):
         training.get_model("nope", ["a"])
@@ -111,7 +151,7 @@ def test_median_and_mode(spark):
     assert SENSORS and scored
 
 
-@pytest.mark.parametrize("name", ["i10_i14_i15_logistic_scores", "i11_forest_scores", "i12_boosting_scores", "i13_stacked_scores",
+@pytest.mark.parametrize("name", ["i10_i14_i15_logistic_scores", "i9_oversampled_scores", "i11_forest_scores", "i12_boosting_scores", "i13_stacked_scores",
                                   "i16_i19_train_and_evaluate", "i21_importance", "i22_runs_best", "i30_grid_search", "j1_score_stream"])
 def test_learning_queries_ask_for_whole_models(spark, sf, monkeypatch, name):
     """No query shrinks a model or its number of folds, and all but the stream get the full feature table and both horizons."""
@@ -120,22 +160,16 @@ def test_learning_queries_ask_for_whole_models(spark, sf, monkeypatch, name):
 
     asked, folds, build, small = [], [], training.get_model, training.MODELS["logistic_regression"]
 
-    def get_model(kind, numeric, categorical=(), scaler="standard", **params):
+    def get_model(kind, numeric, categorical=(), scaler="standard", oversample=False, **params):
         asked.append((kind, set(numeric), list(categorical), params))
         return build("small", numeric, categorical, scaler)
 
-    class Stack(training.Stack):
-        def __init__(self, bases, label="y", key="event_id", folds_=training.FOLDS, **other):
-            folds.append(other.get("folds", folds_))
-            super().__init__(bases, label, key, 2)
-
     def grid_search(train, pipeline, grid, label="y", folds_=training.FOLDS, search=training.grid_search, **other):
         folds.append(other.get("folds", folds_))
         return search(train, pipeline, grid, label, 2)
 
     monkeypatch.setitem(training.MODELS, "small", lambda: small(max_iter=2))
     monkeypatch.setattr(training, "get_model", get_model)
-    monkeypatch.setattr(training, "Stack", Stack)
     monkeypatch.setattr(training, "grid_search", grid_search)
     monkeypatch.setattr(explain, "importance_table", lambda spark, names, model, **k: spark.createDataFrame([(len(names), len(model.coefficients))], "a int, b int"))
     out = QUERIES[name](spark, sf)
@@ -147,6 +181,8 @@ def test_learning_queries_ask_for_whole_models(spark, sf, monkeypatch, name):
     if "horizon" in out.columns:
         assert {r[0] for r in out.select("horizon").distinct().collect()} == {24, 48}
     if name == "i13_stacked_scores":
-        assert [kind for kind, *_ in asked] == ["logistic_regression", "random_forest", "gradient_boosting"] * 2
+        assert [kind for kind, *_ in asked] == ["stacking"] * 2
+        whole = training.stacking()
+        assert whole.folds == 5 and len(whole.bases) == 3
     if name == "i21_importance":
         assert all(r["a"] == r["b"] for r in out.collect())

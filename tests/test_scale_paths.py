@@ -7,7 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from gearwatch.catalog import detection as det, features, streaming as st
 from gearwatch.catalog.base import SENSORS, errors, failures, maint, scored, table, telemetry
 from gearwatch.functions import boxes as B
-from gearwatch.operators import asof, detection, prefix, prepare, retrieval, series
+from gearwatch.operators import asof, detection, prefix, prepare, retrieval, series, vectors
 from gearwatch.streaming import jobs
 
 
@@ -122,8 +122,22 @@ def test_nearest_in_blocks(spark, sf, monkeypatch):
     corpus, asked = e.withColumnRenamed("vec_id", "chunk_id"), e.withColumnRenamed("vec_id", "question_id")
     plain = retrieval.nearest(corpus, asked, 4).persist()
     with monkeypatch.context() as m:
-        m.setattr(retrieval, "QUERY_BLOCK", 100)
+        m.setattr(vectors, "GROUP_ROWS", 100)
+        m.setattr(vectors, "STEP_ROWS", 16)
         same(plain, retrieval.nearest(corpus, asked, 4))
+    v = {r["vec_id"]: np.array(r["embedding"], float) for r in e.collect()}
+    m = np.array(list(v.values()))
+    for q in list(v)[:20]:
+        cos = np.round(m @ v[q] / np.linalg.norm(m, axis=1) / np.linalg.norm(v[q]), 9)
+        want = [list(v)[j] for j in np.lexsort((list(v), -cos))[:4]]
+        assert [r["chunk_id"] for r in plain.filter(F.col("question_id") == q).orderBy("rank").collect()] == want
+
+
+def test_search_plan_reads_the_corpus_once_and_sends_nothing_to_the_driver(spark, sf):
+    e = table(spark, sf, "embeddings")
+    asked = e.withColumnRenamed("vec_id", "question_id").withColumn("question_id", F.explode(F.array("question_id", F.col("question_id") + 10**6)))
+    text = retrieval.nearest(e.withColumnRenamed("vec_id", "chunk_id"), asked, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Relation [") == 2 and "LocalRelation" not in text and "Join" not in text
 
 
 def test_nearest_keeps_ties_by_id(spark):
@@ -142,8 +156,7 @@ def test_neighbours_and_oversample(spark, sf, monkeypatch):
     assert box[0] <= made[0] and made[1] <= box[1]
     same(out, prepare.oversample(df.repartition(5), SENSORS, "event_id"))
     with monkeypatch.context() as m:
-        m.setattr(prepare, "EXACT_NEIGHBOUR_ROWS", 10)
-        m.setattr(prepare, "BLOCK_ROWS", 50)
+        m.setattr(vectors, "GROUP_ROWS", 50)
         near = prepare.neighbours(df, SENSORS, "event_id", 3)
         assert near.filter("neighbour = event_id").count() == 0
         assert near.select("event_id").distinct().count() == df.count()
@@ -156,9 +169,8 @@ def test_neighbours_are_exact_at_every_size(spark, sf, monkeypatch):
     gap = np.round(np.sqrt(((m[:, None, :] - m[None, :, :]) ** 2).sum(2)), 9)
     np.fill_diagonal(gap, np.inf)
     want = {(int(ids[i]), r + 1, int(ids[j])) for i in range(len(ids)) for r, j in enumerate(np.lexsort((ids, gap[i]))[:4])}
-    monkeypatch.setattr(prepare, "EXACT_NEIGHBOUR_ROWS", 10)
     for block in (50, 10_000):
-        monkeypatch.setattr(prepare, "BLOCK_ROWS", block)
+        monkeypatch.setattr(vectors, "GROUP_ROWS", block)
         assert {tuple(r) for r in prepare.neighbours(df, SENSORS, "event_id", 4).collect()} == want
 
 
