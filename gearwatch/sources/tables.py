@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from gearwatch import schemas as S
 from gearwatch.functions.tiers import with_defaults
@@ -84,8 +84,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = S.PROBLEMS
 def write_chunks(chunks: DataFrame, path: str) -> dict[str, float]:
     """Append chunk rows with a default source; returns written and failed counts and success % of this write.
 
-    A chunk without content or vector counts as failed and is not written. The rows are stored once in the shared
-    folder, so the counts and the append never compute vectors twice.
+    A chunk without content or vector counts as failed and is not written. The counts are observed while the rows are
+    written, so vectors are computed once and nothing is stored in between.
     """
     ok = F.col("content").isNotNull() & (F.length("content") > 0) & F.col("embedding").isNotNull()
     given = F.nullif("source", F.lit("")) if "source" in chunks.columns else F.lit(None).cast("string")
@@ -93,9 +93,10 @@ def write_chunks(chunks: DataFrame, path: str) -> dict[str, float]:
         "source": F.coalesce(given, F.concat(F.lit("chunk_"), F.col("chunk_index").cast("string"))),
         "_ok": F.coalesce(ok, F.lit(False)),
     })
-    stored = materialise(rows, "chunk-rows")
-    total, written = stored.agg(F.count("*"), F.count_if(F.col("_ok"))).first()
-    stored.filter("_ok").drop("_ok").write.mode("append").parquet(path)
+    seen = Observation()
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("total"), F.count_if(F.col("_ok")).alias("written"))
+    rows.filter("_ok").drop("_ok").write.mode("append").parquet(path)
+    total, written = seen.get.get("total", 0), seen.get.get("written", 0)
     return {"written": written, "failed": total - written, "success_pct": 100.0 * written / total if total else 0.0}
 
 

@@ -186,3 +186,15 @@ def test_learning_queries_ask_for_whole_models(spark, sf, monkeypatch, name):
         assert whole.folds == 5 and len(whole.bases) == 3
     if name == "i21_importance":
         assert all(r["a"] == r["b"] for r in out.collect())
+
+
+def test_models_score_after_the_session_has_observed_metrics(spark, separable):
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    separable.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    assert seen.get["n"] == 2000
+    for name, params in (("logistic_regression", {"max_iter": 5}), ("random_forest", {"trees": 3, "depth": 3})):
+        model = training.fit(separable, training.get_model(name, ["a"], **params))
+        assert not model.stages[-1].hasSummary
+        assert training.score(model, separable).agg(F.sum("p")).first()[0] > 0
