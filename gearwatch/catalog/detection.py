@@ -260,14 +260,36 @@ def scored_predictions(spark, d):
     return r6(detection.score_predictions(predictions(spark, d), multi_label=True).select("image_id", "pred_id", "cls", "conf"))
 
 
-@query("v10_h7_suppress")
+_CORNERS = "x - w / 2 AS x1, y - h / 2 AS y1, x + w / 2 AS x2, y + h / 2 AS y2"
+_PREDICTIONS = f"""p AS (SELECT l_orderkey AS image_id, CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 1000000 + l_suppkey AS pred_id,
+ l_partkey % 100 + l_quantity / 2 AS x, l_suppkey % 100 + l_linenumber * 5.0::DOUBLE AS y, CAST(l_quantity AS DOUBLE) AS w, l_linenumber * 10.0::DOUBLE AS h,
+ (l_suppkey % 10 + 1) / 10.0::DOUBLE AS obj, [((l_partkey * 1) % 89) / 89.0::DOUBLE, ((l_partkey * 3) % 89) / 89.0::DOUBLE, ((l_partkey * 7) % 89) / 89.0::DOUBLE] AS s FROM lineitem),
+ every AS (SELECT image_id, pred_id, {_CORNERS}, unnest(s) * obj AS conf, unnest([0, 1, 2]) AS cls FROM p WHERE obj > 0.25)"""
+
+
+def _greedy(group: str, rows: str) -> str:
+    """Rows in order of score, one after the other: a row stays if no row that stays overlaps it."""
+    box = "{'x1': n.x1, 'y1': n.y1, 'x2': n.x2, 'y2': n.y2}"
+    free = f"len([e FOR e IN r.kept IF {_iou('e', 'n')} > 0.45]) = 0"
+    keys = " AND ".join(f"n.{g} = r.{g}" for g in group.split(", "))
+    return f"""n AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY conf DESC, pred_id, cls) AS k FROM {rows}),
+ r AS (SELECT {", ".join("n." + g for g in group.split(", "))}, n.k, n.pred_id AS id, n.cls AS c, [{box}] AS kept, true AS stays FROM n WHERE k = 1
+  UNION ALL SELECT {", ".join("n." + g for g in group.split(", "))}, n.k, n.pred_id, n.cls, CASE WHEN {free} THEN list_append(r.kept, {box}) ELSE r.kept END, {free} FROM r JOIN n ON {keys} AND n.k = r.k + 1)"""
+
+
+@query("v10_h7_suppress", f"""WITH RECURSIVE {_PREDICTIONS}, q AS (SELECT * FROM every WHERE conf > 0.25), {_greedy("image_id, cls", "q")}
+ SELECT n.image_id, n.pred_id, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2, round(conf, 6) AS conf, CAST(n.cls AS INT) AS cls FROM n JOIN r USING (image_id, cls, k) WHERE stays""")
 def suppress(spark, d):
-    return detection.suppress(detection.score_predictions(predictions(spark, d), multi_label=True))
+    return r6(detection.suppress(detection.score_predictions(predictions(spark, d), multi_label=True)))
 
 
-@query("v10_merge_suppress")
+@query("v10_merge_suppress", f"""WITH RECURSIVE {_PREDICTIONS}, q AS (SELECT image_id, pred_id, x1, y1, x2, y2, conf, cls FROM every WHERE conf > 0.25 QUALIFY row_number() OVER (PARTITION BY image_id, pred_id, x1, y1, x2, y2 ORDER BY conf DESC, cls) = 1),
+ {_greedy("image_id", "q")}, b AS (SELECT n.* FROM n JOIN r USING (image_id, k) WHERE stays), z AS (SELECT image_id, count(*) AS size FROM q GROUP BY 1),
+ m AS (SELECT b.image_id, b.pred_id, b.cls, b.conf, b.k, count(*) AS linked, """ + ", ".join(f"sum(n.conf * n.{c}) / sum(n.conf) AS {c}" for c in detection.BOX) + f""" FROM b JOIN n ON n.image_id = b.image_id AND {_iou('b', 'n')} > 0.45 GROUP BY ALL)
+ SELECT b.image_id, b.pred_id, """ + ", ".join(f"round(CASE WHEN size >= 2 THEN m.{c} ELSE b.{c} END, 6) AS {c}" for c in detection.BOX) + """, round(b.conf, 6) AS conf, CAST(b.cls AS INT) AS cls
+ FROM b JOIN z USING (image_id) LEFT JOIN m USING (image_id, k) WHERE size < 2 OR linked > 1""")
 def merge_suppress(spark, d):
-    return detection.suppress(detection.score_predictions(predictions(spark, d)), merge=True, agnostic=True)
+    return r6(detection.suppress(detection.score_predictions(predictions(spark, d)), merge=True, agnostic=True))
 
 
 def masks(spark, d):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -333,50 +334,63 @@ def suppress(scored: DataFrame, iou: float = NMS_IOU, agnostic: bool = False, me
              max_nms: int = MAX_NMS, max_det: int = MAX_DET) -> DataFrame:
     """V10 + H7: greedy suppression per image, then the best ``max_det`` rows of each image.
 
-    The first ``max_nms`` rows of an image by score take part, which also bounds a group. Classes do not
-    interact unless ``agnostic``, so the groups are (image, class) and one busy image spreads over its classes.
-    A group is a short sorted array; the greedy pass is a fold over it that stops growing at ``max_det`` rows,
-    since an image never returns more. With ``merge`` every kept box becomes the score-weighted mean of the boxes
-    it stands for, and boxes that stand only for themselves go (images of 2 to 2999 boxes).
+    The first ``max_nms`` rows of an image by score take part. Classes do not interact unless ``agnostic``. Distinct boxes of a
+    group that overlap by more than ``iou`` are found through the grid and are edges from the stronger to the weaker one;
+    ``suppressed`` settles them by rounds, so no task holds an image. Copies of a box go with the strongest of them, and
+    boxes without an area overlap nothing. With ``merge`` every kept box becomes the score-weighted mean of the boxes it
+    overlaps, itself included, and boxes that overlap no other go (images of 2 to 2999 boxes).
     """
+    if iou < 0.01:
+        raise ValueError("the grid needs an overlap of at least 0.01")
     by_score = W.partitionBy("image_id").orderBy(F.desc("conf"), "pred_id", "cls")
-    top = scored.withColumn("_rn", F.row_number().over(by_score)).filter(F.col("_rn") <= max_nms).drop("_rn")
     group = ["image_id"] if agnostic else ["image_id", "cls"]
-    row = F.struct((-F.col("conf")).alias("neg"), "pred_id", "cls", *BOX)
-    sorted_rows = top.groupBy(*group).agg(F.sort_array(F.collect_list(row)).alias("rows"))
-
-    def overlap(a: Column, b: Column) -> Column:
-        return B.iou(tuple(a[c] for c in BOX), tuple(b[c] for c in BOX))
-
-    def step(kept: Column, box: Column) -> Column:
-        skip = (F.size(kept) >= max_det) | F.exists(kept, lambda k: overlap(k, box) > iou)
-        return F.when(skip, kept).otherwise(F.concat(kept, F.array(box)))
-
-    empty = F.slice("rows", 1, 0)
-    kept = sorted_rows.withColumn("kept", F.aggregate("rows", empty, step))
+    top = materialise(scored.withColumn("_rn", F.row_number().over(by_score)).filter(F.col("_rn") <= max_nms), "suppress-rows")
+    real = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
+    boxes = top.filter(real).groupBy(*group, *BOX).agg(F.min("_rn").alias("_rn"), F.count("*").alias("_n"), F.sum("conf").alias("_weight"))
+    left, right = [_named(boxes, p, group) for p in ("l", "d")]
+    cells = ["_lw", "_lh", "_gx", "_gy"]
+    pairs = _probe(left, iou).hint("merge").join(_place(right, iou), [*group, *cells]).filter(F.col("l__rn") < F.col("d__rn"))
+    near = materialise(pairs.filter(B.iou(B.corners("l_"), B.corners("d_")) > iou).select(
+        "image_id", F.col("l__rn").alias("strong"), F.col("d__rn").alias("weak")), "suppress-edges")
+    gone = suppressed(near).withColumnRenamed("weak", "_rn")
+    first = boxes.select("image_id", "_rn").unionByName(top.filter(~real).select("image_id", "_rn"))
+    kept = top.join(first.join(gone, ["image_id", "_rn"], "left_anti"), ["image_id", "_rn"])
     if merge:
-        sizes = top.groupBy("image_id").agg(F.count("*").alias("_n"))
-        kept = kept.join(sizes, "image_id").withColumn(
-            "kept", F.when(F.col("_n").between(2, 2999), _merged(F.col("kept"), F.col("rows"), iou, overlap)).otherwise(F.col("kept")))
-    out = kept.select("image_id", F.explode("kept").alias("k"))
-    flat = out.select("image_id", "k.pred_id", *[f"k.{c}" for c in BOX], (-F.col("k.neg")).alias("conf"), "k.cls")
-    return flat.withColumn("_rn", F.row_number().over(by_score)).filter(F.col("_rn") <= max_det).drop("_rn").select(*scored.columns)
-
+        kept = _merged(kept, boxes, near, top.groupBy("image_id").agg(F.count("*").alias("_size")))
+    best = kept.withColumn("_place", F.row_number().over(by_score)).filter(F.col("_place") <= max_det)
+    return best.select(*scored.columns)
 
-def _merged(kept: Column, rows: Column, floor: float, overlap) -> Column:
-    """Kept boxes replaced by weighted means of the rows they overlap; single ones removed."""
 
-    def mean(k: Column) -> Column:
-        linked = F.filter(rows, lambda r: overlap(k, r) > floor)
-        weight = F.aggregate(linked, F.lit(0.0), lambda s, r: s - r["neg"])
+def suppressed(edges: DataFrame) -> DataFrame:
+    """(image_id, weak) of what greedy suppression removes, from edges (image_id, strong, weak).
 
-        def side(c: str) -> Column:
-            return (F.aggregate(linked, F.lit(0.0), lambda s, r: s - r["neg"] * r[c]) / weight).alias(c)
-
-        sides = [side(c) for c in BOX]
-        return F.struct(F.size(linked).alias("n"), F.struct(k["neg"].alias("neg"), k["pred_id"].alias("pred_id"), k["cls"].alias("cls"), *sides).alias("box"))
-
-    return F.transform(F.filter(F.transform(kept, mean), lambda m: m["n"] > 1), lambda m: m["box"])
+    A box that is the weaker one in no open edge stays, so its weaker neighbours go, and with them all their edges. As every
+    open edge has such a box above it, each round settles some until none is open.
+    """
+    gone = []
+    while True:
+        weak = edges.select("image_id", F.col("weak").alias("strong")).distinct()
+        lost = materialise(edges.join(weak, ["image_id", "strong"], "left_anti").select("image_id", "weak").distinct(), "suppress-gone")
+        gone.append(lost)
+        edges = edges.join(lost, ["image_id", "weak"], "left_anti").join(lost.withColumnRenamed("weak", "strong"), ["image_id", "strong"], "left_anti")
+        edges = materialise(edges.select("image_id", "strong", "weak"), "suppress-edges")
+        if edges.isEmpty():
+            return reduce(DataFrame.unionByName, gone)
+
+
+def _merged(kept: DataFrame, boxes: DataFrame, near: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Kept boxes replaced by weighted means of the rows they overlap; single ones removed."""
+    both = near.select("image_id", F.col("strong").alias("_rn"), F.col("weak").alias("_other")).unionByName(
+        near.select("image_id", F.col("weak").alias("_rn"), F.col("strong").alias("_other")))
+    own = boxes.select("image_id", "_rn", F.col("_rn").alias("_other"))
+    rows = boxes.select("image_id", F.col("_rn").alias("_other"), "_n", "_weight", *BOX)
+    # Only boxes that stay need their neighbours.
+    linked = both.unionByName(own).join(kept.select("image_id", "_rn"), ["image_id", "_rn"], "left_semi").join(rows, ["image_id", "_other"])
+    means = linked.groupBy("image_id", "_rn").agg(
+        F.sum("_n").alias("_linked"), *[(F.sum(F.col("_weight") * F.col(c)) / F.sum("_weight")).alias(f"_m_{c}") for c in BOX])
+    out = kept.join(sizes, "image_id").join(means, ["image_id", "_rn"], "left")
+    change = F.col("_size").between(2, 2999)
+    return out.filter(~change | (F.col("_linked") > 1)).withColumns({c: F.when(change, F.col(f"_m_{c}")).otherwise(F.col(c)) for c in BOX})
 
 
 def mask_iou(a: Column, b: Column) -> Column:
@@ -392,20 +406,33 @@ def _mass(mask: Column) -> Column:
 def mask_pairs(labels: DataFrame, dets: DataFrame, keys: Sequence[str], floor: float = 0.5) -> DataFrame:
     """Label-detection pairs of a group with mask IoU of at least ``floor``.
 
-    Masks that overlap by ``floor`` have areas within a factor 1/floor, so pairs are joined on the area level.
-    Copies of a mask meet once: both sides are reduced to distinct masks before the join.
+    Masks become rows of their set pixels and pairs are counted pixel by pixel, so no pair is formed without a common pixel.
+    To overlap by ``floor`` two masks must share that part of the larger one: it is enough to look for partners by the
+    rarest pixels of the detection, all but this share of them and one more. Masks that are likely by their area are then
+    compared in full. Copies of a mask meet once if the caller reduces both sides to distinct masks.
     """
     keys = list(keys)
-    base = math.log(_base(floor))
 
     def ready(df: DataFrame, p: str) -> DataFrame:
         named = df.withColumnsRenamed({c: f"{p}_{c}" for c in df.columns if c not in keys})
-        level = F.floor(F.log(_mass(F.col(f"{p}_mask"))) / base).cast("int")
-        return named.filter(_mass(F.col(f"{p}_mask")) > 0).withColumn("_lv", level)
-
-    left = ready(labels, "l").withColumn("_lv", F.explode(F.array(F.col("_lv") - 1, F.col("_lv"), F.col("_lv") + 1)))
-    pairs = left.join(ready(dets, "d"), [*keys, "_lv"]).withColumn("iou", mask_iou(F.col("l_mask"), F.col("d_mask")))
-    return pairs.filter(F.col("iou") >= floor).drop("_lv", "l_mask", "d_mask")
+        mask = F.col(f"{p}_mask")
+        on = F.filter(F.transform(mask, lambda v, i: F.when(v.cast("double") > 0, i)), lambda i: i.isNotNull())
+        return named.withColumns({f"_{p}_on": on, f"_{p}_area": F.size(on)}).filter(F.size(on) > 0)
+
+    left, right = ready(labels, "l"), ready(dets, "d")
+    pixel = lambda df, p, ids: df.select(*keys, *ids, f"_{p}_area", F.explode(f"_{p}_on").alias("_pixel"))
+    common = pixel(left, "l", ["l_label_id"]).groupBy(*keys, "_pixel").agg(F.count("*").alias("_often"))
+    spread = pixel(right, "d", ["d_det_id"]).join(common, [*keys, "_pixel"])
+    # Of the pixels that labels have at all; the others cannot be shared.
+    rare = W.partitionBy(*keys, "d_det_id").orderBy("_often", "_pixel")
+    needed = F.col("_d_area") - F.ceil(F.col("_d_area") * floor) + 1
+    probes = spread.withColumn("_nth", F.row_number().over(rare)).filter(F.col("_nth") <= needed)
+    met = pixel(left, "l", ["l_label_id"]).withColumnRenamed("_l_area", "_a").join(
+        probes.select(*keys, "_pixel", "d_det_id", F.col("_d_area").alias("_b")), [*keys, "_pixel"])
+    likely = met.filter((F.col("_a") >= F.col("_b") * floor) & (F.col("_b") >= F.col("_a") * floor)).select(*keys, "l_label_id", "d_det_id").distinct()
+    pairs = likely.join(left.drop("_l_on", "_l_area"), [*keys, "l_label_id"]).join(right.drop("_d_on", "_d_area"), [*keys, "d_det_id"])
+    pairs = pairs.withColumn("iou", mask_iou(F.col("l_mask"), F.col("d_mask")))
+    return pairs.filter(F.col("iou") >= floor).drop("l_mask", "d_mask")
 
 
 def match_masks(labels: DataFrame, dets: DataFrame, levels: Sequence[float] = LEVELS) -> DataFrame:
