@@ -87,20 +87,20 @@ def last_readings(spark, d):
     return out.join(latest, ["machineID", "_batch"]).select("machineID", "event_id", "volt")
 
 
-@query("j4_stateful_features", f"""WITH {TEL} SELECT event_id, lag(volt, 3) OVER w AS volt_lag_3h,
+@query("j4_keyed_features", f"""WITH {TEL} SELECT event_id, lag(volt, 3) OVER w AS volt_lag_3h,
  round(CASE WHEN count(volt) OVER f = 6 THEN avg(volt) OVER f END, 6) AS volt_mean_6h FROM tel
  WINDOW w AS (PARTITION BY machineID ORDER BY ts, event_id), f AS (PARTITION BY machineID ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)""")
-def stateful_features(spark, d):
+def keyed_features(spark, d):
     sink, checkpoint = jobs.work_folder(spark, "j4")
     source = sliced(spark, d, delayed=NEAR_THE_END, closing=True).select("event_id", "machineID", "datetime", "volt")
     out = keyed.row_feature_stream(source, ["volt"], tie=TIE, late="1 day", lags=[3], means=[6], stds=[], slopes=[])
     return r6(jobs.drain(out, sink, checkpoint).select("event_id", "volt_lag_3h", "volt_mean_6h").filter("event_id >= 0"))
 
 
-@query("j4_batch_state_features", f"""WITH {TEL} SELECT event_id, lag(volt, 3) OVER w AS volt_lag_3h,
+@query("j4_stateful_features", f"""WITH {TEL} SELECT event_id, lag(volt, 3) OVER w AS volt_lag_3h,
  round(CASE WHEN count(volt) OVER f = 6 THEN avg(volt) OVER f END, 6) AS volt_mean_6h FROM tel
  WINDOW w AS (PARTITION BY machineID ORDER BY ts, event_id), f AS (PARTITION BY machineID ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)""")
-def batch_state_features(spark, d):
+def stateful_features(spark, d):
     sink, checkpoint = jobs.work_folder(spark, "j4b")
     source = sliced(spark, d).select("event_id", "machineID", "datetime", "volt")
     jobs.with_state(source, jobs.stateful_features(["volt"], ["datetime", "event_id"]), sink, checkpoint)
@@ -142,6 +142,14 @@ def rate_limit(spark, d):
 
 @query("j7_rate_limit_stream", _LIMIT)
 def rate_limit_stream(spark, d):
+    sink, checkpoint = jobs.work_folder(spark, "j7")
+    source = sliced(spark, d).select("event_id", F.col("event_type").alias("key"), "datetime")
+    jobs.with_state(source, jobs.rate_limit_step(2, 3600.0, tie=["event_id"]), sink, checkpoint)
+    return spark.read.parquet(f"{sink}/out/b=*").select("event_id", "key", "allowed")
+
+
+@query("j7_keyed_rate_limit", _LIMIT)
+def keyed_rate_limit(spark, d):
     sink, checkpoint = jobs.work_folder(spark, "j7")
     source = sliced(spark, d, delayed=NEAR_THE_END, closing=True).select("event_id", F.col("event_type").alias("key"), "datetime")
     out = keyed.rate_limit(source, 2, 3600.0, tie=TIE, late="1 day")

@@ -47,10 +47,10 @@ class InOrder(StatefulProcessor):
 
     def wake(self, moment: int) -> None:
         """The timer of the key, moved forward to ``moment`` (milliseconds) if it stands later."""
-        now = self.due.get()[0] if self.due.exists() else None
-        if now is None or moment < now:
+        now = self.due.get()
+        if now is None or moment < now[0]:
             if now is not None:
-                self.handle.deleteTimer(now)
+                self.handle.deleteTimer(now[0])
             self.handle.registerTimer(moment)
             self.due.update((moment,))
 
@@ -58,7 +58,7 @@ class InOrder(StatefulProcessor):
         first = None
         for frame in rows:
             part = frame[self.columns]
-            self.pending.appendList([tuple(r) for r in part.astype(object).itertuples(index=False)])
+            self.pending.appendList(list(part.astype(object).itertuples(index=False, name=None)))
             low = int(part[self.columns[0]].min())
             first = low if first is None else min(first, low)
         if first is not None:
@@ -66,25 +66,29 @@ class InOrder(StatefulProcessor):
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.due.clear()
-        mark = timerValues.getCurrentWatermarkInMs()
-        rows = pd.DataFrame(list(self.pending.get()), columns=self.columns, dtype=object) if self.pending.exists() else pd.DataFrame(columns=self.columns)
+        mark, moment = timerValues.getCurrentWatermarkInMs(), None
+        rows = pd.DataFrame(list(self.pending.get()), columns=self.columns, dtype=object)
         final = np.array([t // 1000 < mark for t in rows[self.columns[0]]], bool)
         ready, rest = rows[final], rows[~final]
         if len(rest):
-            self.pending.put([tuple(r) for r in rest.itertuples(index=False)])
-            self.wake(max(int(rest[self.columns[0]].min()) // 1000 + 1, mark + 1))
+            self.pending.put(list(rest.itertuples(index=False, name=None)))
+            moment = int(rest[self.columns[0]].min()) // 1000 + 1
         elif len(rows):
             self.pending.clear()
-        if not len(ready):
-            if not len(rest) and self.past.exists():
-                self.past.clear()  # silent for long enough
-            return
-        ready = ready.sort_values(self.columns[: self.n_order], kind="stable")
-        newest = int(ready[self.columns[0]].iloc[-1])
-        out = self.advance(ready.reset_index(drop=True))
-        if not len(rest) and self.keep_micros is not None:
-            self.wake(max((newest + self.keep_micros) // 1000 + 1, mark + 1))
+        out = rows.iloc[:0]
+        if len(ready):
+            ready = ready.sort_values(self.columns[: self.n_order], kind="stable").reset_index(drop=True)
+            out = self.advance(ready)
+            if moment is None and self.keep_micros is not None:
+                moment = (int(ready[self.columns[0]].iloc[-1]) + self.keep_micros) // 1000 + 1
+        elif moment is None:
+            self.past.clear()  # silent for long enough
+        if moment is None:
+            self.due.clear()
+        else:
+            moment = max(moment, mark + 1)
+            self.handle.registerTimer(moment)
+            self.due.update((moment,))
         for at in range(0, len(out), OUT_ROWS):
             yield out.iloc[at : at + OUT_ROWS].assign(**self.named(key))
 
@@ -109,7 +113,7 @@ class RateLimit(InOrder):
         return "t long"
 
     def advance(self, rows: pd.DataFrame) -> pd.DataFrame:
-        accepted = [r[0] for r in self.past.get()] if self.past.exists() else []
+        accepted = [r[0] for r in self.past.get()]
         allowed, wait = [], []
         for t in rows[self.columns[0]].tolist():
             accepted = [a for a in accepted if t - a < self.period]
@@ -133,13 +137,13 @@ class RowFeatures(InOrder):
         self.depth = series.max_depth(**sizes)
 
     def advance(self, rows: pd.DataFrame) -> pd.DataFrame:
-        old = pd.DataFrame(list(self.past.get()), columns=self.columns, dtype=object) if self.past.exists() else rows.iloc[:0]
+        old = pd.DataFrame(list(self.past.get()), columns=self.columns, dtype=object)
         both = pd.concat([old, rows], ignore_index=True)
         t = both[self.columns[0]].astype("int64").to_numpy()
         # A silence ends the series of a machine, whether its state was there when the next reading came or gone.
         heads = [0] if self.keep_micros is None else [0, *(np.flatnonzero(np.diff(t) > self.keep_micros) + 1).tolist()]
         parts = [both.iloc[a:b] for a, b in zip(heads, [*heads[1:], len(both)], strict=True)]
-        self.past.put([tuple(r) for r in parts[-1].tail(max(self.depth, 1)).itertuples(index=False)])
+        self.past.put(list(parts[-1].tail(max(self.depth, 1)).itertuples(index=False, name=None)))
         out = rows.copy()
         for s in self.sensors:
             made = [row_features(part[s].astype(float).to_numpy(), s, **self.sizes) for part in parts]
