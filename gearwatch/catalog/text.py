@@ -159,6 +159,20 @@ def query_log_metrics(spark, d):
     return r6(retrieval.query_log_metrics(log))
 
 
+@query("m_sql_chunk_rows", f"""WITH {_CHUNKS} SELECT doc_id, CAST(chunk_index AS INT) AS chunk_index, content FROM chunks""")
+def sql_chunk_rows(spark, d):
+    X.register_sql(spark)
+    table(spark, d, "documents").createOrReplaceTempView("gearwatch_documents")
+    return spark.sql("SELECT doc_id, chunk_index, content FROM gearwatch_documents, LATERAL chunk_rows(text, 800, 200) WHERE length(text) > 0")
+
+
+@query("m_sql_language", r"SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '[\u0600-\u06FF]')) / greatest(length(text), 1) > 0.3 THEN 'ar' ELSE 'en' END AS language FROM documents WHERE text IS NOT NULL")
+def sql_language(spark, d):
+    X.register_sql(spark)
+    table(spark, d, "documents").createOrReplaceTempView("gearwatch_documents")
+    return spark.sql("SELECT doc_id, text_language(text) AS language FROM gearwatch_documents WHERE text IS NOT NULL")
+
+
 @query("m_sql_chunk_function", f"""WITH {_CHUNKS} SELECT doc_id, count(*) AS chunks, md5(string_agg(content, '|' ORDER BY chunk_index)) AS content_md5
  FROM chunks GROUP BY doc_id""")
 def sql_chunk_function(spark, d):

@@ -105,13 +105,19 @@ def cache_key(text: Column) -> Column:
 
 
 def register_sql(spark: SparkSession) -> None:
-    """Make the text expressions callable from SQL as temporary functions."""
+    """Make the text expressions callable from SQL as temporary functions.
+
+    ``chunk_text(text, size, overlap)`` and ``text_language(text)`` give values; ``chunk_rows(text, size, overlap)`` is a table
+    function for ``LATERAL``, one row per chunk.
+    """
     n = "CASE WHEN length(t) = 0 THEN 0 WHEN length(t) <= s THEN 1 ELSE CAST(ceil((length(t) - s) / (s - o)) AS INT) + 1 END"
     trim = "'" + EDGE_SPACE.replace("\\", "\\\\") + "'"
+    cut = (f"CASE WHEN length(t) = 0 THEN CAST(array() AS ARRAY<STRING>) ELSE transform(sequence(0, {n} - 1), "
+           f"i -> regexp_replace(substring(t, i * (s - o) + 1, s), {trim}, '')) END")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION chunk_text(t STRING, s INT, o INT) RETURNS ARRAY<STRING> RETURN {cut}")
     spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION chunk_text(t STRING, s INT, o INT) RETURNS ARRAY<STRING> RETURN "
-        f"CASE WHEN length(t) = 0 THEN CAST(array() AS ARRAY<STRING>) ELSE transform(sequence(0, {n} - 1), "
-        f"i -> regexp_replace(substring(t, i * (s - o) + 1, s), {trim}, '')) END"
+        "CREATE OR REPLACE TEMPORARY FUNCTION chunk_rows(t STRING, s INT, o INT) RETURNS TABLE(chunk_index INT, content STRING) "
+        f"RETURN SELECT posexplode({cut}) AS (chunk_index, content)"
     )
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION text_language(t STRING) RETURNS STRING RETURN "

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gearwatch.functions import text as X, tiers
 from gearwatch.operators.series import numbered
+from gearwatch.session import materialise
 
 
 def newest_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -160,29 +161,40 @@ def call_summary(calls: DataFrame) -> DataFrame:
 KEYWORD_COLUMNS = ["model", "manufacturer", "location", "machine_id", "serial_number"]
 KEYWORD_LIMIT = 5
 PARTIAL_LIMIT = 3
+#: Longest piece of a text in the index of the lookup.
+GRAM = 3
+
+
+def _grams(text: Column, sizes: Column) -> Column:
+    """Distinct pieces of a text with the given lengths."""
+    length = F.length(text)
+    cut = lambda n: F.transform(F.sequence(F.lit(1), length - n + 1), lambda at: F.substr(text, at, n))
+    return F.array_distinct(F.flatten(F.transform(F.filter(sizes, lambda n: n <= length), cut)))
 
 
 def _substring_hits(registry: DataFrame, columns: Sequence[str], needles: DataFrame, limit: int) -> DataFrame:
     """Registry ids whose column contains the needle (case-insensitive), ``limit`` smallest per needle with their rank.
 
-    Works on distinct values: each keeps its ``limit`` smallest ids, which is all a needle can ever need from it.
-    The pieces of a value with a length some needle has are matched by equality, so no pair is tested in vain.
+    Works on distinct values: each keeps its ``limit`` smallest ids, which is all a needle can ever need from it. An index maps
+    pieces of up to three characters to the values that hold them; a needle meets only the values that share its rarest piece,
+    and ``contains`` confirms.
     """
     long = registry.select("id", *[F.lower(F.col(c).cast("string")).alias(c) for c in columns]).unpivot(
-        ["id"], list(columns), "column_name", "value").filter("value IS NOT NULL")
+        ["id"], list(columns), "column_name", "value").filter("value <> ''")
     by_value = W.partitionBy("column_name", "value").orderBy("id")
-    few = long.withColumn("_rn", F.row_number().over(by_value)).filter(F.col("_rn") <= limit)
-    values = few.groupBy("column_name", "value").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    lengths = needles.agg(F.collect_set(F.length("needle")).alias("l")).scalar()
-    pieces = (
-        values.filter(F.length("value") > 0)
-        .withColumn("_n", F.explode(F.array_intersect(lengths, F.sequence(F.lit(1), F.length("value")))))
-        .withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("value") - F.col("_n") + 1)))
-        .select("column_name", "value", "ids", F.col("value").substr(F.col("_at"), F.col("_n")).alias("needle"))
-        .join(needles.select("needle").distinct(), "needle", "left_semi")
-        .distinct()
-    )
-    hits = pieces.withColumn("id", F.explode("ids")).drop("ids", "value")
+    few = materialise(long.withColumn("_rn", F.row_number().over(by_value)).filter(F.col("_rn") <= limit).drop("_rn"), "lookup-ids")
+    asked = needles.select("needle").filter("needle <> ''").distinct()
+    size = F.least(F.length("needle"), F.lit(GRAM))
+    values = few.groupBy("column_name", "value").agg(F.min("id").alias("_first")).withColumn("_sizes", asked.agg(F.collect_set(size).alias("s")).scalar())
+    postings = materialise(values.withColumn("gram", F.explode(_grams(F.col("value"), F.col("_sizes")))).drop("_sizes"), "lookup-index")
+    often = postings.groupBy("gram").agg(F.count("*").alias("_often"))
+    own = asked.withColumn("gram", F.explode(_grams(F.col("needle"), F.array(size)))).join(often, "gram", "left")
+    rarest = own.groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("_often", F.lit(0)).alias("n"), "gram")).alias("gram"))
+    found = rarest.join(postings, "gram").filter(F.contains("value", "needle"))
+    # The smallest ids of a needle lie in the values whose own smallest ids come first.
+    early = W.partitionBy("needle", "column_name").orderBy("_first", "value")
+    found = found.withColumn("_nth", F.row_number().over(early)).filter(F.col("_nth") <= limit).select("needle", "column_name", "value")
+    hits = found.join(few, ["column_name", "value"]).select("needle", "column_name", "id")
     ranked = W.partitionBy("needle", "column_name").orderBy("id")
     return hits.withColumn("nth", F.row_number().over(ranked)).filter(F.col("nth") <= limit)
 
