@@ -166,7 +166,7 @@ def sql_chunk_rows(spark, d):
     return spark.sql("SELECT doc_id, chunk_index, content FROM gearwatch_documents, LATERAL chunk_rows(text, 800, 200) WHERE length(text) > 0")
 
 
-@query("m_sql_language", r"SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '[\u0600-\u06FF]')) / greatest(length(text), 1) > 0.3 THEN 'ar' ELSE 'en' END AS language FROM documents WHERE text IS NOT NULL")
+@query("m_sql_language", "SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '[\\x{600}-\\x{6FF}]')) / greatest(length(text), 1) > 0.3 THEN 'ar' ELSE 'en' END AS language FROM documents WHERE text IS NOT NULL")
 def sql_language(spark, d):
     X.register_sql(spark)
     table(spark, d, "documents").createOrReplaceTempView("gearwatch_documents")
