@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gearwatch.llm.common import bounded_batches
 from gearwatch.llm.words import BASE, batches, grams, mix, words
@@ -23,8 +23,6 @@ SPACING, RATE, LIMIT = 1.005, 20.0, 65_535
 MARGIN = 0.2
 #: Rows of a cluster that are compared with each other in one go.
 BLOCK = 256
-#: Rows that a task remembers while it thins out links.
-FOREST = 500_000
 OUTPUTS = ("n_shingles", "component_id", "kept")
 
 _RNG = np.random.Generator(np.random.PCG64(99))
@@ -160,33 +158,12 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int, id_column: str, text_colu
 
 
 def thinned(links: DataFrame) -> DataFrame:
-    """Links that lead to the same components: in each task those that close a circle are left out.
-
-    The links of one row meet in one task. Rows of a large group have many leaders in common, so of the links of a task hardly
-    more than its rows are left. A task that has seen ``FOREST`` rows starts anew, which only leaves more links.
-    """
-    kind = dict(links.dtypes)["a"]
-
-    def forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        root: dict = {}
-
-        def top(x):
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for frame in frames:
-            if len(root) > FOREST:
-                root.clear()
-            kept = []
-            for a, b in zip(frame["a"].tolist(), frame["b"].tolist(), strict=True):
-                x, y = top(a), top(b)
-                kept.append(x != y)
-                root[x] = y
-            yield frame[np.array(kept, bool)]
-
-    return links.select("a", "b").repartition("b").mapInPandas(forest, f"a {kind}, b {kind}")
+    """Links (a, b), a <= b, that lead to the same components: each row keeps its link to the smallest of its leaders, and its
+    other leaders are linked with that one instead. Rows of a large group have the same leaders, so these links are few."""
+    least = F.min("a").over(W.partitionBy("b"))  # a row has at most one leader for each band
+    moved = links.select("a", "b", least.alias("m"))
+    own = moved.select(F.col("m").alias("a"), "b")
+    return own.unionByName(moved.filter("a != m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -598,7 +598,7 @@ def test_quality_sample_is_bounded_with_equal_texts(spark, monkeypatch):
     assert 320 <= taken[0][0] <= 480 and 0.4 <= taken[0][1] / taken[0][0] <= 0.6
 
 
-def test_thinned_links_lead_to_the_same_components(spark, monkeypatch):
+def test_thinned_links_lead_to_the_same_components(spark):
     rng = np.random.default_rng(8)
     pairs = [(int(x) + 50 * g, int(y) + 50 * g) for g in range(4) for x, y in rng.integers(0, 40, (400, 2)) if x < y]
     links = spark.createDataFrame(pairs, "a long, b long")
@@ -606,7 +606,7 @@ def test_thinned_links_lead_to_the_same_components(spark, monkeypatch):
     for _ in want:
         for a, b in pairs:
             want[a] = want[b] = min(want[a], want[b])
-    for most in (500_000, 3):
-        monkeypatch.setattr(near_dedup, "FOREST", most)
-        assert near_dedup.thinned(links).count() < len(pairs)
-        assert {r["id"]: r["component"] for r in near_dedup.components(links).collect()} == want
+    assert near_dedup.thinned(links).count() < len(pairs)
+    assert {r["id"]: r["component"] for r in near_dedup.components(links).collect()} == want
+    leaders = [(a, b) for b in range(100, 2000) for a in (b % 7, 10 + b % 5, 20 + b % 3)]
+    assert near_dedup.thinned(spark.createDataFrame(leaders, "a long, b long")).count() < 1900 + 100
