@@ -8,7 +8,7 @@ import re
 from collections.abc import Iterable
 
 #: Distinct pieces that a Python worker remembers; pieces not used for that long are forgotten.
-CACHE = 400_000
+CACHE = 1_000_000
 
 DOUBLE_SPACE = re.compile(r"\s\s")
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
