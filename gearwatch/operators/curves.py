@@ -18,11 +18,8 @@ def threshold_curve(df: DataFrame, label: str = "y", score: str = "p") -> DataFr
         .agg(F.sum(label).cast("long").alias("pos"), F.sum(1 - F.col(label)).cast("long").alias("neg"))
     )
     ranked = prefix_sums(points.withColumn("_desc", -F.col("t")), "_desc", ["pos", "neg"])
-    totals = points.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n")).alias("s")).scalar()
-    return ranked.withColumn("_s", totals).select(
-        "t", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
-        F.col("_s")["p"].alias("pos_all"), F.col("_s")["n"].alias("neg_all"),
-    )
+    return ranked.select("t", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
+                         F.col("all_pos").alias("pos_all"), F.col("all_neg").alias("neg_all"))
 
 
 def roc_points(df: DataFrame, label: str = "y", score: str = "p") -> DataFrame:

@@ -185,9 +185,13 @@ def remap(df: DataFrame, mapping: dict[int, int], column: str = "cls") -> DataFr
     return df.withColumn(column, F.try_element_at(table, F.col(column))).filter(F.col(column) >= 0)
 
 
-# Ids that the 91-class list has and the 80-class list lacks.
-ABSENT_91 = {12, 26, 29, 30, 45, 66, 68, 69, 71, 83}
-CLASS_80_TO_91 = dict(enumerate(i for i in range(1, 91) if i not in ABSENT_91))
+# The ids in the 91-class list of the 80 classes, in order.
+IDS_91 = [
+    1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 13, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24, 25, 27, 28, 31,
+    32, 33, 34, 35, 36, 37, 38, 39, 40, 41, 42, 43, 44, 46, 47, 48, 49, 50, 51, 52, 53, 54, 55, 56, 57, 58, 59,
+    60, 61, 62, 63, 64, 65, 67, 70, 72, 73, 74, 75, 76, 77, 78, 79, 80, 81, 82, 84, 85, 86, 87, 88, 89, 90,
+]
+CLASS_80_TO_91 = dict(enumerate(IDS_91))
 
 
 def to_detection_json(dets: DataFrame, mapping: dict[int, int] | None = None) -> DataFrame:

@@ -152,16 +152,14 @@ def _upper_cell(value: Column, steps: int) -> Column:
     return F.when((k - 1) * step >= value, k - 1).when(k * step < value, k + 1).otherwise(k).cast("int")
 
 
-def curve_points(matched: DataFrame, labels: DataFrame, n_levels: int, store: bool = False) -> DataFrame:
+def curve_points(matched: DataFrame, labels: DataFrame, n_levels: int) -> DataFrame:
     """Recall and precision at every distinct confidence per class and level (rc0, pr0, ...).
 
-    Detections of equal confidence share one point, so the curve does not depend on their order. ``store`` writes
-    the counts per confidence to the shared folder first, for callers that read the curve several times.
+    Detections of equal confidence share one point, so the curve does not depend on their order. The counts per
+    confidence are written once, so a curve that is read several times is not matched again.
     """
     tps = [f"tp{i}" for i in range(n_levels)]
     at_conf = matched.groupBy("cls", "conf").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in tps])
-    if store:
-        at_conf = materialise(at_conf, "curve")
     ranked = prefix_sums(at_conf.withColumn("_desc", -F.col("conf")), "_desc", ["n", *tps], ["cls"])
     targets = labels.groupBy("cls").agg(F.count("*").alias("n_labels"))
     return ranked.join(targets, "cls").select(
@@ -246,7 +244,7 @@ def smooth(mean: DataFrame, value: str, steps: int = 999, share: float = 0.1) ->
 
 def evaluate(labels: DataFrame, dets: DataFrame, levels: Sequence[float] = LEVELS) -> DataFrame:
     """V6 + V8: per class labels, precision, recall and F1 at the best smoothed mean F1, AP50, AP, tp and fp."""
-    points = curve_points(match(labels, dets, levels), labels, len(levels), store=True)
+    points = curve_points(match(labels, dets, levels), labels, len(levels))
     ap = average_precision(points, labels, len(levels)).groupBy("cls").agg(
         F.max(F.when(F.col("level") == 0, F.col("ap"))).alias("ap50"), F.avg("ap").alias("ap"))
     curves = confidence_curves(points, labels)

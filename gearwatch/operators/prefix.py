@@ -3,42 +3,43 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-BUCKETS = 128
+from gearwatch.operators.series import BLOCK, split_blocks
+from gearwatch.session import materialise
+
+#: Rows of different values that one task adds up.
+RANGE_ROWS = 500_000
 
 
 def prefix_sums(
-    df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (), buckets: int = BUCKETS
+    df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (), rows: int = RANGE_ROWS
 ) -> DataFrame:
-    """Add ``cum_<c>``: running total of each column in ascending ``order`` inside ``by``.
+    """Add ``cum_<c>``, the running total of each column in ascending ``order`` inside ``by``, and ``all_<c>``, its total.
 
-    ``df`` must hold one row per (by, order), so equal values are already combined and no bucket can be made of
-    one repeated value. Values are cut into buckets at approximate quantiles, totalled per bucket, and summed
-    inside the bucket; bucket starts come from the small table of bucket totals.
+    ``df`` must hold one row per (by, order), so equal values are already combined and no range can be made of one
+    repeated value. It is computed once and written, cut into ranges of about ``rows`` rows, and added up inside each
+    range; the totals of the ranges, a few rows each, give what lies before. The number of ranges follows the data.
     """
     by = list(by)
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = F.percentile_approx(F.col(order).cast("double"), shares, 10_000).alias("_cuts")
-    if by:
-        spread = df.join(df.groupBy(*by).agg(cuts), by)
-    else:
-        spread = df.withColumn("_cuts", df.agg(cuts).scalar())
-    value = F.col(order).cast("double")
-    spread = spread.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < value))).drop("_cuts")
-    totals = spread.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    part = by or [F.lit(0)]
-    earlier = W.partitionBy(*part).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    blocked = split_blocks(materialise(df, "prefix"), by, [order], rows)
+    totals = blocked.groupBy(*by, BLOCK).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    group = W.partitionBy(*by).orderBy(BLOCK)
+    earlier, whole = group.rowsBetween(W.unboundedPreceding, -1), group.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     starts = totals.select(
-        *by, "_bucket", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_s_{c}") for c in sums]
+        *[F.col(c).alias(f"_k_{c}") for c in (*by, BLOCK)],
+        *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_s_{c}") for c in sums],
+        *[F.sum(f"_t_{c}").over(whole).alias(f"all_{c}") for c in sums],
     )
-    inside = W.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy(*by, BLOCK).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*by, BLOCK)])
     return (
-        spread.withColumns({f"_l_{c}": F.sum(c).over(inside) for c in sums})
-        .join(starts, [*by, "_bucket"])
+        blocked.withColumns({f"_l_{c}": F.sum(c).over(inside) for c in sums})
+        .join(starts, same)
         .withColumns({f"cum_{c}": F.col(f"_s_{c}") + F.col(f"_l_{c}") for c in sums})
-        .drop("_bucket", *[f"_{p}_{c}" for p in "sl" for c in sums])
+        .drop(BLOCK, *[f"_k_{c}" for c in (*by, BLOCK)], *[f"_{p}_{c}" for p in "sl" for c in sums])
     )
 
 
@@ -55,9 +56,7 @@ def quantiles(
     if not exact:
         return known.groupBy(*by).agg(*[F.percentile_approx(value, p, 10_000).alias(n) for n, p in probs.items()])
     counts = known.groupBy(*by, value).agg(F.count("*").alias("n"))
-    running = prefix_sums(counts, value, ["n"], by)
-    totals = counts.groupBy(*by).agg(F.sum("n").alias("_total"))
-    ranked = running.join(totals, by) if by else running.withColumn("_total", totals.scalar())
+    ranked = prefix_sums(counts, value, ["n"], by).withColumnRenamed("all_n", "_total")
     picks, finals = [], []
     for name, p in probs.items():
         rank = F.lit(p) * (F.col("_total") - 1)

@@ -56,3 +56,9 @@ def test_exploded_boxes_are_never_broadcast(static, sf, name):
                 if depth(below) <= depth(line):
                     break
                 assert not ("Generate explode" in below and ("_g" in below or "_l" in below)), name
+
+
+def test_running_totals_plan_their_input_once(static, sf):
+    text = plan(QUERIES["i17_i18_auc_and_ap"](static, sf))
+    assert "events" not in text  # only the written ranges are read
+    assert len(re.findall(r"(?<!Broadcast)Exchange (?:hash|range|Single)", text)) < 5

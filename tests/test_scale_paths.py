@@ -65,9 +65,17 @@ def test_fill_and_positions(skewed):
 def test_prefix_sums(spark):
     rows = spark.range(5000).select((F.col("id") % 3).alias("g"), (F.pow(F.col("id") % 977, F.lit(3))).alias("v"), F.lit(1).alias("n"))
     unique = rows.groupBy("g", "v").agg(F.sum("n").alias("n"))
-    got = prefix.prefix_sums(unique, "v", ["n"], ["g"], buckets=13)
+    got = prefix.prefix_sums(unique, "v", ["n"], ["g"], rows=300)
     want = unique.withColumn("cum_n", F.sum("n").over(W.partitionBy("g").orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
     same(got.select("g", "v", "n", "cum_n"), want)
+    assert {r[0] for r in got.filter("g = 1").select("all_n").collect()} == {1667}
+
+
+def test_running_totals_keep_groups_without_a_name(spark):
+    df = spark.createDataFrame([(None, 1.0, 2), (None, 2.0, 3), ("a", 1.0, 5)], "g string, v double, n int")
+    rows = {(r["g"], r["v"], r["cum_n"], r["all_n"]) for r in prefix.prefix_sums(df, "v", ["n"], ["g"], rows=1).collect()}
+    assert rows == {(None, 1.0, 2, 5), (None, 2.0, 5, 5), ("a", 1.0, 5, 5)}
+    assert prefix.prefix_sums(df.filter("n > 9"), "v", ["n"], ["g"]).collect() == []
 
 
 def test_quantiles_match_numpy(spark):
