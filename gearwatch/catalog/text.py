@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gearwatch.catalog import registry as cat
 from gearwatch.catalog.base import query, r6, table
 from gearwatch.functions import text as X
-from gearwatch.operators import registry, retrieval
+from gearwatch.operators import registry, retrieval, vectors
 
 _STRIP = r"regexp_replace({x}, '^[\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]+|[\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]+$', '', 'g')"
 _CHUNKS = f"""ch AS (SELECT doc_id, text, unnest(range(CASE WHEN length(text) = 0 THEN 0 WHEN length(text) <= 800 THEN 1
@@ -89,6 +89,30 @@ def dynamic_top_k(spark, d):
     return r6(retrieval.dynamic_top_k(corpus, asked, 5))
 
 
+def _asked(spark, d):
+    """Every vector, and as queries those whose id is divisible by 50."""
+    corpus = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return corpus, corpus.filter("id % 50 = 0").withColumnRenamed("id", "q")
+
+
+@query("c7_projection_index")
+def projection_index(spark, d):
+    """Ten nearest vectors of each query among the buckets of an index over all rows."""
+    corpus, asked = _asked(spark, d)
+    found = vectors.index_search(vectors.fit_index(corpus), corpus, asked, 10, exclude_self=True)
+    return r6(found.select(F.col("q").alias("question_id"), F.col("id").alias("chunk_id"), "score", "rank"))
+
+
+@query("c7_projection_recall", """SELECT count(DISTINCT vec_id) AS queries, CAST(least(10, (SELECT count(*) - 1 FROM embeddings)) AS BIGINT) * count(*) AS neighbours, true AS reached
+ FROM embeddings WHERE vec_id % 50 = 0""")
+def projection_recall(spark, d):
+    """Whether the index finds nine tenths of the true neighbours."""
+    corpus, asked = _asked(spark, d)
+    exact = vectors.search(corpus, asked, 10, exclude_self=True)
+    found = vectors.index_search(vectors.fit_index(corpus), corpus, asked, 10, exclude_self=True)
+    return vectors.recall(found, exact).select("queries", "neighbours", (F.col("recall") >= 0.9).alias("reached"))
+
+
 def _scored_chunks(spark, d):
     """Chunks of all documents scored against all user questions with the default encoder."""
     corpus = chunks(spark, d).withColumn("chunk_id", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")))

@@ -1,4 +1,4 @@
-"""Exact nearest vectors at any size: blocks of queries meet slices of the corpus as rows of one shuffle."""
+"""Nearest vectors: exact at any size by blocks as rows of one shuffle, or among the buckets of random projections."""
 
 from __future__ import annotations
 
@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 #: Queries that a task holds at once, and corpus rows that it compares with them in one go.
 GROUP_ROWS, STEP_ROWS = 4096, 1024
+#: Corpus rows of a bucket that one task compares, and rows that an index is fitted on at most.
+BUCKET_ROWS, FIT_ROWS = 50_000, 2000
+#: Queries whose buckets are put in order at once.
+PROBE_ROWS = 512
 
 
 def best_rows(frame: pd.DataFrame, keep: int) -> pd.DataFrame:
@@ -65,6 +69,34 @@ class Best:
         self.limit[self.place.get_indexer(full.index)] = full.to_numpy()
 
 
+def _comparer(keep: int, floor: float | None, metric: str, exclude_self: bool):
+    """The best rows of each cell (g, s), whose queries (side 0) come before its corpus rows (side 1)."""
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, held, best = None, [], None
+        for frame in frames:
+            for (g, s, side), part in frame.groupby(["g", "s", "side"], sort=True):
+                if (g, s) != cell:
+                    if best is not None and best.found is not None:
+                        yield best.found
+                    cell, held, best = (g, s), [], None
+                if side == 0:
+                    held.append(part)
+                    continue
+                if best is None:
+                    if not held:
+                        continue  # no query in this cell
+                    own = pd.concat(held)
+                    best = Best(own["q"].to_numpy(), matrix(own["v"]), keep, floor, metric, exclude_self)
+                for at in range(0, len(part), STEP_ROWS):
+                    some = part.iloc[at : at + STEP_ROWS]
+                    best.add(some["id"].to_numpy(), matrix(some["v"]))
+        if best is not None and best.found is not None:
+            yield best.found
+
+    return compare
+
+
 def search(corpus: DataFrame, queries: DataFrame, keep: int, floor: float | None = None, metric: str = "cosine",
            exclude_self: bool = False, tasks: int | None = None) -> DataFrame:
     """The best ``keep`` rows of ``corpus`` (id, v) for each of ``queries`` (q, v), as (q, id, score, rank).
@@ -92,28 +124,129 @@ def search(corpus: DataFrame, queries: DataFrame, keep: int, floor: float | None
                          F.lit(1).alias("side"), nothing(q_type).alias("q"), "id", vector.alias("v"))
     dealt = left.unionByName(right).repartition(groups * slices, "g", "s").sortWithinPartitions("g", "s", "side")
 
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cell, held, best = None, [], None
-        for frame in frames:
-            for (g, s, side), part in frame.groupby(["g", "s", "side"], sort=True):
-                if (g, s) != cell:
-                    if best is not None and best.found is not None:
-                        yield best.found
-                    cell, held, best = (g, s), [], None
-                if side == 0:
-                    held.append(part)
-                    continue
-                if best is None:
-                    if not held:
-                        continue  # no query in this group
-                    own = pd.concat(held)
-                    best = Best(own["q"].to_numpy(), matrix(own["v"]), keep, floor, metric, exclude_self)
-                for at in range(0, len(part), STEP_ROWS):
-                    some = part.iloc[at : at + STEP_ROWS]
-                    best.add(some["id"].to_numpy(), matrix(some["v"]))
-        if best is not None and best.found is not None:
-            yield best.found
-
-    found = dealt.mapInPandas(compare, f"q {q_type}, id {id_type}, score double")
+    found = dealt.mapInPandas(_comparer(keep, floor, metric, exclude_self), f"q {q_type}, id {id_type}, score double")
     order = W.partitionBy("q").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep)
+
+
+class ProjectionIndex:
+    """Random hyperplanes in ``tables`` tables: the signs of ``bits`` projections name the bucket of a vector.
+
+    A query looks at ``probes`` buckets of each table, those whose signs it would have if its least certain projections
+    were on the other side. ``fit`` finds the number of probes; every corpus row stands in one bucket of each table, and
+    rows that share a bucket are compared exactly, so scores are true and only neighbours in other buckets are missed.
+    """
+
+    def __init__(self, dim: int, bits: int, tables: int, probes: int = 1, seed: int = 7):
+        self.dim, self.bits, self.tables, self.probes = dim, bits, tables, probes
+        self.planes = np.random.default_rng(seed).standard_normal((tables, dim, bits))
+
+    def _projected(self, vectors: np.ndarray) -> np.ndarray:
+        return np.einsum("nd,tdb->ntb", vectors, self.planes)
+
+    def _number(self, signs: np.ndarray) -> np.ndarray:
+        """Bucket of each table, numbered over all tables."""
+        return signs @ (1 << np.arange(self.bits)) + (np.arange(self.tables) << self.bits)
+
+    def buckets(self, vectors: np.ndarray) -> np.ndarray:
+        """(rows, tables): the bucket that each vector stands in."""
+        return self._number(self._projected(vectors) > 0)
+
+    def probed(self, vectors: np.ndarray, probes: int | None = None) -> np.ndarray:
+        """(rows, tables, probes): the buckets that a query looks at, the likeliest first.
+
+        The cost of a bucket is the sum of squared distances to the planes that lie between it and the query.
+        """
+        crossed = (np.arange(1 << self.bits)[:, None] >> np.arange(self.bits)) & 1
+        out = np.empty((len(vectors), self.tables, probes or self.probes), np.int64)
+        for at in range(0, len(vectors), PROBE_ROWS):
+            projected = self._projected(vectors[at : at + PROBE_ROWS])
+            for t in range(self.tables):
+                cost = projected[:, t] ** 2 @ crossed.T
+                order = np.argsort(cost, axis=1, kind="stable")[:, : out.shape[2]]
+                own = (projected[:, t] > 0) @ (1 << np.arange(self.bits))
+                out[at : at + PROBE_ROWS, t] = (own[:, None] ^ order) + (t << self.bits)
+        return out
+
+    @classmethod
+    def fit(cls, sample: np.ndarray, bits: int, tables: int = 4, keep: int = 10, recall: float = 0.95, seed: int = 7) -> ProjectionIndex:
+        """The index whose probes find ``recall`` of the ``keep`` nearest of ``sample`` for a tenth of its rows.
+
+        All buckets of a table are the whole corpus, so some number of probes always reaches it. Where neighbours are
+        hardly nearer than other rows, as in random vectors, that is a large share of all buckets.
+        """
+        index = cls(sample.shape[1], bits, tables, seed=seed)
+        unit = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300)
+        asked = unit[:: max(1, min(10, len(unit)))]
+        near = np.argsort(-(asked @ unit.T), axis=1, kind="stable")[:, :keep]
+        order, home = index.probed(asked, 1 << bits), index.buckets(unit)
+        # Place, in the order of each query, of the bucket that a neighbour stands in; the best table counts.
+        place = (order[:, None, :, :] == home[near][:, :, :, None]).argmax(3).min(2)
+        index.probes = int(np.sort(place, axis=None)[min(place.size - 1, int(np.ceil(recall * place.size)) - 1)]) + 1
+        return index
+
+
+def fit_index(corpus: DataFrame, keep: int = 10, recall: float = 0.95, tables: int = 4, bits: int | None = None,
+              fit_rows: int = FIT_ROWS, seed: int = 7) -> ProjectionIndex:
+    """An index for ``corpus`` (id, v), fitted on the ``fit_rows`` rows (the documented bound) with the smallest hash of their id.
+
+    ``bits`` grows with the rows of the corpus, between 4 and 12, so that a bucket keeps about the same number of them.
+    The true neighbours of a query are nearer than those inside the sample, so the fitted probes find more of them.
+    """
+    known = corpus.filter(F.col("v").isNotNull() & F.col("id").isNotNull())
+    rows = known.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(fit_rows).select("v").collect()
+    if not rows:
+        return ProjectionIndex(1, 4, tables, seed=seed)  # there is nothing to find
+    bits = bits or int(np.clip(np.log2(max(known.count() / 200, 1)), 4, 12))
+    return ProjectionIndex.fit(matrix([r["v"] for r in rows]), bits, tables, keep, recall, seed)
+
+
+def index_search(index: ProjectionIndex, corpus: DataFrame, queries: DataFrame, keep: int, floor: float | None = None,
+                 exclude_self: bool = False) -> DataFrame:
+    """The best ``keep`` rows by cosine among those that share a probed bucket, as (q, id, score, rank) like ``search``.
+
+    Every row of the corpus is indexed. Rows without a vector match nothing. The corpus is copied once per table, a query
+    once per probed bucket. A bucket with more than ``BUCKET_ROWS`` rows is cut into slices and one with more than
+    ``GROUP_ROWS`` queries into groups, each pair of them a task's work, so no bucket is too large and none is capped;
+    sizes of buckets are at most tables * 2 ** bits rows.
+    """
+    q_type, id_type = dict(queries.dtypes)["q"], dict(corpus.dtypes)["id"]
+    vector = F.transform("v", lambda c: c.cast("double"))
+    rows = corpus.filter(F.col("v").isNotNull() & F.col("id").isNotNull()).select("id", vector.alias("v"))
+    asked = queries.filter(F.col("v").isNotNull() & F.col("q").isNotNull()).select("q", vector.alias("v"))
+
+    @F.pandas_udf("array<long>")
+    def home(vectors: pd.Series) -> pd.Series:
+        return pd.Series(list(index.buckets(matrix(vectors))) if len(vectors) else [], index=vectors.index, dtype=object)
+
+    @F.pandas_udf("array<long>")
+    def looked_at(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], index=vectors.index, dtype=object)
+        return pd.Series(list(index.probed(matrix(vectors)).reshape(len(vectors), -1)), index=vectors.index, dtype=object)
+
+    spread = rows.withColumn("g", F.explode(home("v")))
+    probes = asked.withColumn("g", F.explode(looked_at("v")))
+    slices = spread.groupBy("g").agg(F.ceil(F.count("*") / F.lit(BUCKET_ROWS)).cast("int").alias("slices"))
+    groups = probes.groupBy("g").agg(F.ceil(F.count("*") / F.lit(GROUP_ROWS)).cast("int").alias("groups"))
+    sizes = F.broadcast(slices.join(groups, "g"))  # at most tables * 2 ** bits rows
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    nothing = lambda kind: F.lit(None).cast(kind)
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    left = probes.join(sizes, "g").select("g", every("slices").alias("a"), own("q", "groups").alias("b"), "groups",
+                                          F.lit(0).alias("side"), "q", nothing(id_type).alias("id"), "v")
+    right = spread.join(sizes, "g").select("g", own("id", "slices").alias("a"), every("groups").alias("b"), "groups",
+                                           F.lit(1).alias("side"), nothing(q_type).alias("q"), "id", "v")
+    cells = left.unionByName(right).select("g", (F.col("a") * F.col("groups") + F.col("b")).alias("s"), "side", "q", "id", "v")
+    dealt = cells.repartition("g", "s").sortWithinPartitions("g", "s", "side")
+    found = dealt.mapInPandas(_comparer(keep, floor, "cosine", exclude_self), f"q {q_type}, id {id_type}, score double")
+    order = W.partitionBy("q").orderBy(F.desc("score"), "id")
+    once = found.groupBy("q", "id").agg(F.max("score").alias("score"))  # a pair may meet in several tables
+    return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row (queries, neighbours, found, recall): which of the ``exact`` neighbours (q, id) an index has found."""
+    hits = exact.select("q", "id").join(found.select("q", "id", F.lit(1).alias("hit")), ["q", "id"], "left")
+    return hits.agg(F.count_distinct("q").alias("queries"), F.count("*").alias("neighbours"), F.count("hit").alias("found"),
+                    F.try_divide(F.count("hit"), F.count("*")).alias("recall"))

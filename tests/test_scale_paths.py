@@ -182,6 +182,55 @@ def test_neighbours_are_exact_at_every_size(spark, sf, monkeypatch):
         assert {tuple(r) for r in prepare.neighbours(df, SENSORS, "event_id", 4).collect()} == want
 
 
+@pytest.fixture(scope="module")
+def crowd(spark):
+    """1500 vectors around 30 centres and 500 equal ones, a null id and a null vector; every fiftieth id asks."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 16))
+    m = np.concatenate([centres[rng.integers(0, 30, 1500)] + 0.3 * rng.normal(size=(1500, 16)), np.repeat(centres[:1], 500, 0)])
+    rows = [(i, v) for i, v in enumerate(m.tolist())] + [(None, m[0].tolist()), (5000, None)]
+    return spark.createDataFrame(rows, "id long, v array<double>").persist(), m
+
+
+def test_projection_index_finds_the_neighbours(crowd):
+    corpus, m = crowd
+    asked = corpus.filter("id % 50 = 0").withColumnRenamed("id", "q")
+    index = vectors.fit_index(corpus, bits=6)
+    assert index.probes < 32  # neighbours that are near need few of the 64 buckets
+    found = vectors.index_search(index, corpus, asked, 10)
+    exact = vectors.search(corpus, asked, 10)
+    got = vectors.recall(found, exact).first()
+    assert (got["queries"], got["neighbours"]) == (40, 400) and got["recall"] >= 0.9
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    for r in found.collect():
+        assert abs(r["score"] - unit[r["q"]] @ unit[r["id"]]) < 1e-8 and r["rank"] <= 10
+
+
+def test_projection_index_of_all_buckets_is_exact(crowd):
+    corpus, _ = crowd
+    asked = corpus.filter("id % 50 = 0").withColumnRenamed("id", "q")
+    index = vectors.ProjectionIndex(16, 3, 2, probes=8)
+    same(vectors.index_search(index, corpus, asked, 7, 0.2, True), vectors.search(corpus, asked, 7, 0.2, exclude_self=True))
+
+
+def test_crowded_buckets_are_cut(crowd, monkeypatch):
+    corpus, _ = crowd
+    asked = corpus.filter("id % 50 = 0").withColumnRenamed("id", "q")
+    index = vectors.fit_index(corpus, bits=4)
+    whole = vectors.index_search(index, corpus, asked, 10)
+    monkeypatch.setattr(vectors, "BUCKET_ROWS", 60)
+    monkeypatch.setattr(vectors, "GROUP_ROWS", 7)
+    same(whole, vectors.index_search(index, corpus, asked, 10))
+
+
+def test_projection_index_of_nothing(crowd):
+    corpus, _ = crowd
+    none = corpus.filter("id < 0")
+    asked = corpus.filter("id = 0").withColumnRenamed("id", "q")
+    assert vectors.index_search(vectors.fit_index(none), none, asked, 3).collect() == []
+    assert vectors.index_search(vectors.fit_index(corpus), corpus, asked.filter("q > 0"), 3).collect() == []
+
+
 def test_time_features_of_a_busy_machine(skewed):
     wide = series.time_features(skewed, ["volt"], [3, 24], KEY, bucket_hours=24 * 400)
     cut = series.time_features(skewed, ["volt"], [3, 24], KEY, bucket_hours=48)
