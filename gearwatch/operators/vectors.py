@@ -9,8 +9,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-#: Queries that a task holds at once, and corpus rows that it compares with them in one go.
-GROUP_ROWS, STEP_ROWS = 4096, 1024
+#: Queries that a task holds at most and the bytes that they may take, corpus rows that it compares with them in one go, and
+#: queries of one product of matrices.
+GROUP_ROWS, GROUP_BYTES, STEP_ROWS, BLOCK_ROWS = 32_768, 64 << 20, 1024, 512
+#: Candidates that wait for being merged with the best rows so far.
+PENDING_ROWS = 100_000
 #: Corpus rows of a bucket that one task compares, and rows that an index is fitted on at most.
 BUCKET_ROWS, FIT_ROWS = 50_000, 2000
 #: Queries whose buckets are put in order at once.
@@ -28,45 +31,79 @@ def matrix(vectors) -> np.ndarray:
 
 
 class Best:
-    """The best rows so far of a block of queries, fed with slices of the corpus."""
+    """The best rows so far of a group of queries, fed with slices of the corpus; memory depends on the group only."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, keep: int, floor: float | None, metric: str, exclude_self: bool):
         self.ids, self.vectors, self.keep, self.floor, self.metric, self.exclude_self = ids, vectors, keep, floor, metric, exclude_self
         self.norm = np.linalg.norm(vectors, axis=1)
-        self.found: pd.DataFrame | None = None
+        self.found: pd.DataFrame | None = None  # queries stand in it by their place in the group
+        self.waiting: list[pd.DataFrame] = []
         self.limit = np.full(len(ids), -np.inf)  # scores below it are no longer of use
-        self.place = pd.Index(ids)
+        self.code, known = pd.factorize(ids)
+        self.known = pd.Index(known)
+
+    def _usable(self, size: np.ndarray) -> np.ndarray:
+        return np.isfinite(size) & (size > 0) if self.metric == "cosine" else np.isfinite(size)
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        dots, size = self.vectors @ vectors.T, np.linalg.norm(vectors, axis=1)
+        size = np.linalg.norm(vectors, axis=1)
+        fit = self._usable(size)
+        if not fit.all():
+            ids, vectors, size = ids[fit], vectors[fit], size[fit]
+        if not len(ids):
+            return
+        code = self.known.get_indexer(ids) if self.exclude_self else None
+        for at in range(0, len(self.ids), BLOCK_ROWS):
+            self._compare(slice(at, at + BLOCK_ROWS), ids, vectors, size, code)
+        if sum(map(len, self.waiting)) >= max(PENDING_ROWS, 0 if self.found is None else len(self.found)):
+            self.merge()
+
+    def _compare(self, block: slice, ids: np.ndarray, vectors: np.ndarray, size: np.ndarray, code: np.ndarray | None) -> None:
+        own, norm = self.vectors[block], self.norm[block]
+        score = own @ vectors.T
         if self.metric == "cosine":
-            both = self.norm[:, None] * size
-            score = np.round(np.divide(dots, both, out=np.full_like(dots, np.nan), where=both > 0), 9)
-            slack = 0.0
+            with np.errstate(divide="ignore", invalid="ignore"):
+                score /= norm[:, None]
+                score /= size
+            slack = 2e-9  # what is near the limit is rounded before it is judged
         else:
-            square = self.norm[:, None] ** 2 + size**2
-            score = -np.sqrt(np.maximum(square - 2 * dots, 0))
+            square = norm[:, None] ** 2 + size**2
+            score *= -2
+            score += square
+            score = -np.sqrt(np.maximum(score, 0, out=score), out=score)
             # Sums of products are rough where vectors are near each other; what may be among the best is measured again.
-            slack = 2e-9 + np.sqrt(1e-14 * square.max(initial=0.0) * self.vectors.shape[1])
-        if self.exclude_self:
-            score[self.ids[:, None] == ids[None, :]] = np.nan
+            slack = 2e-9 + np.sqrt(1e-14 * np.nanmax(square, initial=0.0) * vectors.shape[1])
+        if code is not None:
+            score[self.code[block][:, None] == code] = np.nan
         score[np.isnan(score)] = -np.inf
-        if self.floor is not None:
-            score[score < self.floor - slack] = -np.inf
-        cut = self.limit
-        if score.shape[1] > self.keep:
+        score[~self._usable(norm)] = -np.inf
+        cut = self.limit[block]
+        if score.shape[1] > self.keep and not np.isfinite(cut).all():
             cut = np.maximum(cut, np.partition(score, -self.keep, axis=1)[:, -self.keep])
+        if self.floor is not None:
+            cut = np.maximum(cut, self.floor)
         i, j = np.nonzero((score >= (cut - 2 * slack)[:, None]) & (score > -np.inf))
-        value = score[i, j]
-        if self.metric != "cosine":
-            value = -np.round(np.linalg.norm(self.vectors[i] - vectors[j], axis=1), 9)
-            near = value >= (self.floor if self.floor is not None else -np.inf)
-            i, j, value = i[near], j[near], value[near]
-        new = pd.DataFrame({"q": self.ids[i], "id": ids[j], "score": value})
-        self.found = best_rows(new if self.found is None else pd.concat([self.found, new]), self.keep)
+        if self.metric == "cosine":
+            value = np.round(score[i, j], 9)
+        else:
+            value = -np.round(np.linalg.norm(own[i] - vectors[j], axis=1), 9)
+        near = value >= np.maximum(self.limit[block], -np.inf if self.floor is None else self.floor)[i]
+        if near.any():
+            self.waiting.append(pd.DataFrame({"q": i[near] + block.start, "id": ids[j[near]], "score": value[near]}))
+
+    def merge(self) -> None:
+        if not self.waiting:
+            return
+        self.found = best_rows(pd.concat([*([] if self.found is None else [self.found]), *self.waiting]), self.keep)
+        self.waiting = []
         own = self.found.groupby("q")["score"].agg(["min", "size"])
         full = own["min"][own["size"] >= self.keep]
-        self.limit[self.place.get_indexer(full.index)] = full.to_numpy()
+        self.limit[full.index] = full.to_numpy()
+
+    def result(self) -> Iterator[pd.DataFrame]:
+        self.merge()
+        if self.found is not None:
+            yield self.found.assign(q=self.ids[self.found["q"]])
 
 
 def _comparer(keep: int, floor: float | None, metric: str, exclude_self: bool):
@@ -77,22 +114,22 @@ def _comparer(keep: int, floor: float | None, metric: str, exclude_self: bool):
         for frame in frames:
             for (g, s, side), part in frame.groupby(["g", "s", "side"], sort=True):
                 if (g, s) != cell:
-                    if best is not None and best.found is not None:
-                        yield best.found
+                    if best is not None:
+                        yield from best.result()
                     cell, held, best = (g, s), [], None
                 if side == 0:
-                    held.append(part)
+                    held.append((part["q"].to_numpy(), matrix(part["v"])))
                     continue
                 if best is None:
                     if not held:
                         continue  # no query in this cell
-                    own = pd.concat(held)
-                    best = Best(own["q"].to_numpy(), matrix(own["v"]), keep, floor, metric, exclude_self)
+                    best = Best(np.concatenate([q for q, _ in held]), np.concatenate([v for _, v in held]), keep, floor, metric, exclude_self)
+                    held = []
                 for at in range(0, len(part), STEP_ROWS):
                     some = part.iloc[at : at + STEP_ROWS]
                     best.add(some["id"].to_numpy(), matrix(some["v"]))
-        if best is not None and best.found is not None:
-            yield best.found
+        if best is not None:
+            yield from best.result()
 
     return compare
 
@@ -105,18 +142,21 @@ def search(corpus: DataFrame, queries: DataFrame, keep: int, floor: float | None
     and the smaller id comes first on equal scores. Rows without a vector, and for the cosine vectors of length 0, match
     nothing. Ids of queries are unique.
 
-    Queries are dealt to groups of about ``GROUP_ROWS`` and the corpus to slices; every group meets every slice in one task,
-    which holds the group and streams the slice. The corpus is read once and copied once per group, the queries once per
-    slice, and nothing passes through the driver but two counts.
+    Queries are dealt to groups of about ``GROUP_ROWS`` (fewer if their vectors are wide) and the corpus to slices; every group
+    meets every slice in one task, which holds the group and streams the slice. The corpus is read once and copied once per
+    group, the queries once per slice, both as they are stored, and nothing passes through the driver but a count and a width.
     """
     asked = queries.filter(F.col("v").isNotNull() & F.col("q").isNotNull())
     known = corpus.filter(F.col("v").isNotNull() & F.col("id").isNotNull())
     q_type, id_type = dict(queries.dtypes)["q"], dict(corpus.dtypes)["id"]
-    groups = max(1, math.ceil(asked.count() / GROUP_ROWS))
+    n, width = asked.agg(F.count("*"), F.max(F.size("v"))).first()
+    groups = max(1, math.ceil(n / max(1, min(GROUP_ROWS, GROUP_BYTES // (8 * max(width or 1, 1))))))
     tasks = tasks or int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slices = max(1, math.ceil(tasks / groups))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    vector = F.transform("v", lambda c: c.cast("double"))
+    # Single precision stays so until a task compares: half the bytes to move.
+    single = all(dict(df.dtypes)["v"] == "array<float>" for df in (corpus, queries))
+    vector = F.col("v") if single else F.transform("v", lambda c: c.cast("double"))
     nothing = lambda kind: F.lit(None).cast(kind)
     left = asked.select(F.pmod(F.xxhash64("q"), F.lit(groups)).cast("int").alias("g"), every(slices).alias("s"),
                         F.lit(0).alias("side"), "q", nothing(id_type).alias("id"), vector.alias("v"))

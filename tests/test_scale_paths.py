@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window as W, functions as F
 
 from gearwatch.catalog import detection as det, features, streaming as st
-from gearwatch.catalog.base import SENSORS, errors, failures, maint, scored, table, telemetry
+from gearwatch.catalog.base import SENSORS, errors, failures, maint, r6, scored, table, telemetry
 from gearwatch.functions import boxes as B
 from gearwatch.operators import asof, detection, prefix, prepare, retrieval, series, vectors
 from gearwatch.streaming import jobs
@@ -247,3 +247,32 @@ def test_rate_limit_by_hand(spark):
     verdicts = [r["allowed"] for r in jobs.rate_limit(df, tie=["n"]).orderBy("n").collect()]
     assert verdicts == [True] * 30 + [False, True]
     assert st is not None
+
+
+def test_search_copies_the_corpus_for_large_groups_only(spark, monkeypatch):
+    """5000 queries of two numbers are one group, so the corpus is dealt once and stays in single precision."""
+    def received(*_):
+        def count(frames):
+            for f in frames:
+                rows = f[f["side"] == 1]
+                assert all(v.dtype == np.float32 for v in rows["v"])
+                yield f.iloc[:0][["q", "id"]].reindex(range(len(rows))).assign(q=rows["id"].to_numpy(), id=0, score=1.0)
+        return count
+
+    corpus = spark.range(50).select("id", F.array(F.lit(1.0).cast("float"), F.col("id").cast("float")).alias("v"))
+    asked = spark.range(5000).select(F.col("id").alias("q"), F.array(F.lit(1.0).cast("float"), F.col("id").cast("float")).alias("v"))
+    monkeypatch.setattr(vectors, "_comparer", received)
+    assert vectors.search(corpus, asked, 10**6).count() == 50
+
+
+def test_search_in_blocks(spark, monkeypatch):
+    """Small blocks and frequent merges give the rows of one block; repeated, null and zero vectors included."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.integers(-2, 3, (150, 3)))] + [(200, None), (201, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    for metric, floor in (("cosine", 0.3), ("euclid", None)):
+        with monkeypatch.context() as m:
+            whole = vectors.search(df, df.withColumnRenamed("id", "q"), 4, floor, metric, True, tasks=1).collect()
+            for name, value in (("BLOCK_ROWS", 7), ("PENDING_ROWS", 1), ("STEP_ROWS", 5), ("GROUP_BYTES", 24 * 40)):
+                m.setattr(vectors, name, value)
+            assert sorted(vectors.search(df, df.withColumnRenamed("id", "q"), 4, floor, metric, True).collect()) == sorted(whole)
