@@ -7,13 +7,16 @@ image; detections of an image rank by confidence, then det_id.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gearwatch.functions import boxes as B
 from gearwatch.operators.prefix import prefix_sums
+from gearwatch.operators.vectors import matrix
 from gearwatch.session import materialise
 
 # IoU levels, cut-offs and limits.
@@ -23,6 +26,8 @@ NMS_CONF, NMS_IOU, MAX_NMS, MAX_DET = 0.25, 0.45, 30_000, 300
 FITNESS = {"map50": 0.1, "map": 0.9}
 BOX = ["x1", "y1", "x2", "y2"]
 TINY = 1e-16
+#: Masks of a slice at most and the bytes that they may take, and masks of one product of matrices.
+MASK_ROWS, MASK_BYTES, MASK_STEP = 4096, 64 << 20, 1024
 
 
 def unique_boxes(df: DataFrame, keys: Sequence[str], id_col: str, extra: Sequence[str] = (), by_conf: bool = False) -> DataFrame:
@@ -401,36 +406,87 @@ def _mass(mask: Column) -> Column:
     return F.aggregate(mask, F.lit(0.0), lambda s, v: s + v.cast("double"))
 
 
-def mask_pairs(labels: DataFrame, dets: DataFrame, keys: Sequence[str], floor: float = 0.5) -> DataFrame:
-    """Label-detection pairs of a group with mask IoU of at least ``floor``.
-
-    Masks become rows of their set pixels and pairs are counted pixel by pixel, so no pair is formed without a common pixel.
-    To overlap by ``floor`` two masks must share that part of the larger one: it is enough to look for partners by the
-    rarest pixels of the detection, all but this share of them and one more. Masks that are likely by their area are then
-    compared in full. Copies of a mask meet once if the caller reduces both sides to distinct masks.
+def _mask_comparer(keys: Sequence[str], floor: float, best: bool):
+    """Pairs of each cell (keys, a, b), whose labels (side 0) come before its detections (side 1); with ``best`` only the best
+    label of each detection."""
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, held, names, marks, mass = None, [], None, None, None
+        for frame in frames:
+            for (*at, side), part in frame.groupby([*keys, "a", "b", "side"], sort=True):
+                if at != cell:
+                    cell, held, names = at, [], None
+                if side == 0:
+                    held.append(part[["l_label_id", "_mask"]])
+                    continue
+                if names is None:
+                    if not held:
+                        continue
+                    own = pd.concat(held).sort_values("l_label_id", kind="stable")
+                    held, names, marks = [], own["l_label_id"].to_numpy(), matrix(own["_mask"])
+                    mass = marks.sum(axis=1)
+                for i in range(0, len(part), MASK_STEP):
+                    some = part.iloc[i : i + MASK_STEP]
+                    ids, other = some["d_det_id"].to_numpy(), matrix(some["_mask"])
+                    size, rows = other.sum(axis=1), np.arange(len(ids))
+                    top, who = np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64)
+                    for j in range(0, len(names), MASK_STEP):
+                        inter = other @ marks[j : j + MASK_STEP].T
+                        iou = inter / (mass[None, j : j + MASK_STEP] + size[:, None] - inter + B.EPS)
+                        iou[~((inter > 0) & (iou >= floor))] = -np.inf
+                        if best:  # labels ascend, so the first of equal ones is the smallest
+                            first = iou.argmax(axis=1)
+                            higher = iou[rows, first] > top
+                            top[higher], who[higher] = iou[rows, first][higher], first[higher] + j
+                            continue
+                        d, n = np.nonzero(iou > -np.inf)
+                        yield pd.DataFrame({**dict(zip(keys, at)), "l_label_id": names[n + j], "d_det_id": ids[d], "iou": iou[d, n]})
+                    if best:
+                        d = np.flatnonzero(top > -np.inf)
+                        yield pd.DataFrame({**dict(zip(keys, at)), "l_label_id": names[who[d]], "d_det_id": ids[d], "iou": top[d]})
+
+    return compare
+
+
+def mask_pairs(labels: DataFrame, dets: DataFrame, keys: Sequence[str], floor: float = 0.5, best: bool = False) -> DataFrame:
+    """Label-detection pairs of a group with mask IoU of at least ``floor``, which have a common pixel.
+
+    Every pair of a group is compared, as blocks: labels and detections of a group are dealt to slices of ``MASK_ROWS`` rows at
+    most (fewer if masks are large), every slice of labels meets every slice of detections in one task, and common pixels are
+    counted by a product of matrices. A task holds one slice of labels whatever the size of a group; only pairs that reach
+    ``floor`` leave it. With ``best`` a slice gives only the best label of each detection (the smallest id on ties), from which
+    the caller takes the best of all slices. Masks with a null pixel and masks of different length match nothing.
     """
     keys = list(keys)
 
     def ready(df: DataFrame, p: str) -> DataFrame:
-        named = df.withColumnsRenamed({c: f"{p}_{c}" for c in df.columns if c not in keys})
-        mask = F.col(f"{p}_mask")
-        on = F.filter(F.transform(mask, lambda v, i: F.when(v.cast("double") > 0, i)), lambda i: i.isNotNull())
-        return named.withColumns({f"_{p}_on": on, f"_{p}_area": F.size(on)}).filter(F.size(on) > 0)
-
-    left, right = ready(labels, "l"), ready(dets, "d")
-    pixel = lambda df, p, ids: df.select(*keys, *ids, f"_{p}_area", F.explode(f"_{p}_on").alias("_pixel"))
-    common = pixel(left, "l", ["l_label_id"]).groupBy(*keys, "_pixel").agg(F.count("*").alias("_often"))
-    spread = pixel(right, "d", ["d_det_id"]).join(common, [*keys, "_pixel"])
-    # Of the pixels that labels have at all; the others cannot be shared.
-    rare = W.partitionBy(*keys, "d_det_id").orderBy("_often", "_pixel")
-    needed = F.col("_d_area") - F.ceil(F.col("_d_area") * floor) + 1
-    probes = spread.withColumn("_nth", F.row_number().over(rare)).filter(F.col("_nth") <= needed)
-    met = pixel(left, "l", ["l_label_id"]).withColumnRenamed("_l_area", "_a").join(
-        probes.select(*keys, "_pixel", "d_det_id", F.col("_d_area").alias("_b")), [*keys, "_pixel"])
-    likely = met.filter((F.col("_a") >= F.col("_b") * floor) & (F.col("_b") >= F.col("_a") * floor)).select(*keys, "l_label_id", "d_det_id").distinct()
-    pairs = likely.join(left.drop("_l_on", "_l_area"), [*keys, "l_label_id"]).join(right.drop("_d_on", "_d_area"), [*keys, "d_det_id"])
-    pairs = pairs.withColumn("iou", mask_iou(F.col("l_mask"), F.col("d_mask")))
-    return pairs.filter(F.col("iou") >= floor).drop("l_mask", "d_mask")
+        named = df.withColumnsRenamed({c: f"{p}_{c}" for c in df.columns if c not in keys}).withColumnRenamed(f"{p}_mask", "_mask")
+        whole = ~F.exists("_mask", lambda v: v.isNull()) & F.exists("_mask", lambda v: v.cast("double") > 0)
+        return named.filter(whole).withColumn("_wide", F.size("_mask"))
+
+    left, right = ready(labels, "l").filter("l_label_id IS NOT NULL"), ready(dets, "d").filter("d_det_id IS NOT NULL")
+    cell = [*keys, "_wide"]
+    rows = F.greatest(F.lit(1), F.least(F.lit(MASK_ROWS), F.floor(F.lit(MASK_BYTES) / (F.col("_wide") * 8))))
+    slices = lambda df, n: df.groupBy(cell).agg(F.ceil(F.count("*") / F.first(rows)).cast("int").alias(n))
+    sizes = slices(left, "_as").join(slices(right, "_bs"), cell)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    kinds = {"l_label_id": dict(left.dtypes)["l_label_id"], "d_det_id": dict(right.dtypes)["d_det_id"]}
+    nothing = {c: F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()}
+    pixels = F.transform("_mask", lambda v: v.cast("double")) if dict(left.dtypes)["_mask"] != dict(right.dtypes)["_mask"] else F.col("_mask")
+    dealt = left.join(sizes, cell).select(*cell, own("l_label_id", "_as").alias("a"), every("_bs").alias("b"), F.lit(0).alias("side"),
+                                          "l_label_id", nothing["d_det_id"], pixels.alias("_mask")).unionByName(
+        right.join(sizes, cell).select(*cell, every("_as").alias("a"), own("d_det_id", "_bs").alias("b"), F.lit(1).alias("side"),
+                                       nothing["l_label_id"], "d_det_id", pixels.alias("_mask")))
+    dealt = dealt.repartition(*cell, "a", "b").sortWithinPartitions(*cell, "a", "b", "side")
+    schema = ", ".join([f"`{k}` {dict(left.dtypes)[k]}" for k in keys] + [f"{c} {kind}" for c, kind in kinds.items()] + ["iou double"])
+    compare = _mask_comparer(cell, floor, best)
+    pairs = dealt.mapInPandas(lambda frames: (x.drop(columns="_wide") for x in compare(frames)), schema)
+    for side, ident in ((left, "l_label_id"), (right, "d_det_id")):
+        rest = side.drop("_mask", "_wide")
+        if len(rest.columns) > len(keys) + 1:
+            pairs = pairs.join(rest, [*keys, ident])
+    return pairs.select(*[c for c in pairs.columns if c != "iou"], "iou")
 
 
 def match_masks(labels: DataFrame, dets: DataFrame, levels: Sequence[float] = LEVELS) -> DataFrame:
@@ -441,7 +497,7 @@ def match_masks(labels: DataFrame, dets: DataFrame, levels: Sequence[float] = LE
         order = F.struct(-F.col("conf"), F.col(id_col)) if extra else F.col(id_col)
         return df.groupBy(*keys, "mask").agg(F.min_by(F.struct(id_col, *extra), order).alias("k")).select(*keys, "mask", "k.*")
 
-    pairs = mask_pairs(once(labels, "label_id", []), once(dets, "det_id", ["conf"]), keys, min(levels))
+    pairs = mask_pairs(once(labels, "label_id", []), once(dets, "det_id", ["conf"]).drop("conf"), keys, min(levels), best=True)
     best = pairs.groupBy(*keys, "d_det_id").agg(
         F.max_by(F.struct(F.col("l_label_id").alias("label_id"), "iou"), F.struct(F.col("iou"), -F.col("l_label_id"))).alias("b")
     ).select("image_id", F.col("d_det_id").alias("det_id"), "b.*")

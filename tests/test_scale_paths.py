@@ -276,3 +276,32 @@ def test_search_in_blocks(spark, monkeypatch):
             for name, value in (("BLOCK_ROWS", 7), ("PENDING_ROWS", 1), ("STEP_ROWS", 5), ("GROUP_BYTES", 24 * 40)):
                 m.setattr(vectors, name, value)
             assert sorted(vectors.search(df, df.withColumnRenamed("id", "q"), 4, floor, metric, True).collect()) == sorted(whole)
+
+
+def test_masks_in_slices(spark, monkeypatch):
+    """Masks of one group compared in full, in slices, and reduced to the best label, against NumPy."""
+    rng = np.random.default_rng(4)
+    masks = rng.integers(0, 2, (90, 12))
+    masks[5], masks[17] = 0, masks[3]
+    rows = [(1, i, [int(v) for v in m]) for i, m in enumerate(masks)] + [(1, 90, [1, None] * 6), (2, 91, [1] * 12), (None, 92, [1] * 12), (1, 93, [1] * 5), (1, 94, None)]
+    df = spark.createDataFrame(rows, "image_id long, id long, mask array<tinyint>")
+    labels, dets = df.withColumnRenamed("id", "label_id"), df.withColumnRenamed("id", "det_id").withColumn("conf", F.lit(0.5))
+    inter = masks @ masks.T
+    iou = inter / (masks.sum(1)[:, None] + masks.sum(1) - inter + B.EPS)
+    want = {(i, j, round(iou[i, j], 9)) for i in range(90) for j in range(90) if iou[i, j] >= 0.5}
+    want |= {(i, i, round(n / (n + B.EPS), 9)) for i, n in ((91, 12), (93, 5))}
+    best = {}
+    for i, j, v in sorted(want):
+        if j not in best or v > best[j][1]:
+            best[j] = (i, v)
+    for rows_, step in ((4096, 1024), (13, 7)):
+        monkeypatch.setattr(detection, "MASK_ROWS", rows_)
+        monkeypatch.setattr(detection, "MASK_STEP", step)
+        got = detection.mask_pairs(labels, dets, ["image_id"])
+        assert {(r["l_label_id"], r["d_det_id"], round(r["iou"], 9)) for r in got.collect()} == want and "d_conf" in got.columns
+        few = detection.mask_pairs(labels, dets, ["image_id"], best=True).collect()
+        top = {}
+        for r in sorted(few, key=lambda r: r["l_label_id"]):
+            if r["d_det_id"] not in top or round(r["iou"], 9) > top[r["d_det_id"]][1]:
+                top[r["d_det_id"]] = (r["l_label_id"], round(r["iou"], 9))
+        assert top == best and (rows_ < 90 or len(few) == len(best))
