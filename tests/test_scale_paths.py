@@ -278,6 +278,44 @@ def test_search_in_blocks(spark, monkeypatch):
             assert sorted(vectors.search(df, df.withColumnRenamed("id", "q"), 4, floor, metric, True).collect()) == sorted(whole)
 
 
+def crowd_of_boxes(spark, n, images, seed):
+    rng = np.random.default_rng(seed)
+    xy, wh = rng.integers(0, 40, (n, 2)), rng.integers(0, 30, (n, 2))
+    rows = [(int(rng.integers(images)) if i % 50 else None, i, int(rng.integers(3)), *[float(v) for v in (*xy[i], *(xy[i] + wh[i]))], float(rng.integers(1, 20)) / 20)
+            for i in range(n)]
+    return spark.createDataFrame(rows + rows[:20], "image_id long, det_id long, cls int, x1 double, y1 double, x2 double, y2 double, conf double")
+
+
+@pytest.mark.parametrize("limit", [0, 45])
+def test_crowded_and_calm_images_agree(spark, monkeypatch, limit):
+    """Without the grid, with the grid for some images, and with it for all: the same matches, also for repeated rows and null images."""
+    dets = crowd_of_boxes(spark, 300, 6, 1)
+    labels = crowd_of_boxes(spark, 250, 6, 2).withColumnRenamed("det_id", "label_id").drop("conf")
+    scored = dets.withColumnRenamed("det_id", "pred_id").filter("image_id IS NOT NULL").dropDuplicates()
+    runs = [lambda: detection.match(labels, dets), lambda: detection.confusion(labels, dets), lambda: detection.iou_pairs(labels, dets, ["image_id"], 0.4),
+            lambda: detection.suppress(scored), lambda: detection.suppress(scored, merge=True, agnostic=True)]
+    for run in runs:
+        with monkeypatch.context() as m:
+            m.setattr(detection, "CROWD_ROWS", 10**9)
+            calm = r6(run()).persist()
+            m.setattr(detection, "CROWD_ROWS", limit)
+            same(calm, r6(run()))
+
+
+def test_images_are_dealt_once(spark):
+    """Labels and detections go through one exchange each; every later step finds its rows there."""
+    import contextlib
+    import io
+    dets, labels = crowd_of_boxes(spark, 60, 6, 1), crowd_of_boxes(spark, 50, 6, 2).withColumnRenamed("det_id", "label_id").drop("conf")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with contextlib.redirect_stdout(io.StringIO()) as text:
+            detection.match(labels, dets).explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.getvalue().count("Exchange hashpartitioning") == 2
+
+
 def test_masks_in_slices(spark, monkeypatch):
     """Masks of one group compared in full, in slices, and reduced to the best label, against NumPy."""
     rng = np.random.default_rng(4)
