@@ -123,7 +123,7 @@ def best_labels(labels: DataFrame, dets: DataFrame, keys: Sequence[str], floor:
         lead = F.min(order).over(W.partitionBy(*keys, *BOX)) == order
         real = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
         again = F.row_number().over(W.partitionBy("image_id", "det_id").orderBy(*BOX))
-        own = dets.withColumns({"_lead": F.coalesce(lead & real, F.lit(False)), "_again": again})
+        own = dets.withColumns({"_lead": F.coalesce(lead & real & F.col("det_id").isNotNull(), F.lit(False)), "_again": again})
         for c in BOX:
             own = own.withColumn(f"d_{c}", F.col(c))
         others = {k: f"_l_{k}" for k in keys if k != "image_id"}
@@ -415,7 +415,7 @@ def suppress(scored: DataFrame, iou: float = NMS_IOU, agnostic: bool = False, me
     ranked = scored.withColumn("_rn", F.row_number().over(by_score)).filter(F.col("_rn") <= max_nms)
     # The strongest copy of a box stands for all of them; what is needed of the others is noted before the rows are written.
     copies = W.partitionBy(*group, *BOX)
-    ranked = ranked.withColumn("_first", ~F.coalesce(real, F.lit(False)) | (F.min("_rn").over(copies) == F.col("_rn")))
+    ranked = ranked.withColumn("_first", F.coalesce(~real | (real & (F.min("_rn").over(copies) == F.col("_rn"))), F.lit(False)))
     if merge:
         ranked = ranked.withColumns({"_n": F.count("*").over(copies), "_weight": F.sum("conf").over(copies)})
     top = materialise(ranked, "suppress-rows")
@@ -429,7 +429,7 @@ def suppress(scored: DataFrame, iou: float = NMS_IOU, agnostic: bool = False, me
 
     near = materialise(_by_crowding(overlaps, boxes.select(*group, *BOX, "_rn")), "suppress-edges")
     gone = suppressed(near).withColumnRenamed("weak", "_rn")
-    kept = top.filter("_first").drop("_first").join(gone, ["image_id", "_rn"], "left_anti")
+    kept = top.filter("_first AND image_id IS NOT NULL").drop("_first").join(gone, ["image_id", "_rn"], "left_anti")
     if merge:
         kept = _merged(kept, boxes, near, top.groupBy("image_id").agg(F.count("*").alias("_size")))
     best = kept.withColumn("_place", F.row_number().over(by_score)).filter(F.col("_place") <= max_det)

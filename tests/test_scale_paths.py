@@ -302,6 +302,18 @@ def test_crowded_and_calm_images_agree(spark, monkeypatch, limit):
             same(calm, r6(run()))
 
 
+def test_boxes_with_nulls(spark):
+    """A detection without an id takes no label, and boxes without an image or a corner are not kept."""
+    nothing = crowd_of_boxes(spark, 40, 2, 5).filter("image_id = 0 AND x2 > x1 AND y2 > y1").dropDuplicates()
+    dets = nothing.withColumn("det_id", F.when(F.col("det_id") % 2 == 0, F.col("det_id")))
+    labels = nothing.withColumnRenamed("det_id", "label_id").drop("conf")
+    hits = detection.match(labels, dets)
+    assert hits.filter("det_id IS NULL AND tp0 = 1").count() == 0 and hits.filter("tp0 = 1").count() > 0
+    scored = nothing.withColumnRenamed("det_id", "pred_id")
+    odd = scored.withColumn("image_id", F.lit(None).cast("long")).unionByName(scored.withColumns({"y1": F.lit(None).cast("double"), "y2": F.lit(None).cast("double")}))
+    assert detection.suppress(odd).count() == 0
+
+
 def test_images_are_dealt_once(spark):
     """Labels and detections go through one exchange each; every later step finds its rows there."""
     import contextlib
