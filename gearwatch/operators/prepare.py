@@ -87,16 +87,22 @@ def class_weight(df: DataFrame, label: str = "y") -> DataFrame:
 def neighbours(df: DataFrame, features: Sequence[str], key: str, k: int = 5) -> DataFrame:
     """k nearest rows of each row by Euclidean distance, as (key, rank, neighbour).
 
-    Exact at every size: blocks of rows meet every slice of the rows (``vectors.search``). Smaller keys come first at equal
+    Exact at every size: by strips for few features (``near_rows``), else blocks of rows meet every slice. Smaller keys come first at equal
     distance; a row with a null feature is no one's neighbour.
     """
     vec = F.array(*[F.col(f).cast("double") for f in features])
     rows = df.dropna(subset=list(features)).select(F.col(key).alias("id"), vec.alias("v"))
-    return near_rows(rows, k).select(F.col("q").alias(key), "rank", F.col("id").alias("neighbour"))
+    return near_rows(rows, k, len(features)).select(F.col("q").alias(key), "rank", F.col("id").alias("neighbour"))
 
 
-def near_rows(rows: DataFrame, k: int) -> DataFrame:
-    """(q, id, score, rank): the ``k`` nearest other rows of each of ``rows`` (id, v)."""
+#: Widest vectors whose neighbours are looked for by strips: each further number makes the bound reach more of them.
+STRIP_WIDTH = 3
+
+
+def near_rows(rows: DataFrame, k: int, width: int | None = None) -> DataFrame:
+    """(q, id, score, rank): the ``k`` nearest other rows of each of ``rows`` (id, v), whose vectors hold ``width`` numbers."""
+    if width and width <= STRIP_WIDTH:
+        return vectors.near_in_strips(rows, k)
     return vectors.search(rows, rows.withColumnRenamed("id", "q"), k, metric="euclid", exclude_self=True)
 
 
@@ -108,7 +114,7 @@ def oversample(df: DataFrame, features: Sequence[str], key: str, label: str = "y
     """
     given = df.select(key, *[F.col(f).cast("double").alias(f) for f in features], label)
     rows = given.select(F.col(key).alias("id"), F.array(*features).alias("v"), F.col(label).alias("y"))
-    made = between_neighbours(rows, k, seed).select(
+    made = between_neighbours(rows, k, seed, len(features)).select(
         F.col("id").alias(key), *[F.col("v")[i].alias(f) for i, f in enumerate(features)], F.col("y").alias(label), F.lit(True).alias("synthetic"))
     return given.withColumn("synthetic", F.lit(False)).unionByName(made)
 
@@ -129,7 +135,7 @@ def smallest_hashes(rows: DataFrame, n: int, seed: int, cells: int = 4096) -> Co
     return F.coalesce((cell < border) | ((cell == border) & (place < edge)), F.lit(False))
 
 
-def between_neighbours(rows: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
+def between_neighbours(rows: DataFrame, k: int = 5, seed: int = 42, width: int | None = None) -> DataFrame:
     """The synthetic rows (id, v, y) that make both classes of ``rows`` (id, v, y) equal in size; ``id`` is the origin."""
     counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if len(counts) != 2:
@@ -147,7 +153,7 @@ def between_neighbours(rows: DataFrame, k: int = 5, seed: int = 42) -> DataFrame
         "rank": (F.pmod(F.xxhash64("id", "_copy", F.lit(seed)), widest) + 1).cast("int"),
         "_u": F.pmod(F.xxhash64("id", "_copy", F.lit(seed + 1)), F.lit(1 << 30)) / F.lit(float(1 << 30)),
     })
-    near = near_rows(small, k).select(F.col("q").alias("id"), "rank", F.col("id").alias("_other"))
+    near = near_rows(small, k, width).select(F.col("q").alias("id"), "rank", F.col("id").alias("_other"))
     other = small.select(F.col("id").alias("_other"), F.col("v").alias("_to"))
     mixed = made.join(near, ["id", "rank"]).join(other, "_other")
     line = F.zip_with("v", "_to", lambda a, b: a + F.col("_u") * (b - a))

@@ -9,11 +9,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from gearwatch.operators.series import numbered
+from gearwatch.session import materialise
+
 #: Queries that a task holds at most and the bytes that they may take, corpus rows that it compares with them in one go, and
 #: queries of one product of matrices.
 GROUP_ROWS, GROUP_BYTES, STEP_ROWS, BLOCK_ROWS = 32_768, 64 << 20, 1024, 512
 #: Candidates that wait for being merged with the best rows so far.
 PENDING_ROWS = 100_000
+#: Rows of a strip of vectors of few numbers.
+STRIP_ROWS = 2048
 #: Corpus rows of a bucket that one task compares, and rows that an index is fitted on at most.
 BUCKET_ROWS, FIT_ROWS = 50_000, 2000
 #: Queries whose buckets are put in order at once.
@@ -169,6 +174,47 @@ def search(corpus: DataFrame, queries: DataFrame, keep: int, floor: float | None
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep)
 
 
+def near_in_strips(rows: DataFrame, keep: int) -> DataFrame:
+    """The ``keep`` nearest other rows of each of ``rows`` (id, v), as ``search`` by Euclidean distance gives them, for vectors of
+    few numbers.
+
+    The rows are ordered by the number with most values and cut into strips of ``STRIP_ROWS``. A row meets its own strip first;
+    the distance of its last neighbour there bounds what it can still find, and it goes on only to the strips within that
+    distance. The work follows the rows times the strips that a bound reaches: few for spread values, all of them, as in
+    ``search``, where most rows share one value.
+    """
+    known = rows.filter(F.col("v").isNotNull() & F.col("id").isNotNull() & ~F.exists("v", lambda c: c.isNull() | F.isnan(c.cast("double"))))
+    known = known.select("id", F.transform("v", lambda c: c.cast("double")).alias("v"))
+    kind, width = dict(rows.dtypes)["id"], known.agg(F.max(F.size("v"))).first()[0]
+    if not width:
+        return search(rows, rows.withColumnRenamed("id", "q"), keep, metric="euclid", exclude_self=True)
+    values = known.agg(*[F.approx_count_distinct(F.get("v", F.lit(i))) for i in range(width)]).first()
+    ordered = known.withColumn("_x", F.get("v", F.lit(values.index(max(values)))))
+    strip = F.floor((F.col("_at") - 1) / STRIP_ROWS).cast("int")
+    placed = materialise(numbered(ordered, ["_x", "id", "v"], "_at").select("id", "v", "_x", strip.alias("g")), "strips")
+
+    def met(asked: DataFrame) -> DataFrame:
+        nothing = F.lit(None).cast(kind)
+        left = asked.select("g", F.lit(0).alias("s"), F.lit(0).alias("side"), "q", nothing.alias("id"), "v")
+        right = placed.select("g", F.lit(0).alias("s"), F.lit(1).alias("side"), nothing.alias("q"), "id", "v")
+        dealt = left.unionByName(right).repartition("g").sortWithinPartitions("g", "s", "side")
+        return dealt.mapInPandas(_comparer(keep, None, "euclid", True), f"q {kind}, id {kind}, score double")
+
+    own = materialise(met(placed.withColumnRenamed("id", "q")), "strip-own")
+    bound = own.groupBy("q").agg(F.when(F.count("*") >= keep, -F.min("score")).alias("_r"))
+    ends = placed.groupBy("g").agg(F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+    # Distances are rounded, so a strip is reached a little earlier than they say.
+    reach = F.coalesce(F.col("_r"), F.lit(math.inf)) * (1 + 1e-9) + 1e-8
+    bounded = placed.withColumnRenamed("id", "q").join(bound, "q", "left").join(F.broadcast(ends), "g")  # one row for each strip
+    # The rows next to a strip share its end value when that is frequent, so an end itself counts as reached.
+    leaving = bounded.filter((F.col("_x") - reach <= F.col("_low")) | (F.col("_x") + reach >= F.col("_high")))
+    other = ends.select(F.col("g").alias("_g"), F.col("_low").alias("_l"), F.col("_high").alias("_h"))
+    onward = leaving.join(F.broadcast(other), (F.col("_g") != F.col("g")) & (F.col("_l") <= F.col("_x") + reach) & (F.col("_h") >= F.col("_x") - reach))
+    found = own.unionByName(met(onward.select(F.col("_g").alias("g"), "q", "v")))
+    order = W.partitionBy("q").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep)
+
+
 class ProjectionIndex:
     """Random hyperplanes in ``tables`` tables: the signs of ``bits`` projections name the bucket of a vector.
 

@@ -278,6 +278,16 @@ def test_search_in_blocks(spark, monkeypatch):
             assert sorted(vectors.search(df, df.withColumnRenamed("id", "q"), 4, floor, metric, True).collect()) == sorted(whole)
 
 
+@pytest.mark.parametrize("values", [3, 40])
+def test_strips_find_all_neighbours(spark, monkeypatch, values):
+    """Rows in strips have the neighbours that all pairs give, with many equal values, repeated points, nulls and short strips."""
+    rng = np.random.default_rng(values)
+    rows = [(i, [float(a), float(b)]) for i, (a, b) in enumerate(rng.integers(0, values, (160, 2)) / 4)] + [(900, None), (901, [None, 1.0]), (902, [float("nan"), 1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    monkeypatch.setattr(vectors, "STRIP_ROWS", 9)
+    same(prepare.near_rows(df, 4, 2), prepare.near_rows(df, 4))
+
+
 def crowd_of_boxes(spark, n, images, seed):
     rng = np.random.default_rng(seed)
     xy, wh = rng.integers(0, 40, (n, 2)), rng.integers(0, 30, (n, 2))
