@@ -161,40 +161,66 @@ def call_summary(calls: DataFrame) -> DataFrame:
 KEYWORD_COLUMNS = ["model", "manufacturer", "location", "machine_id", "serial_number"]
 KEYWORD_LIMIT = 5
 PARTIAL_LIMIT = 3
-#: Longest piece of a text in the index of the lookup.
-GRAM = 3
+#: Longest piece of a text in the index of the lookup, and how many values of a column with the smallest ids are asked first.
+GRAM, HEAD_VALUES = 8, 100_000
 
 
-def _grams(text: Column, sizes: Column) -> Column:
-    """Distinct pieces of a text with the given lengths."""
-    length = F.length(text)
-    cut = lambda n: F.transform(F.sequence(F.lit(1), length - n + 1), lambda at: F.substr(text, at, n))
-    return F.array_distinct(F.flatten(F.transform(F.filter(sizes, lambda n: n <= length), cut)))
+def _pieces(df: DataFrame, text: str, sizes: str, name: str) -> DataFrame:
+    """A row per place of ``text`` and length in the array ``sizes`` with the piece there; a piece may repeat."""
+    at = F.sequence(F.lit(1), F.length(text) - F.col("_n") + 1)
+    cut = df.withColumn("_n", F.explode(sizes)).filter(F.col("_n") <= F.length(text)).withColumn("_at", F.explode(at))
+    return cut.withColumn(name, F.substr(text, F.col("_at"), F.col("_n"))).drop("_n", "_at", sizes)
 
 
-def _substring_hits(registry: DataFrame, columns: Sequence[str], needles: DataFrame, limit: int) -> DataFrame:
+def _substring_hits(registry: DataFrame, columns: Sequence[str], needles: DataFrame, limit: int, head_values: int = HEAD_VALUES) -> DataFrame:
     """Registry ids whose column contains the needle (case-insensitive), ``limit`` smallest per needle with their rank.
 
-    Works on distinct values: each keeps its ``limit`` smallest ids, which is all a needle can ever need from it. An index maps
-    pieces of up to three characters to the values that hold them; a needle meets only the values that share its rarest piece,
-    and ``contains`` confirms.
+    Works on distinct values: each keeps its ``limit`` smallest ids, which is all a needle can ever need from it. Values are cut
+    into pieces as long as a needle, up to ``GRAM`` characters: a needle of that length is the piece. The ``head_values`` of a
+    column with the smallest ids are asked first; a needle with ``limit`` hits there is done, and the others are looked for in the
+    rest. A needle beyond ``GRAM`` meets the values that share its rarest piece, and ``contains`` confirms.
     """
     long = registry.select("id", *[F.lower(F.col(c).cast("string")).alias(c) for c in columns]).unpivot(
         ["id"], list(columns), "column_name", "value").filter("value <> ''")
     by_value = W.partitionBy("column_name", "value").orderBy("id")
-    few = materialise(long.withColumn("_rn", F.row_number().over(by_value)).filter(F.col("_rn") <= limit).drop("_rn"), "lookup-ids")
-    asked = needles.select("needle").filter("needle <> ''").distinct()
-    size = F.least(F.length("needle"), F.lit(GRAM))
-    values = few.groupBy("column_name", "value").agg(F.min("id").alias("_first")).withColumn("_sizes", asked.agg(F.collect_set(size).alias("s")).scalar())
-    postings = materialise(values.withColumn("gram", F.explode(_grams(F.col("value"), F.col("_sizes")))).drop("_sizes"), "lookup-index")
-    often = postings.groupBy("gram").agg(F.count("*").alias("_often"))
-    own = asked.withColumn("gram", F.explode(_grams(F.col("needle"), F.array(size)))).join(often, "gram", "left")
-    rarest = own.groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("_often", F.lit(0)).alias("n"), "gram")).alias("gram"))
-    found = rarest.join(postings, "gram").filter(F.contains("value", "needle"))
+    few = materialise(long.withColumn("_rn", F.row_number().over(by_value)).filter(F.col("_rn") <= limit), "lookup-ids")
+    values = few.filter("_rn = 1").select("column_name", "value", F.col("id").alias("_first"))
+    sizes = {r["column_name"]: r for r in values.groupBy("column_name").agg(F.count("*").alias("n"), F.max(F.length("value")).alias("widest")).collect()}
+    size, widest = F.length("needle"), max((r["widest"] for r in sizes.values()), default=0)
+    asked = materialise(needles.select("needle").filter("needle <> ''").distinct().filter(size <= widest), "lookup-needles")
+    short, wide = asked.filter(size <= GRAM), asked.filter(size > GRAM)
     # The smallest ids of a needle lie in the values whose own smallest ids come first.
     early = W.partitionBy("needle", "column_name").orderBy("_first", "value")
-    found = found.withColumn("_nth", F.row_number().over(early)).filter(F.col("_nth") <= limit).select("needle", "column_name", "value")
-    hits = found.join(few, ["column_name", "value"]).select("needle", "column_name", "id")
+
+    def first(found: DataFrame) -> DataFrame:
+        return found.withColumn("_nth", F.row_number().over(early)).filter(F.col("_nth") <= limit).drop("_nth")
+
+    # Values of a column up to ``cuts`` come before all others; columns with few values have no others.
+    large = {c: head_values / r["n"] for c, r in sizes.items() if r["n"] > head_values}
+    cuts = values.agg(*[F.percentile_approx(F.when(F.col("column_name") == c, F.col("_first")), p).alias(c) for c, p in large.items()]).first() if large else {}
+    rest = F.lit(False)
+    for c in large:
+        rest |= (F.col("column_name") == c) & F.coalesce(F.col("_first") > F.lit(cuts[c]), F.lit(False))
+    order = ["needle", "column_name", "_first", "value"]
+    head = _pieces(values.filter(~rest).withColumn("_sizes", short.agg(F.collect_set(size)).scalar()), "value", "_sizes", "needle")
+    found = [first(head.join(short, "needle").select(*order).distinct())]
+    if large:
+        found = [materialise(found[0], "lookup-head")]
+        done = found[0].groupBy("needle", "column_name").agg(F.count("*").alias("n")).filter(F.col("n") >= limit).drop("n")
+        both = short.withColumn("column_name", F.explode(F.array(*[F.lit(c) for c in large]))).join(done, ["needle", "column_name"], "left_anti")
+        open_ = materialise(both, "lookup-open")
+        lengths = open_.groupBy("column_name").agg(F.collect_set(size).alias("_sizes"))
+        cut = _pieces(values.filter(rest).join(F.broadcast(lengths), "column_name"), "value", "_sizes", "needle")  # a row per column
+        found.append(first(cut.join(open_, ["needle", "column_name"]).select(*order).distinct()))
+        found = [first(found[0].unionByName(found[1]))]
+    own = _pieces(wide.withColumn("_sizes", F.array(F.lit(GRAM))), "needle", "_sizes", "gram").distinct()
+    grams = _pieces(values.withColumn("_sizes", wide.agg(F.collect_set(F.lit(GRAM))).scalar()), "value", "_sizes", "gram")
+    postings = materialise(grams.join(own.select("gram").distinct(), "gram", "left_semi").distinct(), "lookup-index")
+    often = postings.groupBy("gram").agg(F.count("*").alias("_often"))
+    rarest = own.join(often, "gram", "left").groupBy("needle").agg(
+        F.min_by("gram", F.struct(F.coalesce("_often", F.lit(0)).alias("n"), "gram")).alias("gram"))
+    found.append(first(rarest.join(postings, "gram").filter(F.contains("value", "needle"))).select(*order))
+    hits = found[0].unionByName(found[1]).join(few, ["column_name", "value"]).select("needle", "column_name", "id")
     ranked = W.partitionBy("needle", "column_name").orderBy("id")
     return hits.withColumn("nth", F.row_number().over(ranked)).filter(F.col("nth") <= limit)
 
@@ -208,11 +234,11 @@ def lookup(registry: DataFrame, questions: DataFrame) -> DataFrame:
     """
     q = questions.select("question_id", X.machine_ids(F.col("text")).alias("mids"),
                          F.lower(X.strip(X.sanitise(F.col("text")))).alias("safe"))
-    mids = q.select("question_id", F.explode("mids").alias("needle"))
-    exact = mids.join(registry.select("id", F.col("machine_id").cast("string").alias("needle")), "needle").select(
+    words = q.filter(F.length("safe") > 0).select("question_id", F.col("safe").alias("needle"), F.lit(False).alias("_id"))
+    mids = q.select("question_id", F.explode("mids").alias("needle"), F.lit(True).alias("_id"))
+    asked = materialise(mids.unionByName(words), "lookup-asked")
+    exact = asked.filter("_id").join(registry.select("id", F.col("machine_id").cast("string").alias("needle")), "needle").select(
         "question_id", "id", F.lit(0).alias("branch"))
-    words = q.filter(F.length("safe") > 0).select("question_id", F.col("safe").alias("needle"))
-    asked = mids.withColumn("_id", F.lit(True)).unionByName(words.withColumn("_id", F.lit(False)))
     hits = _substring_hits(registry, KEYWORD_COLUMNS, asked, max(KEYWORD_LIMIT, PARTIAL_LIMIT))
     place = F.array_position(F.array(*[F.lit(c) for c in KEYWORD_COLUMNS]), F.col("column_name")).cast("int")
     by_id = F.when(F.col("column_name") == "machine_id", 1).when(F.col("column_name") == "serial_number", 2)

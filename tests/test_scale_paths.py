@@ -365,3 +365,23 @@ def test_masks_in_slices(spark, monkeypatch):
             if r["d_det_id"] not in top or round(r["iou"], 9) > top[r["d_det_id"]][1]:
                 top[r["d_det_id"]] = (r["l_label_id"], round(r["iou"], 9))
         assert top == best and (rows_ < 90 or len(few) == len(best))
+
+
+@pytest.mark.parametrize("head_values", [100_000, 7])
+def test_lookup_index_holds_only_what_is_asked(spark, monkeypatch, head_values):
+    from gearwatch.operators import registry
+
+    rows = [(i, str(i * 37 % 400), f"SN-{i * 7919 % 100_000}-Site {i % 11}") for i in range(300)] + [(7, "12", "SN-12-Site 3")]
+    table = spark.createDataFrame(rows, "id long, machine_id string, serial_number string")
+    asked = ["1", "12", "79", "791", "site 3", "-site 10", "9-site 10", "n-7919-site 1", "no such number anywhere", "-", "400", ""]
+    written, write = {}, registry.materialise
+    monkeypatch.setattr(registry, "materialise", lambda df, name: written.setdefault(name, write(df, name)))
+    needles = spark.createDataFrame([(a,) for a in asked + asked], "needle string")
+    got = registry._substring_hits(table, ["machine_id", "serial_number"], needles, 3, head_values)
+    want = []
+    for a in filter(None, asked):
+        for k, c in ((1, "machine_id"), (2, "serial_number")):
+            ids = sorted(r[0] for r in rows if a in r[k].lower())[:3]
+            want += [(a, c, i, n) for n, i in enumerate(ids, 1)]
+    assert sorted(tuple(r) for r in got.select("needle", "column_name", "id", "nth").collect()) == sorted(want)
+    assert written["lookup-index"].count() < 300  # a row per value and piece before
