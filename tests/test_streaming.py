@@ -135,3 +135,72 @@ def test_progress_of_every_batch_is_logged(spark, parts, tmp_path):
 
     assert sum(json.loads(r["metrics"])["live"]["readings"] for r in rows.values()) == parts[1].count()
     assert max(json.loads(r["metrics"])["live"]["top"] or 0 for r in rows.values()) == parts[1].agg(F.max("volt")).first()[0]
+
+
+class Store:
+    """What a processor has put into its list and value states, without Spark."""
+
+    def __init__(self):
+        self.rows, self.timers = [], set()
+
+    def getListState(self, name, schema):
+        return Store()
+
+    getValueState = getListState
+
+    def get(self):
+        return self.rows
+
+    def appendList(self, rows):
+        self.rows = [*self.rows, *rows]
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def update(self, value):
+        self.rows = value
+
+    def clear(self):
+        self.rows = []
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+class Clock:
+    def __init__(self, mark):
+        self.mark = mark
+
+    def getCurrentWatermarkInMs(self):
+        return self.mark
+
+
+class Due(Store):
+    def get(self):
+        return self.rows or None
+
+
+def test_keys_of_a_group_share_few_state_values():
+    import pandas as pd
+
+    handle = Store()
+    own = keyed.RateLimit(["key", "t", "event_id"], 2, 2, 3_600_000_000)
+    own.init(handle)
+    own.due = Due()
+    n = 5000
+    frame = pd.DataFrame({"_bucket": 1, "key": [None if i % 50 == 7 else f"k{i % 50}" for i in range(n)],
+                          "t": [i * 60_000_000 for i in range(n)], "event_id": range(n)})
+    list(own.handleInputRows((1,), iter([frame.iloc[::-1]]), Clock(0)))
+    assert len(own.pending.get()) == 1  # one value per row before
+    half = 2500 * 60_000
+    out = pd.concat(list(own.handleExpiredTimer((1,), Clock(half), None)) + list(own.handleExpiredTimer((1,), Clock(n * 60_000), None)))
+    seen, want = {}, {}
+    for k, t, e in frame[["key", "t", "event_id"]].itertuples(index=False):
+        seen[k] = [a for a in seen.get(k, []) if t - a < 3_600_000_000]
+        want[e] = len(seen[k]) < 2
+        if want[e]:
+            seen[k].append(t)
+    assert dict(zip(out["event_id"], out["allowed"])) == want and len(out) == n
