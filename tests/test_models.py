@@ -198,3 +198,36 @@ def test_models_score_after_the_session_has_observed_metrics(spark, separable):
         model = training.fit(separable, training.get_model(name, ["a"], **params))
         assert not model.stages[-1].hasSummary
         assert training.score(model, separable).agg(F.sum("p")).first()[0] > 0
+
+
+@pytest.fixture
+def imputers(monkeypatch):
+    """The fits of preprocessing, one entry each."""
+    seen, fit = [], training.Imputer._fit
+    monkeypatch.setattr(training.Imputer, "_fit", lambda self, rows: seen.append(1) or fit(self, rows))
+    return seen
+
+
+def test_grid_search_prepares_a_fold_once(separable, imputers):
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    few = separable.filter("event_id % 4 = 0").withColumn("y", F.when(F.col("event_id") % 16 == 0, 1 - F.col("y")).otherwise(F.col("y")))
+    pipeline = training.get_model("logistic_regression", ["a", "b"], ["kind"], max_iter=30)
+    strength = pipeline.getStages()[-1].regParam
+    found = training.grid_search(few, pipeline, ParamGridBuilder().addGrid(strength, [0.1, 10_000.0]).build(), folds=2)
+    assert len(imputers) == 3  # two folds and all rows; one more for each further point of the grid before
+    judge = MulticlassClassificationEvaluator(labelCol="y", metricName="fMeasureByLabel", metricLabel=1.0)
+    n = few.count()
+    plain = CrossValidator(estimator=training.spread_penalty(pipeline, n), evaluator=judge, numFolds=2, seed=training.SEED,
+                           estimatorParamMaps=ParamGridBuilder().addGrid(strength, [0.1 / n, 10_000.0 / n]).build()).fit(prepare.class_weight(few))
+    np.testing.assert_allclose(found.avgMetrics, plain.avgMetrics, rtol=1e-6)
+    np.testing.assert_allclose(found.bestModel.stages[-1].coefficients.toArray(), plain.bestModel.stages[-1].coefficients.toArray(), rtol=1e-6)
+
+
+def test_horizons_share_their_vectors(spark, sf, imputers):
+    from gearwatch.catalog import QUERIES
+
+    scores = QUERIES["i10_i14_i15_logistic_scores"](spark, sf)
+    assert len(imputers) == 1  # once for each horizon before
+    assert {r["horizon"] for r in scores.select("horizon").distinct().collect()} == {24, 48}
