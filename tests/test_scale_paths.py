@@ -385,3 +385,26 @@ def test_lookup_index_holds_only_what_is_asked(spark, monkeypatch, head_values):
             want += [(a, c, i, n) for n, i in enumerate(ids, 1)]
     assert sorted(tuple(r) for r in got.select("needle", "column_name", "id", "nth").collect()) == sorted(want)
     assert written["lookup-index"].count() < 300  # a row per value and piece before
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-25, 1e18])
+def test_groups_of_queries_meet_the_corpus_without_shuffling_vectors(spark, monkeypatch, scale):
+    """Wide vectors with copies, an outlier, nulls and repeated ids: blocks are stored once, and the neighbours are those of all pairs."""
+    rng = np.random.default_rng(11)
+    m = rng.normal(size=(160, 12)) * scale
+    m[40:60], m[60] = m[20], m[60] * 1e6
+    rows = [(i, v) for i, v in enumerate(m.tolist())] + [(7, m[90].tolist()), (900, None), (901, [None, *m[0, 1:].tolist()]), (902, [float("nan")] * 12)]
+    corpus = spark.createDataFrame(rows, "id long, v array<double>")
+    asked = corpus.filter("id <> 7").withColumnRenamed("id", "q")
+    for name, value in (("GROUP_ROWS", 40), ("STORED_BYTES", 96 * 30), ("STEP_ROWS", 16), ("BLOCK_ROWS", 8), ("PENDING_ROWS", 1), ("EXACT_ROWS", 9)):
+        monkeypatch.setattr(vectors, name, value)
+    found = vectors.search(corpus, asked, 4, metric="euclid", exclude_self=True)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "CartesianProduct" in plan and "RepartitionByExpression" not in plan and "REPARTITION" not in plan
+    ids, all_v = np.array([*range(160), 7]), np.concatenate([m, m[90:91]])
+    want = set()
+    for i in {*range(160)} - {7}:
+        far = np.round(np.linalg.norm(all_v - m[i], axis=1), 9)
+        far[ids == i] = np.inf
+        want |= {(i, int(ids[j]), r + 1) for r, j in enumerate(np.lexsort((ids, far))[:4])}
+    assert {(r["q"], r["id"], r["rank"]) for r in found.collect()} == want
