@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gearwatch.llm.common import bounded_batches
-from gearwatch.llm.tokens import Encoder
+from gearwatch.llm.tokens import Encoder, runs
 from gearwatch.session import scratch_path
 
 WIDTH, END_ID = 2048, 1
@@ -31,12 +31,12 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_column
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, begin, block = Encoder.shared(tokenizer, "<u2"), 0, TaskContext.get().partitionId()
         tail = np.array([end_id], "<u2").tobytes()
-        for frame in frames:
-            for at in range(0, len(frame), 256):
-                part = frame.iloc[at : at + 256]
-                ids = [x + tail for x in encoder.encode(part["text"].tolist())]
+        for names, texts in runs(frames):
+            coded = encoder.encode(texts)
+            for at in range(0, len(names), 256):
+                ids = [x + tail for x in coded[at : at + 256]]
                 n = np.array([len(x) // 2 for x in ids], np.int64)
-                yield pd.DataFrame({"id": part["id"].array, "block": np.int32(block), "begin": begin + n.cumsum() - n, "n": n, "ids": ids})
+                yield pd.DataFrame({"id": names[at : at + 256], "block": np.int32(block), "begin": begin + n.cumsum() - n, "n": n, "ids": ids})
                 begin += int(n.sum())
 
     path = scratch_path(spark, "packed-tokens")

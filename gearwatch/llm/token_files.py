@@ -10,14 +10,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from gearwatch.llm.common import bounded_batches
-from gearwatch.llm.range_coder import BLOCK, LANES, decode_blocks, encode_blocks
-from gearwatch.llm.tokens import Encoder
+from gearwatch.llm.range_coder import BLOCK, decode_blocks, encode_blocks
+from gearwatch.llm.tokens import Encoder, runs
 
 END_ID = 2
 SPANS = "array<struct<ordinal: long, id: string, total: long, start: long, n: long>>"
 SCHEMA = f"part int, block long, n long, spans {SPANS}, payload binary"
-#: Blocks that a reader decodes in step.
-READ_BLOCKS = 512
+#: Blocks that a writer codes and a reader decodes in step, and those whose documents a reader hands over at once.
+WRITE_BLOCKS, READ_BLOCKS, GIVE_BLOCKS = 512, 1024, 256
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_column: str = "doc_id",
@@ -46,23 +46,21 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
             ready.clear()
             return out
 
-        for frame in frames:
-            for at in range(0, len(frame), 256):
-                chunk = frame.iloc[at : at + 256]
-                for doc, raw in zip(chunk["id"].tolist(), encoder.encode(chunk["text"].tolist()), strict=True):
-                    ids, start = np.frombuffer(raw + tail, "<u4"), 0
-                    while start < len(ids):
-                        take = min(BLOCK - size, len(ids) - start)
-                        held.append(ids[start : start + take])
-                        spans.append({"ordinal": ordinal, "id": doc, "total": len(ids), "start": start, "n": take})
-                        size, start = size + take, start + take
-                        if size == BLOCK:
-                            rows.append((number, spans))
-                            ready.append(np.concatenate(held))
-                            number, held, spans, size = number + 1, [], [], 0
-                            if len(ready) == LANES:
-                                yield flush()
-                    ordinal += 1
+        for names, texts in runs(frames):
+            for doc, raw in zip(names, encoder.encode(texts), strict=True):
+                ids, start = np.frombuffer(raw + tail, "<u4"), 0
+                while start < len(ids):
+                    take = min(BLOCK - size, len(ids) - start)
+                    held.append(ids[start : start + take])
+                    spans.append({"ordinal": ordinal, "id": doc, "total": len(ids), "start": start, "n": take})
+                    size, start = size + take, start + take
+                    if size == BLOCK:
+                        rows.append((number, spans))
+                        ready.append(np.concatenate(held))
+                        number, held, spans, size = number + 1, [], [], 0
+                        if len(ready) == WRITE_BLOCKS:
+                            yield flush()
+                ordinal += 1
         if size:
             rows.append((number, spans))
             ready.append(np.concatenate(held))
@@ -88,15 +86,18 @@ def read_tokens(spark: SparkSession, path: str, id_type: str = "long", id_column
         for frame in frames:
             for at in range(0, len(frame), READ_BLOCKS):
                 group, out = frame.iloc[at : at + READ_BLOCKS], []
-                for part, block, spans, ids in zip(group["part"], group["block"], group["spans"], decode_blocks(group["payload"].tolist()), strict=True):
-                    raw, place = ids.astype("<u4").tobytes(), 0
+                decoded = decode_blocks(group["payload"].tolist())
+                for i, (part, block, spans) in enumerate(zip(group["part"], group["block"], group["spans"], strict=True)):
+                    raw, place, decoded[i] = decoded[i].tobytes(), 0, None
                     for s in spans:
                         held.append(raw[4 * place : 4 * (place + s["n"])])
                         if s["start"] + s["n"] == s["total"]:
                             out.append((part, s["id"], s["total"], block * BLOCK + place - s["start"], b"".join(held)))
                             held = []
                         place += s["n"]
-                yield pd.DataFrame(out, columns=["part", "id", "total", "first", "ids"])
+                    if (i + 1) % GIVE_BLOCKS == 0 or i + 1 == len(group):
+                        yield pd.DataFrame(out, columns=["part", "id", "total", "first", "ids"])
+                        out = []
 
     ordered = stored.select("part", "block", "spans", "payload").repartition("part").sortWithinPartitions("part", "block")
     rows = ordered.mapInPandas(decode, "part int, id string, total long, first long, ids binary")

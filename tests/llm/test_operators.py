@@ -22,6 +22,7 @@ from gearwatch.llm import (
     shards,
     substring_dedup,
     token_files,
+    tokens,
     toxicity,
 )
 from gearwatch.llm.tokens import Encoder
@@ -219,6 +220,45 @@ def test_range_coder_round_trip():
     assert len(raws[5]) < 100 and len(raws[7]) < 4 * 8000 / 8
 
 
+def test_range_coder_codes_the_strips_of_a_block_in_step(monkeypatch):
+    """A step costs the same for few lanes as for many, so a block takes as many steps as a strip has ids, not one for each id."""
+    steps, slots = [], range_coder.slots_2
+    raws = range_coder.encode_blocks(blocks := [np.random.default_rng(k).zipf(1.3, 8192) % 50257 for k in range(3)])
+    monkeypatch.setattr(range_coder, "slots_2", lambda *x: steps.append(1) or slots(*x))
+    for a, b in zip(blocks, range_coder.decode_blocks(raws), strict=True):
+        assert np.array_equal(a, b)
+    assert len(steps) == range_coder.STRIP <= 8192 // 4
+
+
+def test_range_coder_strips_of_any_length():
+    rng = np.random.default_rng(3)
+    blocks = [rng.integers(0, 40, n) for n in (0, 1, 2, 3, 2047, 2048, 2049, 2050, 4096, 6145, 8191, 8192)] + [np.tile([7, 7, 9, 0], 1500)]
+    for a, b in zip(blocks, range_coder.decode_blocks(range_coder.encode_blocks(blocks)), strict=True):
+        assert np.array_equal(a, b)
+
+
+def test_encoder_looks_known_words_up_as_columns(tokenizer, monkeypatch):
+    """A word goes through the merges once, and not again while the columns hold it, however many other words a run has."""
+    monkeypatch.setattr(tokens, "CACHE", 4)
+    encoder, texts = Encoder(VOCABULARY), [" ".join(f"{a}{b}" for a in "abcdefgh" for b in "stuvwxyz")] * 3
+    want, merged = plain_ids(tokenizer, texts[0], 2)[:-1], []
+    monkeypatch.setattr(encoder, "merged", lambda piece, merge=encoder.merged: merged.append(piece) or merge(piece))
+    for _ in range(4):
+        assert all(np.frombuffer(raw, "<u4").tolist() == want for raw in encoder.encode(texts))
+    assert len(merged) == len(set(merged)) == 64
+
+
+def test_encoder_that_forgets_gives_the_ids_of_whole_texts(tokenizer, monkeypatch):
+    for name, most in (("CACHE", 40), ("WORDS", 30), ("LONG", 4), ("RUN", 300), ("PUT", 7)):
+        monkeypatch.setattr(tokens, name, most)
+    rng, encoder = np.random.default_rng(4), Encoder(VOCABULARY)
+    bits = ["a", "word", "\u00dcn\u00ef", " ", " ", "\n", "  ", "\t", "\x1c", "\x85", "\xa0", "\u2003", "12", "!?", "<|endoftext|>", "x.", "'s",
+            "\u65e5\u672c", "\u200b", "e\u0301", "\x00", "\r\n", "\u0250", "\U0001f600", "of course", "long" * 20]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 12))) for _ in range(2000)]
+    for text, raw in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == plain_ids(tokenizer, text, 2)[:-1], text
+
+
 def test_range_coder_blocks_stand_alone_and_are_checked():
     rng = np.random.default_rng(2)
     blocks = [rng.zipf(1.4, 3000) % 1000 for _ in range(5)]
