@@ -8,6 +8,7 @@ from gearwatch.catalog import registry as cat
 from gearwatch.catalog.base import query, r6, table
 from gearwatch.functions import text as X
 from gearwatch.operators import registry, retrieval, vectors
+from gearwatch.session import materialise
 
 _STRIP = r"regexp_replace({x}, '^[\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]+|[\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]+$', '', 'g')"
 _CHUNKS = f"""ch AS (SELECT doc_id, text, unnest(range(CASE WHEN length(text) = 0 THEN 0 WHEN length(text) <= 800 THEN 1
@@ -117,7 +118,8 @@ def _scored_chunks(spark, d):
     """Chunks of all documents scored against all user questions with the default encoder."""
     corpus = chunks(spark, d).withColumn("chunk_id", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")))
     encoder = retrieval.fit_encoder(corpus)
-    vectors = retrieval.encode(encoder, corpus).select("chunk_id", "embedding")
+    # Written once: the search counts the vectors before it deals them to blocks.
+    vectors = materialise(retrieval.encode(encoder, corpus).select("chunk_id", "embedding"), "chunk-vectors")
     asked = retrieval.encode(encoder, cat.questions(spark, d), "text").select("question_id", "embedding")
     return corpus, retrieval.dynamic_top_k(vectors, asked, 5)
 

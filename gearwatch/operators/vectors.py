@@ -51,12 +51,18 @@ class Best:
         if metric == "euclid" and self.norm[self._usable(self.norm)].max(initial=0.0) < SINGLE_NORM:
             with np.errstate(over="ignore"):
                 self.rough = np.column_stack([vectors, np.ones(len(ids))]).astype(np.float32)
+        elif metric == "cosine":
+            self.rough = self._unit(vectors, self.norm)
         self.code, known = pd.factorize(ids)
         self.known = pd.Index(known)
 
     def _usable(self, size: np.ndarray) -> np.ndarray:
         return np.isfinite(size) & (size > 0) if self.metric == "cosine" else np.isfinite(size)
 
+    def _unit(self, vectors: np.ndarray, size: np.ndarray) -> np.ndarray:
+        fit = self._usable(size)
+        return np.where(fit[:, None], vectors / np.where(fit, size, 1.0)[:, None], 0).astype(np.float32)
+
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         size = np.linalg.norm(vectors, axis=1)
         fit = self._usable(size)
@@ -66,7 +72,10 @@ class Best:
             return
         code = self.known.get_indexer(ids) if self.exclude_self else None
         rough = None
-        if self.rough is not None and size.max() < SINGLE_NORM:
+        if self.metric == "cosine":
+            # A floor alone bounds little, so the first rows are compared in full.
+            rough = None if self.found is None else self._unit(vectors, size)
+        elif self.rough is not None and size.max() < SINGLE_NORM:
             rough = np.column_stack([vectors, -(size**2) / 2]).astype(np.float32)
         for at in range(0, len(self.ids), BLOCK_ROWS):
             block = slice(at, at + BLOCK_ROWS)
@@ -75,11 +84,11 @@ class Best:
                 if code is not None:
                     other = self.code[block][i] != code[j]
                     i, j = i[other], j[other]
-                self._take(block, i, j, ids, vectors)
+                self._take(block, i, j, ids, vectors, size)
             else:
                 self._compare(block, ids, vectors, size, code)
         # Limits are worth most at once: without them every pair is measured in full.
-        unbounded = self.rough is not None and np.isneginf(self._least(slice(None))).any()
+        unbounded = self.rough is not None and (np.isneginf(self._least(slice(None))).any() or self.found is None)
         if unbounded or sum(map(len, self.waiting)) >= max(PENDING_ROWS, 0 if self.found is None else len(self.found)):
             self.merge()
 
@@ -87,23 +96,30 @@ class Best:
         return self.limit[block] if self.floor is None else np.maximum(self.limit[block], self.floor)
 
     def _within(self, block: slice, rough: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs that may be as near as the limits ask, by q.v - v.v / 2 in single precision: one product and one comparison.
+        """Pairs that may be as near as the limits ask, in single precision by q.v - v.v / 2 or by the cosine: one product and one comparison.
 
         The slack covers the rounding of the numbers, of the sums and of the limit, so no pair within the limit is lost.
         """
         norm, top, unit = self.norm[block], size.max(), float(np.finfo(np.float32).eps)
+        if self.metric == "cosine":
+            cut = self._least(block) - 2e-9 - unit * (rough.shape[1] + 8)
+            hit = np.flatnonzero(self.rough[block] @ rough.T >= cut.astype(np.float32)[:, None])
+            return np.divmod(hit, len(rough))
         with np.errstate(invalid="ignore", over="ignore"):
             cut = (norm**2 - (2e-9 - self._least(block)) ** 2) / 2 - unit * (rough.shape[1] + 8) * (norm * top + top**2)
             cut -= 4 * unit * np.abs(cut) + 1e-30
             hit = np.flatnonzero(self.rough[block] @ rough.T >= cut.astype(np.float32)[:, None])
         return np.divmod(hit, len(rough))
 
-    def _take(self, block: slice, i: np.ndarray, j: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def _take(self, block: slice, i: np.ndarray, j: np.ndarray, ids: np.ndarray, vectors: np.ndarray, size: np.ndarray) -> None:
         """Measure the pairs in full and keep those that the limits still ask for."""
         own, least = self.vectors[block], self._least(block)
         for at in range(0, len(i), EXACT_ROWS):
             a, b = i[at : at + EXACT_ROWS], j[at : at + EXACT_ROWS]
-            value = -np.round(np.linalg.norm(own[a] - vectors[b], axis=1), 9)
+            if self.metric == "cosine":
+                value = np.round(np.einsum("nd,nd->n", own[a], vectors[b]) / self.norm[block][a] / size[b], 9)
+            else:
+                value = -np.round(np.linalg.norm(own[a] - vectors[b], axis=1), 9)
             near = value >= least[a]
             if near.any():
                 self.waiting.append(pd.DataFrame({"q": a[near] + block.start, "id": ids[b[near]], "score": value[near]}))
@@ -136,7 +152,7 @@ class Best:
         if self.metric == "cosine":
             value = np.round(score[i, j], 9)
         else:
-            return self._take(block, i, j, ids, vectors)
+            return self._take(block, i, j, ids, vectors, size)
         near = value >= self._least(block)[i]
         if near.any():
             self.waiting.append(pd.DataFrame({"q": i[near] + block.start, "id": ids[j[near]], "score": value[near]}))
